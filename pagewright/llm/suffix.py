@@ -33,12 +33,14 @@ SPAN = WIDTH - GRAM + 1  # grams in a string
 BACK = SPAN - 1  # bytes of context before an anchor; WIDTH follow from its start
 REACH = BACK + WIDTH
 SHALLOW = 24
-GROUP_BYTES, BUCKET_BYTES = 12 << 20, 36 << 20
+GROUP_BYTES, BUCKET_BYTES, RUN_BYTES = 12 << 20, 36 << 20, 1 << 18
 _U, _W = np.uint64, np.uint32
 _BYTE32 = (seeds(11, 256) >> _U(16)).astype(_W)
 _CTX = seeds(12, REACH // 8 + 4)
 H_BYTES, C_BYTES = 5, 6
-FLAG = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("mask", "<u8")])
+TOLD = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])  # _SEND is set in c if the context is to be sent
+MASK = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("mask", "<u8")])
+_SEND = np.uint64(1 << 63)
 SENT = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", f"S{REACH}")])
 
 
@@ -136,7 +138,7 @@ def _of_group(table: pa.Table, buckets: int):
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     ids = ids.fill_null(0).to_numpy()
     data, off = columns(table.column("text"))
-    for i, j in runs(off):
+    for i, j in runs(off, RUN_BYTES):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         at = anchors(d, o)
         for a in range(0, max(1, len(at)), 1 << 16):
@@ -183,18 +185,22 @@ def _post(buckets: int):
 
 
 _POST = "grp int, bucket int, ids binary, n binary, h binary, c binary"
-_FLAGS = "grp int, flags binary"
+_FLAGS = "grp int, flags binary, masks binary"
 
 
-def _flags_out(grp: np.ndarray, rec: np.ndarray) -> pa.Table:
+def _by_group(grp: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     order = np.argsort(grp, kind="stable")
     grp, rec = grp[order], rec[order]
     groups, at = np.unique(grp, return_index=True)
     cut = np.append(at, len(grp))
-    return pa.table([pa.array(groups.astype(np.int32)), pa.array([rec[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=["grp", "flags"])
+    return groups.astype(np.int32), [rec[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
 
 
-_SHIP = _U(1 << 63)
+def _flags_out(grp: np.ndarray, rec: np.ndarray) -> pa.Table:
+    groups, raw = _by_group(grp, rec)
+    none = pa.array([b""] * len(raw), pa.binary())
+    raw = pa.array(raw, pa.binary())
+    return pa.table([pa.array(groups), *((raw, none) if rec.dtype == TOLD else (none, raw))], names=["grp", "flags", "masks"])
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -214,7 +220,7 @@ def _meet(table: pa.Table) -> pa.Table:
     order = order[twice]
     h, c, doc, grp = h[order], c[order], doc[order], grp[order]
     if not len(h):
-        return _flags_out(grp, np.zeros(0, FLAG))
+        return _flags_out(grp, np.zeros(0, TOLD))
     order = np.lexsort((doc, c, h))
     h, c, doc, grp = h[order], c[order], doc[order], grp[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -226,23 +232,22 @@ def _meet(table: pa.Table) -> pa.Table:
     send = (np.minimum.reduceat(least, at) != np.maximum.reduceat(least, at))[gram]
     owner = doc == least[ctx]
     tell = (owner & send) | ~owner
-    rec = np.zeros(int(tell.sum()), FLAG)
+    rec = np.zeros(int(tell.sum()), TOLD)
     bucket = _U(table.column("bucket")[0].as_py()) << _U(8 * H_BYTES)
-    rec["k"], rec["c"], rec["doc"] = h[tell] | bucket, c[tell], least[ctx][tell]
-    rec["mask"] = np.where((owner & send)[tell], _SHIP, _U(0))
+    rec["k"], rec["doc"] = h[tell] | bucket, least[ctx][tell]
+    rec["c"] = c[tell] | np.where((owner & send)[tell], _SEND, _U(0))
     return _flags_out(grp[tell], rec)
 
 
-def _read_flags(table: pa.Table) -> np.ndarray:
-    raw = table.column("flags").to_pylist() if len(table) else []
-    return np.concatenate([np.frombuffer(x, FLAG) for x in raw]) if raw else np.zeros(0, FLAG)
+def _read(table: pa.Table, column: str, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(columns(table.column(column))[0].tobytes(), kind)
 
 
 def _send(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flags = _read_flags(right)
-        flags = flags[flags["mask"] == _SHIP]
-        x = both(flags["k"], flags["c"])
+        flags = _read(right, "flags", TOLD)
+        flags = flags[flags["c"] >= _SEND]
+        x = both(flags["k"], flags["c"] ^ _SEND)
         order = np.argsort(x)
         flags, x = flags[order], x[order]
         done = np.zeros(len(x), bool)
@@ -261,9 +266,9 @@ def _send(buckets: int):
             bucket.append(b[hit])
         rec = np.concatenate(parts) if parts else np.zeros(0, SENT)
         b = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
-        out = _flags_out(b, rec)
+        to, raw = _by_group(b, rec)
         grp = left.column("grp")[0].as_py() if len(left) else 0
-        return pa.table([pa.array([grp] * len(out), pa.int32()), out.column("grp"), out.column("flags")], names=["grp", "bucket", "sent"])
+        return pa.table([pa.array([grp] * len(raw), pa.int32()), pa.array(to), pa.array(raw, pa.binary())], names=["grp", "bucket", "sent"])
 
     return run
 
@@ -349,6 +354,18 @@ def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with the row most like it: the next one up or down in sorted order."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        order, _ = deep_shallow(rows)
+        same = rows[order[1:]] == rows[order[:-1]]
+        n = np.where(same.all(1), rows.shape[1], same.argmin(1))
+        out[order[1:]] = n
+        out[order[:-1]] = np.maximum(out[order[:-1]], n)
+    return out
+
+
 def _sort(table: pa.Table) -> pa.Table:
     """Contexts of a bucket to masks: which of their strings a smaller document holds; bit i: the one that starts i bytes
     into the context's reach."""
@@ -356,20 +373,10 @@ def _sort(table: pa.Table) -> pa.Table:
     grp = np.concatenate([np.full(len(r), g, np.int32) for g, r in zip(table.column("grp").to_pylist(), recs)])
     rec = np.concatenate(recs)
     raw = np.frombuffer(rec.tobytes(), np.uint8).reshape(len(rec), SENT.itemsize)[:, -REACH:]
-    # a string holds half of the way back from its anchor, or else half of the way on: contexts that share neither are alone
-    half = BACK // 2
-    shared = np.zeros(len(rec), bool)
-    with np.errstate(over="ignore"):
-        for piece in (raw[:, BACK - half : BACK + GRAM], raw[:, BACK : BACK + GRAM + half]):
-            w = np.zeros((len(rec), -(-piece.shape[1] // 8) * 8), np.uint8)
-            w[:, : piece.shape[1]] = piece
-            w = w.view(_U)
-            x = rec["k"].astype(_U)
-            for i in range(w.shape[1]):
-                x = mix(x + w[:, i] * _CTX[i])
-            _, inv, n = np.unique(x, return_inverse=True, return_counts=True)
-            shared |= n[inv] > 1
-    at = np.flatnonzero(shared)
+    lead = np.ascontiguousarray(rec["k"].astype(">u8")).view(np.uint8).reshape(-1, 8)
+    on = np.minimum(_common(np.hstack([lead, raw[:, BACK:]])) - 8, rec["right"])
+    back = np.minimum(_common(np.hstack([lead, raw[:, :BACK][:, ::-1]])) - 8, rec["left"])
+    at = np.flatnonzero(on + back >= WIDTH)
     mask = np.zeros(len(rec), _U)
     # equal strings have equal anchors, so grams can be sorted apart, in turns of bounded size
     at = at[np.argsort(rec["k"][at], kind="stable")]
@@ -380,7 +387,7 @@ def _sort(table: pa.Table) -> pa.Table:
         b = len(at) if b >= len(at) else int(np.searchsorted(keys, keys[b - 1], "right"))
         own = at[a:b]
         start = np.arange(SPAN)
-        ok = (start >= BACK - rec["left"][own, None].astype(int)) & (start + WIDTH <= BACK + rec["right"][own, None].astype(int))
+        ok = (start >= BACK - back[own, None]) & (start + WIDTH <= BACK + on[own, None])
         i, s = np.nonzero(ok)
         view = np.lib.stride_tricks.sliding_window_view(raw[own], WIDTH, axis=1)
         order, new = deep_shallow(view[i, s])
@@ -392,7 +399,7 @@ def _sort(table: pa.Table) -> pa.Table:
             np.bitwise_or.at(mask, own[i[hit]], _U(1) << s[hit].astype(_U))
         a = b
     tell = mask > 0
-    out = np.zeros(int(tell.sum()), FLAG)
+    out = np.zeros(int(tell.sum()), MASK)
     for f in ("k", "c", "doc"):
         out[f] = rec[f][tell]
     out["mask"] = mask[tell]
@@ -401,23 +408,24 @@ def _sort(table: pa.Table) -> pa.Table:
 
 def _cut(buckets: int, output):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flags = _read_flags(right)
-        got = [a[1:4] for *_, a in _of_group(left, buckets)]
-        k, c, doc = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, _U),) * 3
-        xs, least, _ = _first(k.astype(_U), c.astype(_U), doc.astype(np.int64))
-        told = both(flags["k"], flags["c"])
-        i = np.searchsorted(xs, told)
-        i[i == len(xs)] = 0
-        known = np.flatnonzero(xs[i] == told) if len(xs) else np.zeros(0, np.int64)
-        i, flags = i[known], flags[known]
-        np.minimum.at(least, i, flags["doc"])
-        masked = (flags["mask"] > 0) & (flags["mask"] < _SHIP)
+        told, masks = _read(right, "flags", TOLD), _read(right, "masks", MASK)
+        per = [(*a[:-1], *a[-1][:-1]) for a in _of_group(left, buckets)]
+        k, c, doc = (np.concatenate([a[n] for a in per]) for n in (6, 7, 8)) if per else (np.zeros(0, _U),) * 3
+        xs, least, _ = _first(k, c, doc.astype(np.int64))
         mask = np.zeros(len(xs), _U)
-        np.bitwise_or.at(mask, i[masked], flags["mask"][masked])
+        for rec in (told, masks):
+            x = both(rec["k"], rec["c"] & ~_SEND)
+            i = np.searchsorted(xs, x)
+            i[i == len(xs)] = 0
+            known = np.flatnonzero(xs[i] == x) if len(xs) else np.zeros(0, np.int64)
+            if rec is told:
+                np.minimum.at(least, i[known], rec["doc"][known])
+            else:
+                np.bitwise_or.at(mask, i[known], rec["mask"][known])
         bits = {}
         data, off = columns(left.column("text"))
         spans: list[np.ndarray] = []
-        for r, _j, d, o, last, (_b, k, c, doc, place, text, before, after, _ctx) in _of_group(left, buckets):
+        for r, _j, d, _o, last, _b, k, c, doc, place, _text, before, after in per:
             if r not in bits:
                 bits = {r: np.zeros(len(d) + 1, np.int32)}
             cover = bits[r]
