@@ -100,8 +100,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of texts: where they start and end, and which belong to which text."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, off: np.ndarray, fold: bool = True) -> None:
         n = len(data)
+        self.fold = fold  # hashes see A-Z as a-z
         solid = ~SPACE[data]
         cut = np.zeros(n + 1, bool)
         cut[off] = True
@@ -126,11 +127,11 @@ class Words:
             up, _ = powers(len(self.data) + 1)
             with np.errstate(over="ignore"):
                 self._sums = np.zeros(len(self.data) + 1, _U)
-                np.cumsum(_BYTE[LOWER[self.data]] * up[: len(self.data)], out=self._sums[1:])
+                np.cumsum(_BYTE[LOWER[self.data] if self.fold else self.data] * up[: len(self.data)], out=self._sums[1:])
         return self._sums
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes start..end with A-Z lower-cased."""
+        """Hash of the bytes start..end."""
         s = self.sums()
         _, down = powers(len(self.data) + 1)
         with np.errstate(over="ignore"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, sharding, suffix, toxicity
+from . import licenses, minhash, mixing, packing, quality, rules, sharding, suffix, topk, toxicity
 from .store import documents
 
 
@@ -15,19 +15,35 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.copies(documents(spark, sf_dir))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.checked(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_strings(documents(spark, sf_dir))
 
@@ -47,8 +63,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_mixing, op6_toxicity, op8_suffix_dedup, op9_sharding, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_quality, op4_mixing, op5_rules, op6_toxicity, op7_licenses, op8_suffix_dedup, op9_sharding, op10_minhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": topk.SQL}
