@@ -82,12 +82,12 @@ def expired(created_at: Column, now: Column, status: Column, seconds: int = RESE
 def cached_reads(reads: DataFrame, key: str, ts: str, ttl: int = URL_CACHE_SECONDS) -> DataFrame:
     """hit or miss of each read of a cache that keeps an entry for ttl seconds from the miss that made it: a fold over a
     key's reads in order."""
-    t = F.unix_micros(F.col(ts))
-    start = F.struct(F.lit(None).cast("bigint").alias("made"), F.expr("cast(array() as array<struct<ts:bigint,hit:boolean>>)").alias("out"))
+    kind = dict(reads.dtypes)[ts]
+    start = F.struct(F.lit(None).cast(kind).alias("made"), F.expr(f"cast(array() as array<struct<ts:{kind},hit:boolean>>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        hit = F.coalesce(x < s["made"] + ttl * 1_000_000, F.lit(False))
+        hit = F.coalesce(x < s["made"] + F.make_dt_interval(secs=F.lit(ttl)), F.lit(False))
         return F.struct(F.when(hit, s["made"]).otherwise(x).alias("made"), F.concat(s["out"], F.array(F.struct(x.alias("ts"), hit.alias("hit")))).alias("out"))
 
-    rows = reads.groupBy(key).agg(F.array_sort(F.collect_list(t)).alias("r")).select(key, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
-    return rows.select(key, F.timestamp_micros("x.ts").alias(ts), F.col("x.hit").alias("hit"))
+    rows = reads.groupBy(key).agg(F.array_sort(F.collect_list(ts)).alias("r")).select(key, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
+    return rows.select(key, F.col("x.ts").alias(ts), F.col("x.hit").alias("hit"))

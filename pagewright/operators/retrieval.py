@@ -26,7 +26,11 @@ def lexical_top_k(docs: DataFrame, query: str, k: int = LEXICAL_LIMIT, id_: str
     wanted = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
     base = docs if where is None else docs.where(where)
     words = base.select(F.col(id_).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    tf = [F.size(F.filter("w", lambda t, q=q: t == q)).alias(f"tf{i}") for i, q in enumerate(wanted)]
+
+    def occurrences(q: str) -> Column:
+        return F.size(F.filter("w", lambda t: t == q))
+
+    tf = [occurrences(q).alias(f"tf{i}") for i, q in enumerate(wanted)]
     counted = words.select("id", F.size("w").alias("dl"), *tf)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     joined = counted.join(F.broadcast(stats))  # one row

@@ -101,7 +101,7 @@ def name_labels(s, d):
     return parquet(s, d, "part").select("p_partkey", T.middle_truncated(n, 12).alias("short"), T.object_name(F.lit(None).cast("string"), F.lit(None).cast("string"), n).alias("object_name"), T.initial(n).alias("initial"))
 
 
-@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024.0) || ' KB' ELSE printf('%.1f', b / 1048576.0) || ' MB' END AS label FROM (SELECT doc_id, n_chars * 37 + 1 AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b / 1024.0 * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(b / 1048576.0 * 10 + 0.5) / 10) || ' MB' END AS label FROM (SELECT doc_id, n_chars * 37 + 1 AS b FROM documents)")
 def size_labels(s, d):
     return docs(s, d).select("doc_id", T.file_size(F.col("n_chars") * 37 + 1).alias("label"))
 
@@ -154,8 +154,8 @@ _SPANS = f"""WITH l AS ({LINES}), t AS (
 ), o AS (SELECT document_id, page_number, tok, row_number() OVER (PARTITION BY document_id ORDER BY page_number, k) - 1 AS g, count(*) OVER (PARTITION BY document_id) AS n FROM t),
 c AS (SELECT *, unnest(range(greatest(0, CAST(ceil((g - 449) / 375.0) AS BIGINT)), g // 375 + 1)) AS chunk_index FROM o),
 v AS (SELECT * FROM c WHERE chunk_index < CASE WHEN n <= 450 THEN 1 ELSE CAST(ceil((n - 450) / 375.0) AS BIGINT) + 1 END),
-r AS (SELECT *, coalesce(sum(length(tok) + 1) OVER (PARTITION BY document_id, chunk_index ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM v),
-spans AS (SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(page_number AS INTEGER) AS page_number, CAST(min(at) AS INTEGER) AS start_offset, CAST(max(at + length(tok)) AS INTEGER) AS end_offset FROM r GROUP BY 1, 2, 3)"""
+r AS (SELECT *, coalesce(sum(length(tok) + 1) OVER (PARTITION BY document_id, chunk_index ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM v),
+spans AS (SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(page_number AS INTEGER) AS page_number, CAST(min(ofs) AS INTEGER) AS start_offset, CAST(max(ofs + length(tok)) AS INTEGER) AS end_offset FROM r GROUP BY 1, 2, 3)"""
 
 
 @query(f"{_SPANS} SELECT * FROM spans")
@@ -410,9 +410,9 @@ def record_keyset_page(s, d):
     return records.page(parquet(s, d, "orders"), [], "o_orderkey", 20, 100).select("o_orderkey", "o_custkey", "is_done")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(p_name, 'e') AND starts_with(p_brand, 'Brand#') AND ends_with(p_type, 'R')")
+@query("SELECT p_partkey FROM part WHERE contains(p_name, 'e') AND starts_with(p_brand, 'Brand#') AND ends_with(p_type, 'L')")
 def record_string_ops(s, d):
-    w = [{"field": "p_name", "operator": "contains", "value": "e"}, {"field": "p_brand", "operator": "starts_with", "value": "Brand#"}, {"field": "p_type", "operator": "ends_with", "value": "R"}]
+    w = [{"field": "p_name", "operator": "contains", "value": "e"}, {"field": "p_brand", "operator": "starts_with", "value": "Brand#"}, {"field": "p_type", "operator": "ends_with", "value": "L"}]
     return records.find_many(parquet(s, d, "part"), w, ["p_partkey"])
 
 
