@@ -82,3 +82,27 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     drawn = copies(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_drawn_id")).agg(F.max("copies").alias("_drawn"))
     out = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_drawn_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_drawn")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+# Equal to op4_mixing as long as one slice holds all rows (CELL_ROWS); beyond that ranks follow another hash.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, least(coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap), cap) AS target FROM l
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS i,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r,
+    CAST(CAST('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS BIGINT) AS taken FROM r
+"""
