@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     near = star.join(signed.select(F.col("id").alias("a"), F.col("minima").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("minima").alias("y")), "b")
     near = save(near.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"), "pairs")
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = save(text.join(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "id", "left_semi"), "texts")
+    texts = save(text.join(near.select(F.col("a").alias("id")).union(near.select("b")).distinct().hint("merge"), "id", "left_semi"), "texts")
     both = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     first = save(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
     label = components(first)
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> Dat
     dealt = dealt.select("id", "comp", "c", "key", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j")).withColumn("t", F.xxhash64("key", "i", "j"))
     tiles = dealt.join(nodes, "id").select("t", "i", "j", "c", "id", "comp", "block", "keys", "minima").repartition("t").sortWithinPartitions("t")
     wanted = save(tiles.mapInArrow(_tiles, "t long, pos long, id long, comp long, partners binary"), "wanted")
-    held = wanted.join(text.join(wanted.select("id").distinct(), "id", "left_semi"), "id").select("t", "pos", "id", "comp", "partners", "text")
+    held = wanted.join(text.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi"), "id").select("t", "pos", "id", "comp", "partners", "text")
     more = save(held.repartition("t").sortWithinPartitions("t").mapInArrow(_confirm_tiles(shingle, percent), "a long, b long"), "links")
     if not more.isEmpty():
         over = more.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
