@@ -26,7 +26,7 @@ from .store import save
 M, T, WIDTH = 32, 2, 3
 MINIMA, MINIMA_AGREED = M * WIDTH, 52
 POSTED = M - T + 1
-BLOCK = 512  # members in a block of a long list
+BLOCK = 1024  # members in a block of a long list
 _U, _W = np.uint64, np.uint32
 _A, _B = (seeds(x, MINIMA).astype(_W) | _W(1) for x in (101, 202))
 _S = seeds(303, M + 1)
