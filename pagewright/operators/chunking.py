@@ -46,19 +46,16 @@ def page_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_
     index = F.when(n > 0, F.sequence(F.lit(0), chunk_count(n, size, overlap) - 1)).otherwise(F.array(F.lit(-1)))
     cut = docs.select("document_id", "first", "last", "words", F.explode(index).alias("i"))
     cut = cut.select("document_id", "first", "last", F.greatest("i", F.lit(0)).alias("chunk_index"), F.when(F.col("i") >= 0, F.slice("words", F.greatest("i", F.lit(0)) * step + 1, size)).alias("w"))
-    # running offsets: each word's start, as a fold that keeps a span per page
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<page_number:int,start_offset:int,end_offset:int>>)").alias("spans"))
+    # words stand in page order, so a page's span ends where the words up to it do
+    def upto(keep) -> Column:
+        return F.array_join(F.transform(F.filter("w", keep), lambda x: x["t"]), " ")
 
-    def add(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["t"])
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        page = x["p"].cast("int")
-        same = F.coalesce(last["page_number"] == page, F.lit(False))
-        longer = F.concat(F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0))), F.array(F.struct(page.alias("page_number"), last["start_offset"].alias("start_offset"), end.alias("end_offset"))))
-        other = F.concat(acc["spans"], F.array(F.struct(page.alias("page_number"), acc["at"].alias("start_offset"), end.alias("end_offset"))))
-        return F.struct((end + 1).alias("at"), F.when(same, longer).otherwise(other).alias("spans"))
+    def span(page: Column) -> Column:
+        before = F.length(upto(lambda x: x["p"] < page))
+        start = F.when(before > 0, before + 1).otherwise(0)
+        return F.struct(page.cast("int").alias("page_number"), start.alias("start_offset"), F.length(upto(lambda x: x["p"] <= page)).alias("end_offset"))
 
-    spans = F.aggregate("w", start, add)["spans"]
+    spans = F.transform(F.array_distinct(F.transform("w", lambda x: x["p"])), span)
     empty = F.array(F.struct(F.col("first").cast("int").alias("page_number"), F.lit(0).alias("start_offset"), F.lit(len(NO_TEXT)).alias("end_offset")))
     none = F.col("w").isNull()
     return cut.select(
