@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 Rules are regular expressions over a text's normalised words (A-Z lower-cased, one space between words). Each rule has a
-priority and a keyword without which it cannot match; a text is searched by those rules only whose keyword it holds. Of
+priority and keywords, one of which is in every match; a text that holds none of them isn't searched by that rule. Of
 overlapping detections the one of better priority, then the longer, stands, and those inside it are suppressed.
 """
 
@@ -18,7 +18,7 @@ from .kernel import columns
 # Fixed phrases and their labels.
 BASE = [(b"gnu general public license", "gpl"), (b"apache license", "apache"), (b"cc by", "cc-by"), (b"mit license", "mit")]
 
-# label, keyword, name as words, SPDX identifier as words
+# label, keyword (several with | between them), name as words, SPDX identifier as words
 NAMES = [
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?: v(?:ersion)? ?3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
     ("gpl-2.0", "gnu", r"gnu general public licen[sc]e (?:v|version )2(?: 0)?", "gpl 2 0(?: only| or later)?"),
@@ -35,7 +35,7 @@ NAMES = [
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[sc]e", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd) licen[sc]e", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e", "bsd 4 clause"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "clause bsd|0bsd", r"(?:zero clause bsd|0bsd)(?: licen[sc]e)?", "0bsd"),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", "bsd"),
     ("isc", "isc", r"isc licen[sc]e", "isc"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e(?: v| version )1 1", "mpl 1 1"),
@@ -43,7 +43,7 @@ NAMES = [
     ("epl-1.0", "eclipse", r"eclipse public licen[sc]e(?: v| version )1 0", "epl 1 0"),
     ("epl-2.0", "eclipse", r"eclipse public licen[sc]e(?:(?: v| version )2 0)?", "epl 2 0"),
     ("edl", "eclipse", r"eclipse distribution licen[sc]e", "edl 1 0"),
-    ("cddl-1.0", "cddl", r"(?:common development and distribution licen[sc]e|cddl)(?: 1 0)?", "cddl 1 [01]"),
+    ("cddl-1.0", "development and distribution|cddl", r"(?:common development and distribution licen[sc]e|cddl)(?: 1 0)?", "cddl 1 [01]"),
     ("cpl-1.0", "common", r"common public licen[sc]e(?: version)?(?: 1 0)?", "cpl 1 0"),
     ("eupl", "european", r"european union public licen[sc]e(?: v(?:ersion)? ?1 [012])?", "eupl 1 [012]"),
     ("artistic-1.0", "artistic", r"artistic licen[sc]e 1 0", "artistic 1 0"),
@@ -103,43 +103,41 @@ SENTENCES = [
     ("apache-2.0", "compliance", r"you may not use this file except in compliance with the licen[sc]e"),
     ("gpl", "free", r"this program is free software you can redistribute it and or modify it"),
     ("lgpl", "library", r"this library is free software you can redistribute it and or modify it"),
-    ("mpl-2.0", "covered", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("bsl-1.0", "boost", r"distributed under the boost software licen[sc]e"),
-    ("cc0", "waived", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
     ("public-domain", "domain", r"(?:in|into|to) the public domain"),
     ("proprietary", "rights", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 ]
-GATES = [b"licen", b"spdx", b"copyright", b"permi", b"redistribut", b"domain", b"cc", b"rights", b"software", b"wtfpl", b"0bsd", b"cddl", b"creative commons", b"confidential", b"advertising", b"dedicat"]
 
 
-def rules() -> list[tuple[int, float, str, bytes, bytes]]:
-    """(priority, trust, label, keyword, pattern) in order of priority: every name in every frame, and the sentences."""
+def rules() -> list[tuple[int, float, str, tuple[bytes, ...], bytes]]:
+    """(priority, trust, label, keywords, pattern) in order of priority: every name in every frame, and the sentences."""
     out = [(5, 0.9, label, word, text) for label, word, text in SENTENCES]
     for label, word, name, ident in NAMES:
         for priority, trust, frame in FRAMES:
             by_id = "{id}" in frame
             out.append((priority, trust, label, "spdx" if by_id else word, frame.replace("{id}", ident).replace("{name}", name)))
-    return [(p, t, label, w.encode(), rf" (?:{x})(?= )".encode()) for p, t, label, w, x in sorted(out, key=lambda r: r[0])]
+    return [(p, t, label, tuple(w.encode().split(b"|")), rf" (?:{x})(?= )".encode()) for p, t, label, w, x in sorted(out, key=lambda r: r[0])]
 
 
+GATES = sorted({w for _, _, _, words, _ in rules() for w in words})
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
 
 
 def detect(norm: bytes, table) -> list[tuple[int, int, int, float, str]]:
     """(start, end, priority, trust, label) of the detections that stand, in a text of words with a space before each and
     at the end."""
-    if not any(g in norm for g in GATES):
+    held = {g for g in GATES if g in norm}
+    if not held:
         return []
-    known: dict[bytes, bool] = {}
     found = []
-    for priority, trust, label, word, pattern in table:
-        if word not in known:
-            known[word] = word in norm
-        if known[word]:
+    for priority, trust, label, words, pattern in table:
+        if not held.isdisjoint(words):
             found += [(m.start(), m.end(), priority, trust, label) for m in re.compile(pattern).finditer(norm)]
     return stand(found)
 

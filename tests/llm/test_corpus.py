@@ -266,6 +266,51 @@ def test_licenses(spark, none):
     assert licenses.scanned(none).collect() == [] and len(licenses.rules()) > 200
 
 
+def written(pattern, r):
+    """A text that a pattern matches, with random choices."""
+    out = []
+    for op, arg in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "ANY":
+            out.append("x")
+        elif op == "IN":
+            kind, c = r.choice(arg)
+            out.append(chr(c) if str(kind) == "LITERAL" else "7")
+        elif op == "BRANCH":
+            out.append(written(r.choice(arg[1]), r))
+        elif op == "SUBPATTERN":
+            out.append(written(arg[-1], r))
+        elif op.endswith("REPEAT"):
+            out += [written(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], 9)))]
+        else:
+            assert op.startswith("ASSERT")
+    return "".join(out)
+
+
+def test_license_keywords_lose_no_match():
+    r, table = random.Random(8), licenses.rules()
+    for *_, words, pattern in table:
+        for _ in range(12):
+            norm = written(re._parser.parse(pattern.decode()), r).encode() + b" "
+            assert re.search(pattern, norm) is None or any(w in norm for w in words)
+            every = [(m.start(), m.end(), p, t, label) for p, t, label, _, x in table for m in re.finditer(x, norm)]
+            assert licenses.detect(norm, table) == licenses.stand(every), norm
+
+
+def test_licenses_without_their_short_names(spark):
+    cases = [
+        ("under Common Development and Distribution License", "cddl-1.0"),
+        ("the Zero-Clause BSD License", "0bsd"),
+        ("The person who associated a work with this deed has dedicated the work to the public domain.", "cc0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License.", "mpl-2.0"),
+        ("MIT No Attribution", "mit-0"),
+    ]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(cases))] == [x for _, x in cases] and all(r.score > 0 for r in got.values())
+
+
 def test_containment():
     d = [(0, 50, 2, 0.9, "long"), (10, 30, 6, 0.7, "inside"), (40, 60, 6, 0.7, "overlap"), (10, 30, 1, 0.99, "better")]
     assert {x[4] for x in licenses.stand(list(d))} == {"long", "overlap", "better"}
