@@ -1,13 +1,15 @@
 """Quality rules: fixed limits, then robust multivariate outliers by language and source.
 
 Each text gives a vector of transformed statistics. For each (lang, source) the minimum-covariance-determinant estimate is
-found by concentration steps over all its documents, from a start by medians: each step keeps the H share of documents with
-the smallest distances and takes their mean and covariance. Documents whose Mahalanobis distance is beyond a far quantile of
-its chi-squared law are rejected.
+found by concentration steps over all its documents: each step keeps the H share of documents with the smallest distances and
+takes their mean and covariance. They begin at STARTS (medians, all documents, spatial signs) and go on until no
+determinant falls; the least of a group is taken. Documents whose Mahalanobis distance is beyond a far quantile of its
+chi-squared law are rejected.
 
 Counts and moments are sums of integers, so results don't depend on the order of rows, and are pre-aggregated before each
-shuffle: a hot group fills no task. Only one row for each group, not documents, meets in Python to invert its matrix. Groups
-with fewer than LEAST documents take the estimate of their language, and small languages that of all documents.
+shuffle: a hot group fills no task. Only one row for each group and start, not documents, meets in Python to invert its
+matrix. Groups with fewer than LEAST documents, too few for a covariance of P dimensions, take the estimate of all such
+groups of their language together, and if those are too few as well, one of all that are left.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ P = 5
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 UNIT = 1024  # statistics are held in units of 1 / UNIT
-STEPS, H, LEAST = 4, 0.75, 200
+H, LEAST = 0.75, 30
+STARTS = 3
+FALLS = 1e-3  # a determinant that falls by a smaller share stands still
 FLOOR = 0.15  # least standard deviation of a statistic
 # Fixed values of the chi-squared law with 5 degrees of freedom: the quantile at 0.75, one beyond which 5e-7 lie; P(chi2_7 <= first).
 CHI_H, CHI_FAR, CHI7_H = 6.6257, 37.3325, 0.5313
@@ -97,13 +101,14 @@ def _vector() -> list:
     return [F.round(x * UNIT).cast("long").alias(n) for x, n in zip(raw, X)]
 
 
-_PARAMS = "grp string, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"v{i}{j} double" for i, j in PAIRS)
+_PARAMS = "grp string, start int, det double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"v{i}{j} double" for i, j in PAIRS)
 
 
-def _row(grp: str, mean: np.ndarray, cov: np.ndarray) -> list:
+def _row(grp: str, start: int, mean: np.ndarray, cov: np.ndarray, scale: float = 1.0) -> list:
+    """det is that of the covariance with the least deviations; scale makes it consistent."""
     cov = cov + np.diag(np.maximum(0, FLOOR**2 - np.diag(cov)) + 1e-6)
-    inv = np.linalg.inv(cov)
-    return [grp, *mean.tolist(), *(float(inv[i, j]) * (1 if i == j else 2) for i, j in PAIRS)]
+    inv = np.linalg.inv(cov * scale)
+    return [grp, start, float(np.linalg.det(cov)), *mean.tolist(), *(float(inv[i, j]) * (1 if i == j else 2) for i, j in PAIRS)]
 
 
 def _frame(rows: list[list]):
@@ -122,7 +127,7 @@ def _start(pdf):
         d = np.abs(v - mean[i])
         order = np.argsort(d, kind="stable")
         scale[i] = max(FLOOR, 1.4826 * d[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
-    return _frame([_row(pdf.grp.iloc[0], mean, np.diag(scale**2))])
+    return _frame([_row(pdf.grp.iloc[0], 0, mean, np.diag(scale**2))])
 
 
 def _estimates(batches):
@@ -133,10 +138,78 @@ def _estimates(batches):
             cov = np.zeros((P, P))
             for i, j in PAIRS:
                 cov[i, j] = cov[j, i] = getattr(r, f"s{i}{j}") / r.n / UNIT**2 - mean[i] * mean[j]
-            rows.append(_row(r.grp, mean, cov * H / CHI7_H))
+            rows.append(_row(r.grp, r.start, mean, cov, H / CHI7_H))
         yield _frame(rows)
 
 
+def _signs(batches):
+    """Starts from the spatial signs: medians, and the covariance of the directions in which documents lie from them."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            mean, scale = np.array([getattr(r, f"m{i}") for i in range(P)]), np.array([getattr(r, f"v{i}{i}") for i in range(P)]) ** -0.5
+            cov = np.zeros((P, P))
+            for i, j in PAIRS:
+                cov[i, j] = cov[j, i] = P * getattr(r, f"s{i}{j}") / r.n / UNIT**2 * scale[i] * scale[j]
+            rows.append(_row(r.grp, r.start, mean, cov))
+        yield _frame(rows)
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Sums of the statistics and their products for each group and start."""
+    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """STARTS estimates of each group, to begin with."""
+    each = F.posexplode(F.array(*X)).alias("dim", "x")
+    hist = rows.select("grp", each).groupBy("grp", "dim", F.floor(F.col("x") / 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    medians = save(hist.groupBy("grp").applyInPandas(_start, _PARAMS), "estimate")
+    every = _moments(rows.withColumn("start", F.lit(1))).mapInPandas(_estimates, _PARAMS)
+    d = [(F.col(x) / UNIT - F.col(f"m{i}")) * F.sqrt(F.col(f"v{i}{i}")) for i, x in enumerate(X)]
+    far = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
+    signs = rows.join(medians.drop("start"), "grp").select("grp", F.lit(2).alias("start"), *(F.coalesce(F.round(UNIT * x / F.nullif(far, F.lit(0.0))), F.lit(0.0)).cast("long").alias(n) for x, n in zip(d, X)))
+    known = medians.select("grp", *(f"m{i}" for i in range(P)), *(f"v{i}{i}" for i in range(P)))
+    signs = _moments(signs).join(known, "grp").mapInPandas(_signs, _PARAMS)
+    return save(medians.unionByName(every).unionByName(signs), "estimate")
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Estimates of the H share of documents that are nearest by params."""
+    key = ["grp", "start"]
+    placed = rows.join(params, "grp").withColumn("bin", F.floor(F.log2(_distance() + 0.001) * 32))
+    bins = placed.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    cut = bins.select(*key, "bin", F.coalesce(upto, F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy(*key)).alias("all"))
+    cut = cut.where(F.col("below") < H * F.col("all")).groupBy(*key).agg(F.max("bin").alias("last"))
+    near = placed.join(cut, key).where(F.col("bin") <= F.col("last"))
+    return save(_moments(near).mapInPandas(_estimates, _PARAMS), "estimate")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """One row of _PARAMS for each group of rows (grp, X): of all starts and steps, the one with the least determinant.
+
+    A start rests once its determinant doesn't fall. The driver holds the estimates, a few for each group."""
+    spark = rows.sparkSession
+    least: dict[tuple, tuple] = {}
+    params = _step(rows, _starts(rows))
+    while True:
+        falling = []
+        for r in params.collect():
+            k = (r.grp, r.start)
+            if k not in least or r.det < least[k].det * (1 - FALLS):
+                least[k] = r
+                falling.append(r)
+        if not falling:
+            break
+        params = _step(rows, spark.createDataFrame(falling, _PARAMS))
+    best: dict[str, tuple] = {}
+    for k, r in sorted(least.items()):
+        if k[0] not in best or r.det < best[k[0]].det:
+            best[k[0]] = r
+    return spark.createDataFrame(list(best.values()), _PARAMS)
+
+
 def _distance():
     d = [F.col(x) / UNIT - F.col(f"m{i}") for i, x in enumerate(X)]
     return sum((F.col(f"v{i}{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0))
@@ -164,18 +237,7 @@ def checked(docs: DataFrame) -> DataFrame:
     rows = good.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).select("grp", *X)
     rows = save(rows, "vectors")
 
-    each = F.posexplode(F.array(*X)).alias("dim", "x")
-    hist = rows.select("grp", each).groupBy("grp", "dim", F.floor(F.col("x") / 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    params = save(hist.groupBy("grp").applyInPandas(_start, _PARAMS), "estimate")
-    for _ in range(STEPS):
-        placed = rows.join(params, "grp").withColumn("bin", F.floor(F.log2(_distance() + 0.001) * 32))
-        bins = placed.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-        cut = bins.select("grp", "bin", F.coalesce(upto, F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("grp")).alias("all"))
-        cut = cut.where(F.col("below") < H * F.col("all")).groupBy("grp").agg(F.max("bin").alias("last"))
-        near = placed.join(cut, "grp").where(F.col("bin") <= F.col("last"))
-        moments = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS))
-        params = save(moments.mapInPandas(_estimates, _PARAMS), "estimate")
+    params = estimates(rows)
 
     out = light.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left").join(params, "grp", "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))

@@ -251,6 +251,44 @@ def test_rules(spark, odd, none):
     assert rules.counts(*_bytes(["A a\na A\n\nA a\n", "x\n x", ""]))[3].tolist() == [1, 0, 0]
 
 
+def test_rules_of_small_sources(spark):
+    """Sources of 60 documents are judged by their own spread: a document in another's style is an outlier of its source."""
+    r = random.Random(9)
+
+    def text(style):
+        one, many = ("abcdefgh", (2, 4)) if style == "a" else ("stuvwxyz", (9, 14))
+        plain = ["".join(r.choice(one) for _ in range(r.randint(*many))) for _ in range(r.randint(80, 160))]
+        return " ".join(w + ("#$%" if style == "b" else "") for w in plain)
+
+    rows = [(i, text("ab"[i % 2]), "en", "ab"[i % 2]) for i in range(120)] + [(500, text("b"), "en", "a"), (501, text("a"), "en", "b")]
+    got = {x.doc_id: x.kept for x in rules.checked(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[500] and not got[501] and sum(got.values()) >= 118
+
+
+def test_rules_take_the_least_determinant(spark):
+    g = np.random.default_rng(10)
+    rows, want = [], {}
+    for k in range(6):
+        x = g.normal(size=(80, 5)) @ g.normal(size=(5, 5))
+        x[:16] = x[:16] * 0.3 + g.normal(size=5) * 6
+        x = np.round(x * 1024).astype(int)
+        rows += [(f"g{k}", *row) for row in x.tolist()]
+        want[f"g{k}"] = np.inf
+        for _ in range(60):
+            near, last = x[g.choice(80, 8, False)] / 1024, np.inf
+            while True:
+                cov = np.cov(near.T, bias=True) + 1e-6 * np.eye(5)
+                if np.linalg.det(cov) >= last and len(near) == 60:
+                    break
+                last = np.linalg.det(cov) if len(near) == 60 else np.inf
+                d = x / 1024 - near.mean(0)
+                near = x[np.argsort((d @ np.linalg.inv(cov) * d).sum(1))[:60]] / 1024
+            want[f"g{k}"] = min(want[f"g{k}"], last)
+    got = rules.estimates(spark.createDataFrame(rows, ["grp", *rules.X])).collect()
+    assert {r.grp for r in got} == set(want)
+    assert all(r.det < 1.1 * want[r.grp] for r in got), [(r.det / want[r.grp], r.start) for r in got]
+
+
 def _bytes(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
