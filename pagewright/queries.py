@@ -518,16 +518,18 @@ def sse_decode(s, d):
 
 
 def deltas(s, d):
-    """Each turn of a conversation as a structured answer that arrives seven characters at a time."""
-    c = parquet(s, d, "conversations").where("turn < 1000").withColumn("conv_id", F.col("conv_id") * 1000 + F.col("turn"))
-    c = c.select("conv_id", F.to_json(F.struct(F.col("text").alias("answer"), F.array().cast("array<string>").alias("citations"))).alias("j"))
+    """Each turn of a conversation as a structured answer that arrives seven characters at a time. The turns are told apart
+    by (conv_id, turn)."""
+    c = parquet(s, d, "conversations")
+    c = c.select("conv_id", "turn", F.to_json(F.struct(F.col("text").alias("answer"), F.array().cast("array<string>").alias("citations"))).alias("j"))
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("j") / 7) - 1), lambda i: F.substring(F.col("j"), (i * 7 + 1).cast("int"), F.lit(7)))
-    return c.select("conv_id", F.posexplode(cut).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("long"))
+    return c.select("conv_id", "turn", F.posexplode(cut).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("SELECT conv_id * 1000 + turn AS conv_id, text AS answer FROM conversations")
 def answer_stream_fold(s, d):
-    return folded_answers(deltas(s, d))
+    folded = folded_answers(deltas(s, d), ["conv_id", "turn"])
+    return folded.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), "answer")
 
 
 @query("SELECT conv_id, string_agg(role, '' ORDER BY turn) FILTER (turn <= cut) AS answer, CASE WHEN max(turn) > max(cut) THEN 'error' ELSE 'open' END AS state FROM (SELECT *, 3 AS cut FROM conversations) GROUP BY conv_id")

@@ -88,14 +88,16 @@ def streamed_answers(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("conv_id").applyInPandasWithState(run, _OUT, _STATE, "append", "NoTimeout")
 
 
-def folded_answers(deltas: DataFrame) -> DataFrame:
-    """(conv_id, answer) of finished conversations (conv_id, seq, delta); one row of state for each."""
+def folded_answers(deltas: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., answer) of finished answers (by..., seq, delta), by default one for each conv_id; one row of state for each."""
+    by = by or ["conv_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = AnswerExtractor()
-        return pd.DataFrame({"conv_id": [pdf.conv_id.iloc[0]], "answer": ["".join(x.feed(d or "") for d in pdf.sort_values("seq").delta)]})
+        return pdf[by].head(1).assign(answer="".join(x.feed(d or "") for d in pdf.sort_values("seq").delta))
 
-    return deltas.groupBy("conv_id").applyInPandas(run, "conv_id long, answer string")
+    kinds = dict(deltas.dtypes)
+    return deltas.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", answer string")
 
 
 def folded_events(events: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ def test_answers(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, folded_answers(df).collect())) == [(1, 'one "two" three'), (2, 'one "two" three')]
 
 
+def test_answers_of_a_long_conversation(spark, tmp_path):
+    """More turns than 1,000, whose conv_id * 1000 + turn is also another conversation's: each is a row, as in the SQL."""
+    import duckdb
+
+    from pagewright.queries import QUERIES, SQL
+
+    rows = [(1, t, f"one {t}") for t in (0, 999, 1000, 1001, 2500)] + [(2, t, f"two {t}") for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["answer_stream_fold"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(SQL["answer_stream_fold"]).fetchall()) and len(got) == len(rows)
+
+
 def test_supervisor(spark, tmp_path):
     log = [(1, 0, "reserve", 0, False), (1, 1, "begin", 1, False), (1, 2, "failed", 1, False), (2, 0, "begin", 1, False), (2, 1, "ready", 2, False), (2, 2, "ready", 1, False)]
     df = spark.createDataFrame(log, "id long, seq long, kind string, attempt int, transient boolean")
