@@ -209,21 +209,45 @@ def test_sharding(spark, odd, none, monkeypatch):
     assert sharding.sharded(none).collect() == []
 
 
-def test_top_k(spark):
+def best_rows(vec, every=50, k=5):
+    """(query_id, rank, vec_id, score) of all rows by brute force, in Python's integers."""
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vec if i is not None and v is not None and not any(x is None or not np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, x) in enumerate(good):
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for n, (i, y) in enumerate(good) if n != at)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bits", [12, 4])
+def test_top_k(spark, monkeypatch, bits):
+    """Nulls, copies, repeated ids, empty and shorter vectors; with small blocks most lists send too few at first."""
+    monkeypatch.setattr(topk, "BLOCK_BITS", bits)
+    monkeypatch.setattr(topk, "LOCAL", bits // 2)
     r = np.random.default_rng(2)
     vec = [(i, (r.normal(size=8) / 3).tolist()) for i in range(300)]
     vec[7:60] = [(i, vec[0][1]) for i in range(7, 60)]
-    vec += [(500, None), (550, [None] * 8), (600, [float("nan")] * 8), (None, vec[1][1]), (650, []), (650, vec[2][1]), (100, vec[100][1])]
-    got = topk.top_k(spark.createDataFrame(vec, "vec_id long, embedding array<double>")).collect()
-    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vec if i is not None and v and not any(x is None or x != x for x in v)}
-    want = []
-    for q in sorted(i for i in good if i % 50 == 0):
-        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted(map(tuple, got)) == want
+    vec += [(500, None), (550, [None] * 8), (600, [float("nan")] * 8), (610, [float("inf")] * 8), (None, vec[1][1]), (650, []), (650, vec[2][1]), (100, vec[100][1]), (700, [9.0] * 3), (701, [8.0] * 11)]
+    df = spark.createDataFrame(vec, "vec_id long, embedding array<double>").selectExpr("*", "1 as row", "2 as block", "'x' as q", "3 as p0")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == best_rows(vec)
+
+
+def test_top_k_of_few(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert list(map(tuple, topk.top_k(few).collect())) == [(0, 1, 1, 131072)]
-    assert topk.top_k(few.limit(0)).collect() == []
+    assert topk.top_k(few.limit(0)).collect() == [] and topk.top_k(few.where("vec_id = 1")).collect() == []
+
+
+def test_top_k_of_large_components(spark):
+    """Scores are exact up to 61 bits and an error beyond, never wrapped."""
+    vec = [(0, [3e6, 1.0]), (1, [3e6, 0.5]), (2, [1.0, 0.0]), (3, [-2e6, 4e6]), (4, [0.0, 1e12])]
+    df = spark.createDataFrame(vec, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == best_rows(vec)
+    for big in (1e8, 1e300):
+        wide = spark.createDataFrame([(0, [big, 0.0]), (1, [big, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="fit a long"):
+            topk.top_k(wide).collect()
 
 
 def base_counts(t):
