@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OPEN: list[list[str]] = []  # tables of the operators that run now
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; only where that is
-    unset, as in tests on one machine, a temporary folder is set."""
+    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; only where that is unset and all
+    executors are on this machine, as in tests, a temporary folder is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -24,10 +30,41 @@ def save(df: DataFrame, name: str, cut: int | None = None) -> DataFrame:
     depends on files of one executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     (df.coalesce(cut) if cut else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose rows are written to the shared folder, and whose other tables there are deleted, when it ends."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        made: list[str] = []
+        _OPEN.append(made)
+        try:
+            out = operator(docs, *args, **more)
+        except BaseException:
+            delete(docs.sparkSession, made)
+            raise
+        finally:
+            _OPEN.pop()
+        if not made:
+            return out
+        result = save(out, operator.__name__)
+        delete(docs.sparkSession, made)
+        return result
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
