@@ -5,9 +5,12 @@ are ranked by size; the prefix sum at rank i is i * r, one random offset u is ad
 integer that lies in (u + (i - 1) * r, u + i * r]. Ranking by size spreads the draws over all sizes, so taken words come near
 the target.
 
+A source of few or very unequal documents would still miss its target by up to its longest one, so u is the one of TRIES seeded
+offsets whose words come nearest the target.
+
 Ranks need no task that holds a source: rows are counted by (source, size class, slice), the counts are summed up over the
-few cells of a source, and rows are numbered inside their cell only. A slice is a hash of doc_id, and there are as many as
-keep cells small, so neither a hot source nor a hot size fills one task. Texts are not shuffled.
+cells of a source, and rows are numbered inside their cell only. A slice is the first SLICE_DIGITS of a hash of doc_id, at every
+size of the table, so neither a hot source nor a hot size fills one task. Texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import save, tidy
 
-WORD_GAPS = r"[\x20\x09-\x0D]+"
-CELL_ROWS = 50_000
+SLICE_DIGITS = 2  # 256 slices
 MOST_COPIES = 3
+TRIES = 32
+BROADCAST = 1 << 16  # sources
 
 
 def word_count(text: Column) -> Column:
@@ -29,9 +33,15 @@ def word_count(text: Column) -> Column:
     return (F.length(t) + 1 - starts).cast("long")
 
 
-def offset(source: Column, seed: int) -> Column:
-    """A number in [0, 1) fixed by source and seed."""
-    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), 1, 8)
+def slice_of(doc_id: Column, text: Column) -> Column:
+    """Hex digits of a hash of doc_id; rows without one are told apart by their texts."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return F.substring(F.md5(key), 1, SLICE_DIGITS)
+
+
+def offset(source: Column, seed: int, n: int) -> Column:
+    """The n-th number in [0, 1) of a source and a seed."""
+    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:{n}:"), F.coalesce(source, F.lit("")))), 1, 8)
     return F.conv(hexed, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -52,42 +62,52 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
+def _copies(u: Column) -> Column:
+    """How many integers a document's step crosses; a rounded sum may cross one too many."""
+    n = F.floor(F.col("rank") * F.col("r") + u) - F.floor((F.col("rank") - 1) * F.col("r") + u)
+    return F.least(n, F.lit(MOST_COPIES)).cast("long")
+
+
+@tidy
 def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size (words), source, source_size, target, copies: one row for each row of docs (doc_id, text, source; other
     columns are ignored). Null texts and texts without words have size 0. A null source is a source of its own. Rows that
     repeat are documents of their own. If no document has words, all copies are 0. Empty table: no rows."""
-    light = save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    light = light.withColumn("g", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
-    sums = save(targets(light.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    slices = 1 + light.count() // CELL_ROWS
-    light = light.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slices)))
+    light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), slice_of(F.col("doc_id"), F.col("text")).alias("h"))
+    light = save(light.withColumn("g", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")), "sizes")
+    known = save(targets(light.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    few = known.count() <= BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
     cells = light.groupBy("source", "g", "h").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("g", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select(F.col("source").alias("s"), F.col("g").alias("cg"), F.col("h").alias("ch"), before.alias("before"))
     ranked = light.withColumn("n", F.row_number().over(Window.partitionBy("source", "g", "h").orderBy("size", "doc_id")))
     ranked = ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("cg")) & (F.col("h") == F.col("ch")))
     ranked = ranked.select("doc_id", "source", "size", (F.col("before") + F.col("n")).alias("rank"))
-    known = sums.select(F.col("source").alias("s"), "source_size", "target")
-    out = ranked.join(known, F.col("source").eqNullSafe(F.col("s")), "left")
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = offset(F.col("source"), seed)
-    n = F.floor(F.col("rank") * r + u) - F.floor((F.col("rank") - 1) * r + u)
-    # a rounded sum may cross one integer too many
-    return out.select("doc_id", "size", "source", "source_size", "target", F.least(n, F.lit(MOST_COPIES)).cast("long").alias("copies"))
+    ranked = save(ranked.join(small(known.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("r", r), "ranks")
+
+    each = [F.sum(F.col("size") * _copies(offset(F.col("source"), seed, n))).alias(f"taken{n}") for n in range(TRIES)]
+    tried = ranked.groupBy("source").agg(F.first("target").alias("target"), *each)
+    best = F.least(*(F.struct(F.abs(F.col(f"taken{n}") - F.col("target")).alias("miss"), F.lit(n).alias("n"), offset(F.col("source"), seed, n).alias("u")) for n in range(TRIES)))
+    best = save(tried.select(F.col("source").alias("s"), best["u"].alias("u")), "offsets")
+    out = ranked.join(small(best), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source", "source_size", "target", _copies(F.col("u")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed documents: each row of docs as many times as it is drawn, all columns as they are. Rows with one doc_id
     take the number of the one that is drawn most. Documents without words follow their source as well."""
-    drawn = copies(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_drawn_id")).agg(F.max("copies").alias("_drawn"))
-    out = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_drawn_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_drawn")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn = copies(docs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = whole.join(drawn, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
-# Equal to op4_mixing as long as one slice holds all rows (CELL_ROWS); beyond that ranks follow another hash.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 2) AS h FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -98,11 +118,18 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap), cap) AS target FROM l
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS i,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r,
-    CAST(CAST('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    row_number() OVER (PARTITION BY d.source ORDER BY CAST(floor(log2(d.size + 1) * 8) AS INTEGER), d.h, d.size, d.doc_id) AS i,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT t.source, n, CAST(CAST('0x' || substr(md5('7:' || n || ':' || coalesce(t.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM t, range(32) AS x(n)
+), c AS (
+  SELECT r.*, u.n, least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS copies FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
+), best AS (
+  SELECT source, n FROM (SELECT source, n, abs(sum(size * copies) - any_value(target)) AS miss FROM c GROUP BY source, n)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, n) = 1
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS BIGINT) AS taken FROM r
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken
+FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.n = best.n
 """

@@ -4,18 +4,27 @@ Keys are 63-bit: the crc32 of the text, then a hash of doc_id, so equal texts li
 still be cut. Bytes below candidate boundaries are counted exactly over all partitions: the first round counts equal slices of
 the key range, each further round cuts only slices that hold a boundary, until every boundary is within tolerance of its
 target or its slice is a single key. Then rows are exchanged once, by boundaries that are finer than the shards, and numbered
-inside pieces. Only counts of slices reach the driver, at most pieces * 2**STEP_BITS in a round.
+inside pieces. Only counts of slices reach the driver, at most MOST_PIECES * 2**STEP_BITS in a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import save, tidy
 
 KEY_BITS, FIRST_BITS, STEP_BITS = 63, 12, 6
-MOST_PIECES, PIECE_ROWS = 1024, 50_000
+MOST_PIECES, PIECE_ROWS = 16_384, 50_000
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from a literal, without Python workers."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
 
 
 def splitters(light: DataFrame, pieces: int, shards: int, tolerance: float) -> tuple[list[tuple[int, int, int]], int]:
@@ -56,7 +65,7 @@ def splitters(light: DataFrame, pieces: int, shards: int, tolerance: float) -> t
         open_ = nxt
         if open_:
             step = min(STEP_BITS, shift)
-            held = light.sparkSession.createDataFrame([(int(k),) for k in open_], "parent long")
+            held = listed(light.sparkSession, [(int(k),) for k in open_], "parent long")
             old, shift, per = shift, shift - step, step
             counts = light.withColumn("parent", F.shiftright("key", old)).join(F.broadcast(held), "parent").groupBy(F.shiftright("key", shift).alias("slice")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("slice").collect()
     out, last = [], 0
@@ -67,6 +76,7 @@ def splitters(light: DataFrame, pieces: int, shards: int, tolerance: float) -> t
     return out, rows
 
 
+@tidy
 def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 1), text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard), grown_shard
     (null): one row for each row of docs (doc_id, text; other columns are ignored).
@@ -91,14 +101,14 @@ def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> Data
     for s in range(1 << FIRST_BITS):
         rows_of.append((s, below, slices.get(s, [])))
         below += len(slices.get(s, []))
-    table = light.sparkSession.createDataFrame(rows_of, "slice long, below int, cuts array<long>")
+    table = listed(light.sparkSession, rows_of, "slice long, below int, cuts array<long>")
     dealt = light.withColumn("slice", F.shiftright("key", coarse)).join(F.broadcast(table), "slice")
     piece = F.col("below") + F.size(F.filter("cuts", lambda c: c <= F.col("key")))
     dealt = dealt.withColumn("piece", piece.cast("int")).select("doc_id", "size", "text_crc32", "key", "piece")
     starts = []
     for i, (_, _, above) in enumerate(begins):
         starts.append((i, i // per, above - (begins[i - i % per][2])))
-    at = light.sparkSession.createDataFrame(starts, "piece int, shard int, before long")
+    at = listed(light.sparkSession, starts, "piece int, shard int, before long")
     n = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id"))
     out = dealt.withColumn("n", n).join(F.broadcast(at), "piece")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -4,7 +4,7 @@ The score of a vector is the sum of its partial scores in LISTS groups of coordi
 list reads only its part of the table. Vectors stand in blocks of BLOCK rows, and partial scores are matrix products.
 
 1. Gather: each block of each list sends its LOCAL best partial scores for each query; they are saved. The vectors among the
-   k best of each list are scored whole; the k-th best of them bounds the result from below.
+   SEEN best of each list are scored whole; the k-th best of them bounds the result from below.
 2. Broadcast: a vector that reaches the bound has a partial score of at least bound / LISTS in some list. Every saved entry
    that reaches this cutoff is collected. Where all that a block sent reaches it, the block may hold more, and only there
    scores are computed again. What other lists didn't send lies below the cutoff, so an upper bound is known for each
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .kernel import grouped
 from .store import save
 
-LISTS, QUERIES, COMPONENTS, BLOCK_BITS, LOCAL = 2, 2048, 1 << 21, 12, 16
+LISTS, QUERIES, COMPONENTS, BLOCK_BITS, LOCAL, SEEN = 2, 2048, 1 << 21, 12, 128, 128
 SLICE = 512  # queries in one product
 SAFE = 1 << 61  # partial scores beyond this are an error, so sums never wrap
 NONE = -(1 << 62)
@@ -107,7 +107,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_: str = "vec_id",
     spark = vectors.sparkSession
     whole = save(integers(vectors, id_, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_query = F.col("vec_id") % every == 0
-    facts = whole.agg(F.avg(F.size("v")).alias("width"), F.count_if(is_query).alias("n"), F.sum(F.when(is_query, F.size("v"))).alias("components")).first()
+    facts = whole.agg(F.avg(F.size("v")).alias("width"), F.count_if(is_query).alias("n"), F.sum(F.when(is_query, F.size("v"))).alias("components"), F.count(F.lit(1)).alias("all")).first()
     if not facts.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     cut = [round(facts.width * j / LISTS) for j in range(LISTS)]
@@ -115,7 +115,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_: str = "vec_id",
     copies = Window.partitionBy("v").orderBy("vec_id", "row")
     few = whole.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     parts = [F.slice("v", a + 1, (1 << 30) if b is None else b - a).alias(f"p{j}") for j, (a, b) in enumerate(zip(cut, ends))]
-    table = save(few.select("row", "vec_id", *parts, F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")), "lists")
+    few = few.select("row", "vec_id", *parts).coalesce(1 + (facts.all >> BLOCK_BITS + 2))  # partitions of some blocks each
+    table = save(few.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "lists")
     batches = max(-(-facts.n // QUERIES), -(-facts.components // COMPONENTS))
     out = None
     for i in range(batches):
@@ -152,7 +153,7 @@ def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
             n_asked = len(held.value[0])
             for t in grouped(batches, "block"):
                 row, part = t.column("row").to_numpy(), Ragged(t.column(f"p{j}"))
-                m = min(LOCAL, len(row))
+                m = min(max(k, LOCAL), len(row))
                 for a in range(0, n_asked, SLICE):
                     rows = np.arange(a, min(a + SLICE, n_asked))
                     s = scores(j, part, row, rows)
@@ -197,9 +198,9 @@ def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     for j in range(1, LISTS):
         sent = sent.union(gather(j))
     sent = save(sent, "sent")
-    entries = F.explode(F.arrays_zip("rows", "s")).alias("e")
-    heads = sent.select("l", "q", F.explode(F.slice(F.arrays_zip("rows", "s"), 1, k)).alias("e")).select("l", "q", F.col("e.rows").alias("row"), F.col("e.s").alias("s")).where(F.col("s") > NONE)
-    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("l", "q").orderBy(F.desc("s"), "row"))).where(F.col("n") <= k)
+    zipped = F.arrays_zip("rows", "s")
+    heads = sent.select("l", "q", F.explode(F.slice(zipped, 1, max(k, SEEN))).alias("e")).select("l", "q", F.col("e.rows").alias("row"), F.col("e.s").alias("s")).where(F.col("s") > NONE)
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("l", "q").orderBy(F.desc("s"), "row"))).where(F.col("n") <= max(k, SEEN))
     first = resolve(heads.select("q", "row").distinct()).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("q", "s").toPandas()
     bound, cutoff = np.full(len(own), NONE), np.full(len(own), NONE)  # with fewer than k others: no bound
     bound[first.q.to_numpy()] = first.s.to_numpy()
@@ -212,7 +213,8 @@ def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
         reach = known
     else:
         reach = known.join(short.drop("cutoff"), ["block", "l", "q"], "left_anti")
-    reach = reach.select("l", "q", "cutoff", entries).select("l", "q", F.col("e.rows").alias("row"), F.col("e.s").alias("s")).where((F.col("s") >= F.col("cutoff")) & (F.col("s") > NONE))
+    high = F.filter(zipped, lambda e: (e["s"] >= F.col("cutoff")) & (e["s"] > NONE))
+    reach = reach.select("q", F.explode(high).alias("e")).select("q", F.col("e.rows").alias("row"), F.col("e.s").alias("s"))
     if not short.isEmpty():
 
         def again(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -232,7 +234,7 @@ def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
 
         left = table.join(short.select("block").distinct(), "block", "left_semi").select("block", "row", *(f"p{j}" for j in range(LISTS)))
         more = left.groupBy("block").cogroup(short.groupBy("block")).applyInArrow(again, _PAIR + ", s long")
-        reach = reach.select("q", "row", "s").union(more)
+        reach = reach.union(more)
     sums = reach.groupBy("q", "row").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).join(limits, "q")
     # what a list didn't send is below its cutoff
     left = sums.where((F.col("n") == LISTS) & (F.col("s") >= F.col("bound")) | (F.col("n") < LISTS) & (F.col("s") + (LISTS - F.col("n")) * (F.col("cutoff") - 1) >= F.col("bound")))

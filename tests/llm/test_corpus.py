@@ -225,6 +225,7 @@ def test_top_k(spark, monkeypatch, bits):
     """Nulls, copies, repeated ids, empty and shorter vectors; with small blocks most lists send too few at first."""
     monkeypatch.setattr(topk, "BLOCK_BITS", bits)
     monkeypatch.setattr(topk, "LOCAL", bits // 2)
+    monkeypatch.setattr(topk, "SEEN", bits)
     r = np.random.default_rng(2)
     vec = [(i, (r.normal(size=8) / 3).tolist()) for i in range(300)]
     vec[7:60] = [(i, vec[0][1]) for i in range(7, 60)]
