@@ -356,9 +356,9 @@ def test_license_keywords_lose_no_match():
     r, table = random.Random(8), licenses.rules()
     for *_, words, pattern in table:
         for _ in range(12):
-            norm = written(re._parser.parse(pattern.decode()), r).encode() + b" "
-            assert re.search(pattern, norm) is None or any(w in norm for w in words)
-            every = [(m.start(), m.end(), p, t, label) for p, t, label, _, x in table for m in re.finditer(x, norm)]
+            norm = written(re._parser.parse(pattern.pattern.decode()), r).encode() + b" "
+            assert pattern.search(norm) is None or any(w in norm for w in words), (words, norm)
+            every = [(m.start(), m.end(), p, t, label) for p, t, label, _, x in table for m in x.finditer(norm)]
             assert licenses.detect(norm, table) == licenses.stand(every), norm
 
 
@@ -369,11 +369,24 @@ def test_licenses_without_their_short_names(spark):
         ("The person who associated a work with this deed has dedicated the work to the public domain.", "cc0"),
         ("This Source Code Form is subject to the terms of the Mozilla Public License.", "mpl-2.0"),
         ("MIT No Attribution", "mit-0"),
+        ("Apache License 2.0", "apache,apache-2.0"),
+        ("GPLv3", "gpl-3.0"),
+        ("GPL-2.0", "gpl-2.0"),
+        ("GNU General Public License v3", "gpl,gpl-3.0"),
+        ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "gpl"),
     ]
     got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [got[i].labels for i in range(len(cases))] == [x for _, x in cases] and all(r.score > 0 for r in got.values())
 
 
+def test_licenses_of_odd_texts(spark, odd):
+    rows = licenses.scanned(odd).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect()) and all(r.labels == "" for r in rows)
+    many = spark.createDataFrame([(1, "mit license " * 200_000), (1, "x " * 300_000 + "cc by"), (2, "y" * 500_000)], "doc_id long, text string")
+    got = licenses.scanned(many).orderBy("doc_id", "n_words").collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word) for r in got] == [(300_002, 1, 300_000, 300_000), (400_000, 200_000, 0, 399_998), (1, 0, None, None)]
+
+
 def test_containment():
     d = [(0, 50, 2, 0.9, "long"), (10, 30, 6, 0.7, "inside"), (40, 60, 6, 0.7, "overlap"), (10, 30, 1, 0.99, "better")]
     assert {x[4] for x in licenses.stand(list(d))} == {"long", "overlap", "better"}
