@@ -8,8 +8,8 @@ chi-squared law are rejected.
 
 Counts and moments are sums of integers, so results don't depend on the order of rows, and are pre-aggregated before each
 shuffle: a hot group fills no task. Only one row for each group and start, not documents, meets in Python to invert its
-matrix. Groups with fewer than LEAST documents, too few for a covariance of P dimensions, take the estimate of all such
-groups of their language together, and if those are too few as well, one of all that are left.
+matrix. Groups with fewer than LEAST documents, too few for a covariance of P dimensions, are judged by the estimate of all
+documents of their language, and those of languages with as few by that of all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Words, chunks, windows
-from .store import save
+from .store import save, tidy
 
 P = 5
 X = [f"x{i}" for i in range(P)]
@@ -32,6 +32,7 @@ FALLS = 1e-3  # a determinant that falls by a smaller share stands still
 FLOOR = 0.15  # least standard deviation of a statistic
 # Fixed values of the chi-squared law with 5 degrees of freedom: the quantile at 0.75, one beyond which 5e-7 lie; P(chi2_7 <= first).
 CHI_H, CHI_FAR, CHI7_H = 6.6257, 37.3325, 0.5313
+BROADCAST = 1 << 16  # groups; beyond, their estimates are joined by a shuffle
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -155,12 +156,17 @@ def _signs(batches):
         yield _frame(rows)
 
 
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """df has STARTS rows or so for each group: sent to all tasks if there are at most BROADCAST groups."""
+    return F.broadcast(df) if few else df
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     """Sums of the statistics and their products for each group and start."""
     return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(x) for x in X), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """STARTS estimates of each group, to begin with."""
     each = F.posexplode(F.array(*X)).alias("dim", "x")
     hist = rows.select("grp", each).groupBy("grp", "dim", F.floor(F.col("x") / 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -168,31 +174,32 @@ def _starts(rows: DataFrame) -> DataFrame:
     every = _moments(rows.withColumn("start", F.lit(1))).mapInPandas(_estimates, _PARAMS)
     d = [(F.col(x) / UNIT - F.col(f"m{i}")) * F.sqrt(F.col(f"v{i}{i}")) for i, x in enumerate(X)]
     far = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
-    signs = rows.join(medians.drop("start"), "grp").select("grp", F.lit(2).alias("start"), *(F.coalesce(F.round(UNIT * x / F.nullif(far, F.lit(0.0))), F.lit(0.0)).cast("long").alias(n) for x, n in zip(d, X)))
+    signs = rows.join(_small(medians.drop("start"), few), "grp").select("grp", F.lit(2).alias("start"), *(F.coalesce(F.round(UNIT * x / F.nullif(far, F.lit(0.0))), F.lit(0.0)).cast("long").alias(n) for x, n in zip(d, X)))
     known = medians.select("grp", *(f"m{i}" for i in range(P)), *(f"v{i}{i}" for i in range(P)))
     signs = _moments(signs).join(known, "grp").mapInPandas(_signs, _PARAMS)
     return save(medians.unionByName(every).unionByName(signs), "estimate")
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """Estimates of the H share of documents that are nearest by params."""
     key = ["grp", "start"]
-    placed = rows.join(params, "grp").withColumn("bin", F.floor(F.log2(_distance() + 0.001) * 32))
+    placed = rows.join(_small(params, few), "grp").withColumn("bin", F.floor(F.log2(_distance() + 0.001) * 32))
     bins = placed.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     cut = bins.select(*key, "bin", F.coalesce(upto, F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy(*key)).alias("all"))
     cut = cut.where(F.col("below") < H * F.col("all")).groupBy(*key).agg(F.max("bin").alias("last"))
-    near = placed.join(cut, key).where(F.col("bin") <= F.col("last"))
+    near = placed.join(_small(cut, few), key).where(F.col("bin") <= F.col("last"))
     return save(_moments(near).mapInPandas(_estimates, _PARAMS), "estimate")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     """One row of _PARAMS for each group of rows (grp, X): of all starts and steps, the one with the least determinant.
 
-    A start rests once its determinant doesn't fall. The driver holds the estimates, a few for each group."""
+    A start rests once its determinant doesn't fall. The driver holds the estimates, a few for each group. few tells that
+    there are few groups, so that estimates may be broadcast."""
     spark = rows.sparkSession
     least: dict[tuple, tuple] = {}
-    params = _step(rows, _starts(rows))
+    params = _step(rows, _starts(rows, few), few)
     while True:
         falling = []
         for r in params.collect():
@@ -202,7 +209,7 @@ def estimates(rows: DataFrame) -> DataFrame:
                 falling.append(r)
         if not falling:
             break
-        params = _step(rows, spark.createDataFrame(falling, _PARAMS))
+        params = _step(rows, spark.createDataFrame(falling, _PARAMS), few)
     best: dict[str, tuple] = {}
     for k, r in sorted(least.items()):
         if k[0] not in best or r.det < best[k[0]].det:
@@ -215,6 +222,7 @@ def _distance():
     return sum((F.col(f"v{i}{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0))
 
 
+@tidy
 def checked(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (n_words < 10 or 100 *
     n_repeat_words > 20 * n_words), kept (false if base_failed, else whether the text is no outlier), distance (null if
@@ -229,16 +237,26 @@ def checked(docs: DataFrame) -> DataFrame:
     light = save(cols.mapInArrow(_counts, schema).withColumn("base_failed", failed).select("*", *_vector()), "statistics")
     good = light.where("not base_failed")
 
-    sizes = good.groupBy("lang", "source").count()
+    sizes = save(good.groupBy("lang", "source").count(), "sizes")
     own = F.concat_ws("\t", "lang", "source")
-    small = F.sum(F.when(F.col("count") < LEAST, F.col("count"))).over(Window.partitionBy("lang"))
-    group = F.when(F.col("count") >= LEAST, own).when(small >= LEAST, F.concat(F.col("lang"), F.lit("\trest"))).otherwise(F.lit("rest"))
+    spoken = F.sum("count").over(Window.partitionBy("lang"))
+    group = F.when(F.col("count") >= LEAST, own).when(spoken >= LEAST, F.concat(F.lit("lang\t"), F.col("lang"))).otherwise(F.lit("all"))
     named = save(sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), group.alias("grp")), "groups")
-    rows = good.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))).select("grp", *X)
+    few = named.count() <= BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
+    same = (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s"))
+    # a document counts in the estimate of its group, and in the wider ones that some small group takes
+    wide = {r.grp for r in named.where("grp = 'all' or grp like 'lang\t%'").select("grp").distinct().collect()}
+    rows = good.join(small(named), same).select("lang", "grp", *X).where(~F.col("grp").isin("all") & ~F.col("grp").startswith("lang\t")).select("grp", *X)
+    spoken_by = [g[5:] for g in wide if g != "all"]
+    if spoken_by:
+        rows = rows.union(good.where(F.col("lang").isin(spoken_by)).select(F.concat(F.lit("lang\t"), F.col("lang")), *X))
+    if "all" in wide:
+        rows = rows.union(good.select(F.lit("all"), *X))
     rows = save(rows, "vectors")
 
-    params = estimates(rows)
+    params = estimates(rows, few)
 
-    out = light.join(named, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")), "left").join(params, "grp", "left")
+    out = light.join(small(named), same, "left").join(small(params), "grp", "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select("doc_id", *BASE, "base_failed", F.coalesce(~F.col("base_failed") & (F.col("distance") <= CHI_FAR), F.lit(False)).alias("kept"), "distance")

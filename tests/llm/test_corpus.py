@@ -290,6 +290,58 @@ def test_rules_of_small_sources(spark):
     assert not got[500] and not got[501] and sum(got.values()) >= 118
 
 
+def test_rules_of_tiny_groups(spark):
+    """A lone document is judged by the others of its language, or by all: junk is rejected wherever it stands."""
+    r = random.Random(12)
+    good = [" ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randint(0, 9999)) for _ in range(r.randint(60, 200))) for _ in range(300)]
+    junk = " ".join("#$%&|<>*#$%&"[: 2 + i % 9] * 9 + str(i) for i in range(100))
+    rows = [(i, t, "en", "a") for i, t in enumerate(good)] + [(900, junk, "en", "b"), (901, junk, "de", "c"), (902, good[0], "en", "d"), (903, good[1], None, None)]
+    got = {x.doc_id: x.kept for x in rules.checked(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[900] and not got[901] and got[902] and got[903] and sum(got.values()) >= 298
+
+
+def test_rules_by_brute_force(spark):
+    """kept follows from the least-determinant estimate, found here by many random starts; row order doesn't matter."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, SMALL).withColumn("lang", F.lit("en")).withColumn("source", F.lit("one"))
+    rows = [r.asDict() for r in rules.checked(docs).collect()]
+    again = {r.doc_id: r.kept for r in rules.checked(docs.orderBy(F.desc("doc_id")).repartition(3)).collect()}
+    assert again == {r["doc_id"]: r["kept"] for r in rows}
+    good = [r for r in rows if not r["base_failed"]]
+    x = np.array([_vector(r) for r in good]) / rules.UNIT
+    det, mean, cov = _least(x, np.random.default_rng(3))
+    full = cov + np.diag(np.maximum(0, rules.FLOOR**2 - np.diag(cov)) + 1e-6)
+    d = x - mean
+    far = (d @ np.linalg.inv(full * rules.H / rules.CHI7_H) * d).sum(1) > rules.CHI_FAR
+    assert 0 < far.sum() and sum(bool(f) == r["kept"] for f, r in zip(far, good)) <= 0.02 * len(good)
+
+
+def _vector(r):
+    w, c = max(1, r["n_words"]), max(1, r["word_chars"])
+    raw = (np.log1p(r["n_words"]), 3 * np.log(c / w), np.log1p(10 * r["n_symbols"] / c), np.log1p(r["n_dup_lines"]) / 2, np.sqrt(r["n_repeat_words"] / w))
+    return [round(v * rules.UNIT) for v in raw]
+
+
+def _least(x, g):
+    """(determinant, mean, covariance) of the H share with the least determinant that random starts lead to."""
+    h, best = int(np.ceil(rules.H * len(x))), (np.inf, None, None)
+    for _ in range(60):
+        near, last = x[g.choice(len(x), 8, False)], np.inf
+        for _ in range(50):
+            cov = np.cov(near.T, bias=True)
+            full = cov + np.diag(np.maximum(0, rules.FLOOR**2 - np.diag(cov)) + 1e-6)
+            det = np.linalg.det(full)
+            if len(near) == h and det >= last * (1 - 1e-9):
+                break
+            last = det if len(near) == h else np.inf
+            d = x - near.mean(0)
+            near = x[np.argsort((d @ np.linalg.inv(full) * d).sum(1))[:h]]
+        if last < best[0]:
+            best = (last, near.mean(0), np.cov(near.T, bias=True))
+    return best
+
+
 def test_rules_take_the_least_determinant(spark):
     g = np.random.default_rng(10)
     rows, want = [], {}
