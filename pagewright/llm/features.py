@@ -118,11 +118,9 @@ class Adagrad:
         self.w -= self.rate * g / np.sqrt(self.g2)
 
 
-def telling(col: np.ndarray, row: np.ndarray, y: np.ndarray, n: int, least: int = 5, z: float = 4.5) -> np.ndarray:
-    """Which of n features occur in ``least`` rows or more and differ between the kinds by z standard errors: rare words
-    that a sample happens to hold in one kind only aren't learnt."""
-    n1, n0 = y.sum(), len(y) - y.sum()
-    pos, all_ = np.bincount(col, y[row], minlength=n), np.bincount(col, minlength=n)
-    p = all_ / len(y)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    return np.flatnonzero((all_ >= least) & (np.abs(pos / n1 - (all_ - pos) / n0) >= z * error))
+def telling(all_: np.ndarray, pos: np.ndarray, n: int, n1: float, least: int = 5, z: float = 4.5) -> np.ndarray:
+    """Which features occur in ``least`` of n rows or more and differ between the kinds by z standard errors, from their counts in
+    all rows and in the n1 rows of kind 1: rare words that a sample happens to hold in one kind only aren't learnt."""
+    p = all_ / n
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    return np.flatnonzero((all_ >= least) & (np.abs(pos / n1 - (all_ - pos) / (n - n1)) >= z * error))

@@ -5,8 +5,9 @@ the non-negative unbiased risk (Kiryo et al., 2017): prior * R_p(+) + max(0, R_u
 used. The class prior is estimated as the least ratio of the shares of unlabelled and positive texts among those that look
 most positive, where hardly any negative is left.
 
-It is fitted on the driver on at most SAMPLE positives and SAMPLE unlabelled texts, those with the smallest hash of doc_id;
-only their style numbers are sent there. Every whole text is scored.
+It is fitted on the driver on at most SAMPLE positives and SAMPLE unlabelled documents, those with the smallest hash of doc_id;
+only their style numbers are sent there, one row for each doc_id. Weights shrink by SHRINK over the number of positives, chosen
+by validation on one of the learnt folds, so a small sample isn't learnt by heart. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ SAMPLE = 10_000
 BINS = 24
 THRESHOLD = 0.3
 STYLES = 12
+SHRINK = 3.0
 
 
 class Bins:
@@ -38,9 +40,9 @@ class Bins:
         return np.stack([s + np.searchsorted(e, c, "right") for s, e, c in zip(self.start, self.edges, x.T)], 1)
 
 
-def _fit(p: np.ndarray, u: np.ndarray, n: int, prior: float | None, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def _fit(p: np.ndarray, u: np.ndarray, n: int, prior: float | None, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias; p and u hold places of indicators. prior None: plain positives against unlabelled."""
-    w, b = Adagrad(n, 0.1), Adagrad(1, 0.1)
+    w, b, ridge = Adagrad(n, 0.1), Adagrad(1, 0.1), SHRINK / len(p)
 
     def grad(rows, g):
         return np.bincount(rows.ravel(), np.repeat(g, rows.shape[1]), minlength=n)
@@ -85,9 +87,9 @@ def _bucket(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Bins | None, np.ndarray, float]:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     good = labels.where("quality = 1").where(_bucket() != 0).select("doc_id").distinct().orderBy(*order).limit(SAMPLE)
-    free = docs.where(_bucket() != 0).select("doc_id").orderBy(*order).limit(SAMPLE).distinct()
-    ids = good.withColumn("y", F.lit(1)).union(free.withColumn("y", F.lit(0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    free = docs.where(_bucket() != 0).select("doc_id").distinct().orderBy(*order).limit(SAMPLE)
+    ids = good.withColumn("y", F.lit(1)).union(free.withColumn("y", F.lit(0)))  # 2 * SAMPLE rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_styles, "doc_id long, y int, " + ", ".join(f"f{i} double" for i in range(STYLES))).toPandas()
     got = got.sort_values(list(got.columns)).to_numpy(dtype=float)
     p, u = got[got[:, 1] == 1][:, 2:], got[got[:, 1] == 0][:, 2:]
@@ -106,7 +108,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     row for each row of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts are scored by their zeros. Without trusted positives every score is 0.5. Repeated labels count
-    once. held_out is null for rows without doc_id, which are scored like others. Empty table: no rows.
+    once; of texts with one doc_id the least is learnt from. held_out is null for rows without doc_id, which are scored like others. Empty table: no rows.
     """
     bins, w, b = train(docs, labels)
 

@@ -4,8 +4,8 @@ The model is a logistic regression on hashed words and prefixes. In each labelle
 swapped for another term of the same kind, and the squared change of the score between the text and its swapped twin is added
 to the loss (weight COUNTERFACTUAL). A group mention so gets no weight of its own, and neutral mentions are not rejected.
 
-It is fitted on the driver on at most SAMPLE labelled texts, those with the smallest hash of doc_id; only their distinct
-features are sent there. Every whole text is scored.
+It is fitted on the driver on at most SAMPLE labelled documents, those with the smallest hash of doc_id, and of these on as many
+as have SAMPLE_BYTES of features; only these are sent there, one row for each doc_id. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .features import DIM, Adagrad, lexical, sigmoid, sums, telling
 from .kernel import Words, chunks
-from .store import save
+from .store import save, tidy
 
-SAMPLE = 10_000
+SAMPLE, SAMPLE_BYTES = 10_000, 96 << 20
 COUNTERFACTUAL = 5.0
 THRESHOLD = 0.7
 # Kinds of terms that name groups of people; each is swapped for the next of its kind.
@@ -69,22 +69,21 @@ def _examples(batches):
         for i, r in zip(at, _rows([twins[i] for i in at])):
             other[i] = r
         cols = [pa.array(_rows(texts), pa.binary()), pa.array(other, pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column("y"), *cols], names=["y", "x", "twin"])
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), *cols], names=["h", "y", "x", "twin"])
 
 
 class Sparse:
-    """Rows of distinct features, over the features that occur at all."""
+    """Rows of distinct features, over the given ones or those that occur at all."""
 
     def __init__(self, rows: list[bytes], names: np.ndarray | None = None) -> None:
-        cols = [np.frombuffer(r, np.int32) for r in rows]
-        self.bounds = np.concatenate([[0], np.cumsum([len(c) for c in cols])]).astype(np.int64)
-        raw = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(len(rows)), np.diff(self.bounds))
+        raw = np.frombuffer(b"".join(rows), np.int32)
         self.names = np.unique(raw) if names is None else names
-        at = np.searchsorted(self.names, raw)
-        at[at == len(self.names)] = 0
-        on = self.names[at] == raw if len(self.names) else np.zeros(len(raw), bool)
-        self.col, self.row = at[on], row[on]
+        place = np.full(DIM, -1, np.int32)
+        place[self.names] = np.arange(len(self.names))
+        col = place[raw]
+        on = col >= 0
+        self.col = col[on]
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) >> 2 for r in rows])[on]
         self.bounds = np.searchsorted(self.row, np.arange(len(rows) + 1))
 
     def score(self, w: np.ndarray) -> np.ndarray:
@@ -94,13 +93,20 @@ class Sparse:
         return np.bincount(self.col, g[self.row], minlength=len(self.names))
 
 
+def counted(rows: list[bytes]) -> np.ndarray:
+    """In how many rows each feature occurs."""
+    n = np.zeros(DIM, np.int64)
+    for i in range(0, len(rows), 1024):
+        n += np.bincount(np.frombuffer(b"".join(rows[i : i + 1024]), np.int32), minlength=DIM)
+    return n
+
+
 def fit(y: np.ndarray, x: list[bytes], twin: list[bytes | None], rounds: int = 150, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """(weights of all DIM features, bias). Without examples of both kinds: no weights, and a bias towards the only kind or,
     without any, towards clean."""
     if not len(y) or y.min() == y.max():
         return np.zeros(DIM), (4.0 if len(y) and y[0] else -4.0)
-    data = Sparse(x)
-    often = data.names[telling(data.col, data.row, y, len(data.names))]
+    often = telling(counted(x), counted([r for r, one in zip(x, y) if one]), len(y), y.sum())
     moved = np.array([t is not None for t in twin])
     data, twins = Sparse(x, often), Sparse([a if t is None else t for a, t in zip(x, twin)], often)
     cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -123,8 +129,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fits on labels (doc_id, toxic) of rows with crc32(doc_id) mod 3 other than 1. Labels other than 0 and 1 are ignored."""
     known = labels.where("toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_examples, "y double, x binary, twin binary")
-    got = rows.toArrow().to_pydict()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = save(rows.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(_examples, "h long, y double, x binary, twin binary"), "examples")
+    size = F.octet_length("x") + F.coalesce(F.octet_length("twin"), F.lit(0))
+    last, held = None, 0
+    for r in rows.select("h", size.alias("n")).orderBy("h").collect():  # SAMPLE rows
+        held += r.n
+        if held > SAMPLE_BYTES and last is not None:
+            break
+        last = r.h
+    got = rows.where(F.col("h") <= (last or 0)).drop("h").toArrow().to_pydict() if last is not None else {"y": [], "x": [], "twin": []}
     order = sorted(range(len(got["y"])), key=lambda i: (got["x"][i], got["y"][i]))
     return fit(np.array([got["y"][i] for i in order]), [got["x"][i] for i in order], [got["twin"][i] for i in order])
 
@@ -145,12 +159,13 @@ def _score(spark, weights: np.ndarray, bias: float):
     return run
 
 
+@tidy
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (its label was not learnt from), score (0 to 1), predicted (1 if score >= 0.7): one row for each row
     of docs (doc_id, text; other columns are ignored).
 
     Null and empty texts get the score of a text without features. Without labels of both kinds all texts get one score.
-    Repeated labels of a doc_id count once, toxic if any is. held_out is null for rows without doc_id. Empty table: no rows.
+    Repeated labels of a doc_id count once, toxic if any is; of texts with one doc_id the least is learnt from. held_out is null for rows without doc_id. Empty table: no rows.
     """
     weights, bias = train(docs, labels)
     kind = dict(docs.dtypes)["doc_id"]
