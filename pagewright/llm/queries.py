@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op2_packing": packing.SQL, "op4_mixing": mixing.SQL, "op10_minhash": minhash.SQL}
+    return {"op1_topk": topk.SQL, "op2_packing": packing.SQL, "op4_mixing": mixing.SQL, "op8_suffix_dedup": suffix.SQL, "op10_minhash": minhash.SQL}

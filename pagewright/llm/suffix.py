@@ -4,16 +4,17 @@ A byte goes if a WIDTH-byte string (50) that covers it also starts in a document
 the corpus would move many times the input, so suffixes are first narrowed down, without losing a match:
 
 1. In each run of SPAN consecutive GRAM-byte strings the one with the least hash is an anchor (winnowing). Equal 50-byte
-   strings have equal anchors at equal places. Only anchors are exchanged, as (hash of the gram, hash of its context: all
-   bytes that a 50-byte string through it can reach), once for each group of documents and context.
-2. A context that a smaller document holds as a whole settles all its strings. Where only the gram is shared, the first
-   holder of each context sends its bytes, so a hot passage is sent once, however many documents hold it.
-3. The 50-byte suffixes of these contexts are sorted deep-shallow: multikey quicksort, with characters of 64 bits, to
-   SHALLOW bytes; groups that are still tied are ordered by blind tries. Runs of equal suffixes tell which of them a
-   smaller document holds.
-
-Documents are exchanged once by group; three steps read that one exchange. Context hashes (48 bits beside the gram's 40 and
-more) stand for the bytes in step 2.
+   strings have equal anchors at equal places. Documents are dealt into groups; a group posts each of its anchors' contexts
+   once (a context: all bytes that a 50-byte string through the anchor can reach), as hashes only.
+2. Where documents of different ids share a gram, the groups send the bytes of its contexts, once for each group that holds
+   them. A gram in more than SPLIT contexts is dealt on by the bytes next to it: a 50-byte string holds 15 bytes before
+   or 15 bytes behind its gram, so each context goes to two of many places and no match is lost.
+3. Contexts, and the 50-byte suffixes of those that share enough with another, are sorted deep-shallow: multikey quicksort,
+   with characters of 64 bits, to a shallow depth; groups that are still tied are ordered by blind tries. Runs of equal
+   suffixes tell which of them a smaller document holds. Hashes never settle a match: inside a group bytes are compared.
+
+Documents are exchanged once by group, compressed; three steps read that one exchange. What is told between the steps is
+aligned with the group's own sorted list of contexts, so it takes one byte or four for each.
 """
 
 from __future__ import annotations
@@ -32,16 +33,23 @@ WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1  # grams in a string
 BACK = SPAN - 1  # bytes of context before an anchor; WIDTH follow from its start
 REACH = BACK + WIDTH
-SHALLOW = 24
-GROUP_BYTES, BUCKET_BYTES, RUN_BYTES = 12 << 20, 36 << 20, 1 << 18
+HALF = BACK // 2
+SHALLOW, SMALL = 40, 64  # bytes; groups of SMALL rows are sorted at once
+SPLIT = 1 << 16
+GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 12 << 20, 36 << 20, 1 << 18, 1 << 14
 _U, _W = np.uint64, np.uint32
 _BYTE32 = (seeds(11, 256) >> _U(16)).astype(_W)
 _CTX = seeds(12, REACH // 8 + 4)
 H_BYTES, C_BYTES = 5, 6
-TOLD = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8")])  # _SEND is set in c if the context is to be sent
-MASK = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("mask", "<u8")])
-_SEND = np.uint64(1 << 63)
-SENT = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("bytes", f"S{REACH}")])
+SENT_BYTES = 8 + 1 + 1 + REACH
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b""
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw else b""
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -132,147 +140,164 @@ def _long(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _of_group(table: pa.Table, buckets: int):
-    """For runs of a group's texts: rows, bytes, offsets, and (k, c, doc_id, place, text, left, right, ctx) of anchors."""
-    ids = table.column("doc_id").combine_chunks()
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    ids = ids.fill_null(0).to_numpy()
-    data, off = columns(table.column("text"))
-    for i, j in runs(off, RUN_BYTES):
-        d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        at = anchors(d, o)
-        for a in range(0, max(1, len(at)), 1 << 16):
-            p = at[a : a + (1 << 16)]
-            h, c, text, left, right, ctx = contexts(d, o, p)
-            use = known[i + text]
-            if not use.all():
-                h, c, p, text, left, right, ctx = (x[use] for x in (h, c, p, text, left, right, ctx))
-            b, k = keyed(h, buckets)
-            yield i, j, d, o, a + (1 << 16) >= len(at), (b, k, c, ids[i + text], p, text, left, right, ctx)
-
-
-def _first(k: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct x = both(k, c), the smallest doc of each, where it stands)."""
-    x = both(k, c)
-    order = np.argsort(x, kind="stable")
-    xs = x[order]
-    new = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]])) if len(xs) else np.zeros(0, np.int64)
-    if not len(new):
-        return xs, doc, order
-    least = np.minimum.reduceat(doc[order], new)
-    hit = np.flatnonzero(doc[order] == np.repeat(least, np.diff(np.append(new, len(xs)))))
-    return xs[new], least, order[hit[np.searchsorted(hit, new)]]
+def _pack(batches):
+    """Documents (grp, doc_id, text, and rest if there is one) to one row for each group in a batch."""
+    for b in batches:
+        if not len(b):
+            continue
+        grp = b.column("grp").to_numpy()
+        order = np.argsort(grp, kind="stable")
+        data, off = columns(b.column("text"))
+        ids = b.column("doc_id")
+        known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        groups, at = np.unique(grp[order], return_index=True)
+        cut = np.append(at, len(grp))
+        rows = []
+        for i, j in zip(cut[:-1], cut[1:]):
+            mine = order[i:j]
+            raw = b"".join(data[off[r] : off[r + 1]].tobytes() for r in mine.tolist())
+            rows.append((ids[mine].tobytes(), known[mine].tobytes(), (off[mine + 1] - off[mine]).tobytes(), squeezed(raw)))
+        cols = [pa.array(groups.astype(np.int32)), *(pa.array([r[m] for r in rows], pa.binary()) for m in range(4))]
+        names = ["grp", "ids", "known", "sizes", "data"]
+        if "rest" in b.schema.names:
+            cols.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), b.column("rest").take(pa.array(order))))
+            names.append("rest")
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+class Group:
+    """The documents of a group, and its contexts: distinct ones in the order (bucket, smallest holder, key, hash), which
+    doesn't depend on the order of rows."""
+
+    def __init__(self, table: pa.Table, buckets: int) -> None:
+        join = lambda c: b"".join(table.column(c).to_pylist())
+        self.ids, self.known = np.frombuffer(join("ids"), np.int64), np.frombuffer(join("known"), bool)
+        self.off = np.concatenate([[0], np.cumsum(np.frombuffer(join("sizes"), np.int64))])
+        self.data = np.frombuffer(b"".join(unsqueezed(x) for x in table.column("data").to_pylist()), np.uint8)
+        self.grp = table.column("grp")[0].as_py() if len(table) else 0
+        self.buckets = buckets
+        got = []
+        for i, j in runs(self.off, RUN_BYTES):
+            d, o = self.data[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i]
+            at = anchors(d, o)
+            for a in range(0, len(at), 1 << 16):
+                p = at[a : a + (1 << 16)]
+                h, c, text, left, right, ctx = contexts(d, o, p)
+                use = self.known[i + text]
+                got.append([x[use] for x in (h, c, self.ids[i + text], p + self.off[i], left.astype(np.uint8), right.astype(np.uint8), ctx)])
+        none = (np.zeros(0, _U), np.zeros(0, _U), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, np.uint8),) * 2, np.zeros((0, REACH), np.uint8))
+        h, c, self.doc, self.place, self.left, self.right, self.ctx = [np.concatenate(x) for x in zip(*got)] if got else none
+        b, k = keyed(h, buckets)
+        x = both(k, c)
+        order = np.lexsort((self.doc, x))
+        new = np.ones(len(x), bool)
+        new[1:] = x[order[1:]] != x[order[:-1]]
+        first = order[new]  # an anchor of the smallest holder
+        rank = np.lexsort((c[first], k[first], self.doc[first], b[first]))
+        self.first = first[rank]
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        self.entry = np.empty(len(x), np.int64)
+        self.entry[order] = place[np.cumsum(new) - 1]
+        self.bucket, self.k, self.c, self.least = b[self.first], k[self.first], c[self.first], self.doc[self.first]
+        self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
+
+    def sends(self, codes: list[tuple[int, bytes]]):
+        """(bucket, side, entries) of what is sent, from the codes told of each bucket: 1 sends to the bucket itself, 2 to the
+        places of the bytes behind and before the gram."""
+        code = np.zeros(len(self.first), np.uint8)
+        for b, raw in codes:
+            code[self.cut[b] : self.cut[b + 1]] = np.frombuffer(unsqueezed(raw), np.uint8)
+        for side in range(3):
+            at = np.flatnonzero(code == (1 if side == 0 else 2))
+            if side == 0:
+                to = self.bucket[at]
+            else:
+                a = BACK if side == 1 else BACK - HALF
+                part = np.ascontiguousarray(self.ctx[self.first[at], a : a + GRAM + HALF])
+                x = np.zeros(len(at), _U)
+                for n in range(part.shape[1]):
+                    x = mix(x + part[:, n] + _U(side))
+                to = ((x >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            at, to = at[order], to[order]
+            for i, j in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to)))):
+                if j > i:
+                    yield int(to[i]), side, at[i:j]
 
 
 def _post(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        got = [a[:4] for *_, a in _of_group(table, buckets)]
-        b, k, c, doc = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 4
-        _, _, at = _first(k.astype(_U), c.astype(_U), doc)
-        b, k, c, doc = b[at], k[at], c[at], doc[at]
-        order = np.lexsort((doc, b))
-        b, k, c, doc = b[order], k[order], c[order], doc[order]
-        rows, cut = [], np.searchsorted(b, np.arange(buckets + 1))
-        for i in np.flatnonzero(np.diff(cut)).tolist():
-            s = slice(cut[i], cut[i + 1])
-            ids, n = np.unique(doc[s], return_counts=True)
-            rows.append((i, ids.tobytes(), n.astype("<i4").tobytes(), _short(k[s], H_BYTES).tobytes(), _short(c[s], C_BYTES).tobytes()))
-        grp = table.column("grp")[0].as_py() if len(table) else 0
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([grp] * len(rows), pa.int32()), *(pa.array([r[m] for r in rows], t) for m, t in enumerate(kinds))], names=["grp", "bucket", "ids", "n", "h", "c"])
+        g, rows = Group(table, buckets), []
+        for b in np.flatnonzero(np.diff(g.cut)).tolist():
+            s = slice(g.cut[b], g.cut[b + 1])
+            ids, n = np.unique(g.least[s], return_counts=True)
+            rows.append((b, squeezed(ids.tobytes()), squeezed(n.astype("<i4").tobytes()), _short(g.k[s], H_BYTES).tobytes(), _short(g.c[s], C_BYTES).tobytes()))
+        return _rows_of(g.grp, rows, _POST)
 
     return run
 
 
 _POST = "grp int, bucket int, ids binary, n binary, h binary, c binary"
-_FLAGS = "grp int, flags binary, masks binary"
-
-
-def _by_group(grp: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(grp, kind="stable")
-    grp, rec = grp[order], rec[order]
-    groups, at = np.unique(grp, return_index=True)
-    cut = np.append(at, len(grp))
-    return groups.astype(np.int32), [rec[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+_TOLD = "grp int, bucket int, side int, codes binary, masks binary"
 
 
-def _flags_out(grp: np.ndarray, rec: np.ndarray) -> pa.Table:
-    groups, raw = _by_group(grp, rec)
-    none = pa.array([b""] * len(raw), pa.binary())
-    raw = pa.array(raw, pa.binary())
-    return pa.table([pa.array(groups), *((raw, none) if rec.dtype == TOLD else (none, raw))], names=["grp", "flags", "masks"])
+def _rows_of(grp: int, rows: list[tuple], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")][1:]
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.table([pa.array([grp] * len(rows), pa.int32()), *(pa.array([r[m] for r in rows], kinds[t]) for m, (_, t) in enumerate(fields))], names=["grp", *(n for n, _ in fields)])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """All posts of a bucket to flags for the groups: contexts with the smallest holder, and which are to be sent."""
-    hs, cs, docs, grps = [], [], [], []
-    for g, ids, n, h, c in zip(*(table.column(x).to_pylist() for x in ("grp", "ids", "n", "h", "c"))):
+    """All posts of a bucket to codes for the groups, one for each of their contexts: 0 if its gram is in documents of one id
+    only, 1 if it is to be sent, 2 if its gram is in very many contexts."""
+    hs, docs = [], []
+    for ids, n, h in zip(*(table.column(x).to_pylist() for x in ("ids", "n", "h"))):
         hs.append(_long(h, H_BYTES))
-        cs.append(_long(c, C_BYTES))
-        docs.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(n, "<i4")))
-        grps.append(np.full(len(hs[-1]), g, np.int32))
-    h, c, doc, grp = (np.concatenate(x) for x in (hs, cs, docs, grps))
+        docs.append(np.repeat(np.frombuffer(unsqueezed(ids), np.int64), np.frombuffer(unsqueezed(n), "<i4")))
+    h, doc = np.concatenate(hs), np.concatenate(docs)
     order = np.argsort(h, kind="stable")
-    hs = h[order]
-    twice = np.zeros(len(hs), bool)
-    twice[1:] = hs[1:] == hs[:-1]
-    twice[:-1] |= twice[1:].copy()
-    order = order[twice]
-    h, c, doc, grp = h[order], c[order], doc[order], grp[order]
-    if not len(h):
-        return _flags_out(grp, np.zeros(0, TOLD))
-    order = np.lexsort((doc, c, h))
-    h, c, doc, grp = h[order], c[order], doc[order], grp[order]
-    new_h = np.concatenate([[True], h[1:] != h[:-1]])
-    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-    ctx, gram = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-    least = doc[new_c]  # of each context
-    gram_of = gram[new_c]
-    at = np.flatnonzero(np.concatenate([[True], gram_of[1:] != gram_of[:-1]]))
-    send = (np.minimum.reduceat(least, at) != np.maximum.reduceat(least, at))[gram]
-    owner = doc == least[ctx]
-    tell = (owner & send) | ~owner
-    rec = np.zeros(int(tell.sum()), TOLD)
-    bucket = _U(table.column("bucket")[0].as_py()) << _U(8 * H_BYTES)
-    rec["k"], rec["doc"] = h[tell] | bucket, least[ctx][tell]
-    rec["c"] = c[tell] | np.where((owner & send)[tell], _SEND, _U(0))
-    return _flags_out(grp[tell], rec)
-
-
-def _read(table: pa.Table, column: str, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(columns(table.column(column))[0].tobytes(), kind)
+    first = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(h)))
+    of = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first) if len(h) else np.zeros(0, bool)
+    code = np.zeros(len(h), np.uint8)
+    code[order] = np.repeat(np.where(of, np.where(n > SPLIT, 2, 1), 0), n)
+    rows, groups, at = [], [], 0
+    for g, b, mine in zip(table.column("grp").to_pylist(), table.column("bucket").to_pylist(), hs):
+        own = code[at : at + len(mine)]
+        at += len(mine)
+        if own.any():
+            groups.append(g)
+            rows.append((b, 0, squeezed(own.tobytes()), b""))
+    return _rows_of(0, rows, _TOLD).set_column(0, "grp", pa.array(groups, pa.int32()))
+
+
+def _codes(told: pa.Table) -> list[tuple[int, bytes]]:
+    return [(b, c) for b, c in zip(told.column("bucket").to_pylist(), told.column("codes").to_pylist()) if c]
 
 
 def _send(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flags = _read(right, "flags", TOLD)
-        flags = flags[flags["c"] >= _SEND]
-        x = both(flags["k"], flags["c"] ^ _SEND)
-        order = np.argsort(x)
-        flags, x = flags[order], x[order]
-        done = np.zeros(len(x), bool)
-        parts, bucket = [], []
-        for *_, (b, k, c, doc, _p, _t, before, after, ctx) in _of_group(left, buckets) if len(x) else ():
-            y = both(k, c)
-            i = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            hit = np.flatnonzero((x[i] == y) & (flags["doc"][i] == doc) & ~done[i])
-            _, one = np.unique(i[hit], return_index=True)
-            hit = hit[one]
-            done[i[hit]] = True
-            rec = np.zeros(len(hit), SENT)
-            rec["k"], rec["c"], rec["doc"], rec["left"], rec["right"] = k[hit], c[hit], doc[hit], before[hit], after[hit]
-            rec["bytes"] = np.ascontiguousarray(ctx[hit]).view(f"S{REACH}").ravel() if len(hit) else b""
-            parts.append(rec)
-            bucket.append(b[hit])
-        rec = np.concatenate(parts) if parts else np.zeros(0, SENT)
-        b = np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
-        to, raw = _by_group(b, rec)
-        grp = left.column("grp")[0].as_py() if len(left) else 0
-        return pa.table([pa.array([grp] * len(raw), pa.int32()), pa.array(to), pa.array(raw, pa.binary())], names=["grp", "bucket", "sent"])
+        g, rows = Group(left if len(right) else left.slice(0, 0), buckets), []
+        for to, side, entries in g.sends(_codes(right)) if len(left) else ():
+            at = g.first[entries]
+            # columns one behind the other compress better than records
+            rows.append((to, side, squeezed(b"".join(np.ascontiguousarray(x[at]).tobytes() for x in (g.doc, g.left, g.right, g.ctx)))))
+        return _rows_of(g.grp, rows, _SENT)
 
     return run
 
 
+_SENT = "grp int, bucket int, side int, sent binary"
+
+
+def _received(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, left, right, bytes) of what was sent."""
+    x = np.frombuffer(unsqueezed(raw), np.uint8)
+    n = len(x) // SENT_BYTES
+    return x[: 8 * n].view(np.int64), x[8 * n : 9 * n], x[9 * n : 10 * n], x[10 * n :].reshape(n, REACH)
+
+
 class BlindTrie:
     """Strings of one length, ordered by the first byte in which they differ. Only branching bytes are looked at on the way
     down; one comparison at the leaf then tells the true branching place. Equal strings share a leaf."""
@@ -316,49 +341,88 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, new) of the rows of a byte matrix: order sorts them; new tells where a row differs from the one before."""
+def _median(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new) of the rows of a byte matrix: order sorts them; new tells where a row differs from the one before.
+
+    Multikey quicksort: a segment is parted in three by a pivot character (the median of three); the equal part goes on with
+    the next character, until SMALL rows are left or the shallow depth is reached. All open segments take a step together.
+    """
     n, width = rows.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = rows
     words = words.view(">u8").astype(_U)
-    order = np.arange(n)
-    new = np.ones(n, bool)
-    open_ = np.arange(n)  # places in order whose group isn't single yet
-    seg = np.zeros(n, np.int64)
-    for depth in range(min(SHALLOW, width) // 8):
-        if not len(open_):
+    deep = min(shallow, width) // 8
+    order, new = np.arange(n), np.ones(n, bool)
+    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    small, tied = [], []  # (start, size) of segments to be finished
+    while len(start):
+        at_depth = depth == deep
+        few = ~at_depth & (size <= SMALL)
+        tied.append(np.stack([start[at_depth], size[at_depth]]))
+        small.append(np.stack([start[few], size[few]]))
+        go = ~at_depth & ~few
+        start, size, depth = start[go], size[go], depth[go]
+        if not len(start):
             break
-        w = words[order[open_], depth]
-        by = np.lexsort((w, seg))
-        order[open_] = order[open_][by]
-        w, seg = w[by], seg[by]
-        first = np.concatenate([[True], (w[1:] != w[:-1]) | (seg[1:] != seg[:-1])])
-        new[open_] = first
-        single = first & np.concatenate([first[1:], [True]])
-        seg = np.cumsum(first)[~single]
-        open_ = open_[~single]
-    starts = np.flatnonzero(new[open_]) if len(open_) else np.zeros(0, np.int64)
-    tails = np.ascontiguousarray(rows[:, min(SHALLOW, width) :])
-    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(open_)]):
-        members = order[open_[i:j]]
-        trie = BlindTrie()
-        for m in members.tolist():
-            trie.add(tails[m].tobytes(), m)
-        a = open_[i]
-        for leaf in trie.leaves():
-            order[a : a + len(leaf)] = leaf
-            new[a : a + len(leaf)] = False
-            new[a] = True
-            a += len(leaf)
+        seg = np.repeat(np.arange(len(start)), size)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        where = np.arange(begin[-1]) - begin[seg] + start[seg]
+        w = words[order[where], depth[seg]]
+        pivot = _median(w[begin[:-1]], w[(begin[:-1] + begin[1:]) // 2], w[begin[1:] - 1])[seg]
+        side = 1 + (w > pivot).astype(np.int64) - (w < pivot)
+        count = np.bincount(seg * 3 + side, minlength=3 * len(start))
+        first = np.concatenate([[0], np.cumsum(count)])[:-1]
+        moved = np.empty(len(w), np.int64)
+        for s in range(3):
+            mine = np.flatnonzero(side == s)
+            k = seg[mine]
+            rank = np.arange(len(mine)) - np.searchsorted(k, k)  # in its segment, in order
+            moved[first[k * 3 + s] + rank] = order[where[mine]]
+        order[where] = moved
+        starts = (first.reshape(-1, 3) - begin[:-1, None] + start[:, None]).ravel()
+        depths = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        go = count > 1
+        start, size, depth = starts[go], count[go], depths[go]
+    start, size = np.concatenate(small, 1) if small else np.zeros((2, 0), np.int64)
+    if len(start):
+        seg = np.repeat(np.arange(len(start)), size)
+        where = np.arange(len(seg)) - np.concatenate([[0], np.cumsum(size)])[seg] + start[seg]
+        some = order[where]
+        by = np.lexsort((*(words[some, d] for d in reversed(range(deep))), seg))
+        order[where] = some = some[by]
+        same = np.zeros(len(some), bool)
+        same[1:] = (words[some[1:], :deep] == words[some[:-1], :deep]).all(1) & (seg[1:] == seg[:-1])
+        first = np.flatnonzero(~same)
+        length = np.diff(np.append(first, len(some)))
+        tied.append(np.stack([where[first[length > 1]], length[length > 1]]))
+    start, size = np.concatenate(tied, 1) if tied else np.zeros((2, 0), np.int64)
+    tails = np.ascontiguousarray(rows[:, deep * 8 :])
+    if len(start):
+        seg = np.repeat(np.arange(len(start)), size)
+        where = np.arange(len(seg)) - np.concatenate([[0], np.cumsum(size)])[seg] + start[seg]
+        differ = np.zeros(len(seg), bool)
+        differ[1:] = (tails[order[where[1:]]] != tails[order[where[:-1]]]).any(1) & (seg[1:] == seg[:-1])
+        new[where] = False
+        new[start] = True
+        for s in np.unique(seg[differ]).tolist():
+            a, trie = int(start[s]), BlindTrie()
+            for m in order[a : a + size[s]].tolist():
+                trie.add(tails[m].tobytes(), m)
+            for leaf in trie.leaves():
+                order[a : a + len(leaf)] = leaf
+                new[a] = True
+                a += len(leaf)
     return order, new
 
 
-def _common(rows: np.ndarray) -> np.ndarray:
-    """How many leading bytes each row shares with the row most like it: the next one up or down in sorted order."""
+def _likest(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with the row most like it, a neighbour in sorted order."""
     out = np.zeros(len(rows), np.int64)
     if len(rows) > 1:
-        order, _ = deep_shallow(rows)
         same = rows[order[1:]] == rows[order[:-1]]
         n = np.where(same.all(1), rows.shape[1], same.argmin(1))
         out[order[1:]] = n
@@ -366,117 +430,132 @@ def _common(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort(table: pa.Table) -> pa.Table:
-    """Contexts of a bucket to masks: which of their strings a smaller document holds; bit i: the one that starts i bytes
-    into the context's reach."""
-    recs = [np.frombuffer(x, SENT) for x in table.column("sent").to_pylist()]
-    grp = np.concatenate([np.full(len(r), g, np.int32) for g, r in zip(table.column("grp").to_pylist(), recs)])
-    rec = np.concatenate(recs)
-    raw = np.frombuffer(rec.tobytes(), np.uint8).reshape(len(rec), SENT.itemsize)[:, -REACH:]
-    lead = np.ascontiguousarray(rec["k"].astype(">u8")).view(np.uint8).reshape(-1, 8)
-    on = np.minimum(_common(np.hstack([lead, raw[:, BACK:]])) - 8, rec["right"])
-    back = np.minimum(_common(np.hstack([lead, raw[:, :BACK][:, ::-1]])) - 8, rec["left"])
+def _full(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Mask of all strings of a context: bit i is the one that starts i bytes into its reach."""
+    n = np.maximum(left.astype(np.int64) + right - WIDTH + 1, 0)
+    return (((_U(1) << n.astype(_U)) - _U(1)) << (BACK - left.astype(np.int64)).astype(_U)).astype(_W)
+
+
+def held(doc: np.ndarray, left: np.ndarray, right: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Masks of contexts: which of their strings a smaller document among them holds."""
+    mask = np.zeros(len(doc), _W)
+    if not len(doc):
+        return mask
+    # equal contexts: all but the smallest holder lose every string
+    order, new = deep_shallow(np.hstack([raw[:, BACK:], left[:, None], right[:, None], raw[:, :BACK][:, ::-1]]))
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], first)[np.cumsum(new) - 1]
+    later = order[doc[order] > least]
+    mask[later] = _full(left[later], right[later])
+    # one of each kind of context, still sorted by what follows from the anchor
+    one = order[np.lexsort((doc[order], np.cumsum(new)))][new]
+    rows = np.ascontiguousarray(raw[one])
+    place = np.arange(len(one))
+    on = np.minimum(_likest(rows[:, BACK:], place), right[one])
+    gram = np.cumsum(np.concatenate([[True], (rows[1:, BACK : BACK + GRAM] != rows[:-1, BACK : BACK + GRAM]).any(1)]))
+    lead = np.ascontiguousarray(gram.astype(">u8")).view(np.uint8).reshape(-1, 8)
+    before = np.hstack([lead, rows[:, :BACK][:, ::-1]])
+    back = np.clip(_likest(before, deep_shallow(before, 24)[0]) - 8, 0, left[one])
     at = np.flatnonzero(on + back >= WIDTH)
-    mask = np.zeros(len(rec), _U)
     # equal strings have equal anchors, so grams can be sorted apart, in turns of bounded size
-    at = at[np.argsort(rec["k"][at], kind="stable")]
-    keys = rec["k"][at]
     a = 0
     while a < len(at):
         b = a + 20_000
-        b = len(at) if b >= len(at) else int(np.searchsorted(keys, keys[b - 1], "right"))
+        b = len(at) if b >= len(at) else int(np.searchsorted(gram[at], gram[at[b - 1]], "right"))
         own = at[a:b]
         start = np.arange(SPAN)
         ok = (start >= BACK - back[own, None]) & (start + WIDTH <= BACK + on[own, None])
         i, s = np.nonzero(ok)
-        view = np.lib.stride_tricks.sliding_window_view(raw[own], WIDTH, axis=1)
-        order, new = deep_shallow(view[i, s])
-        if len(order):
-            doc = rec["doc"][own[i]][order]
-            first = np.flatnonzero(new)
-            least = np.minimum.reduceat(doc, first)[np.cumsum(new) - 1]
-            hit = order[least < doc]
-            np.bitwise_or.at(mask, own[i[hit]], _U(1) << s[hit].astype(_U))
+        if len(i):
+            view = np.lib.stride_tricks.sliding_window_view(rows[own], WIDTH, axis=1)
+            order, new = deep_shallow(view[i, s])
+            docs = doc[one[own[i]]][order]
+            least = np.minimum.reduceat(docs, np.flatnonzero(new))[np.cumsum(new) - 1]
+            hit = order[least < docs]
+            np.bitwise_or.at(mask, one[own[i[hit]]], (_U(1) << s[hit].astype(_U)).astype(_W))
         a = b
-    tell = mask > 0
-    out = np.zeros(int(tell.sum()), MASK)
-    for f in ("k", "c", "doc"):
-        out[f] = rec[f][tell]
-    out["mask"] = mask[tell]
-    return _flags_out(grp[tell], out)
+    return mask
+
+
+def _sort(table: pa.Table) -> pa.Table:
+    """Contexts that were sent to a bucket to their masks, in the order in which they came."""
+    got = [_received(x) for x in table.column("sent").to_pylist()]
+    mask = held(*(np.concatenate(x) for x in zip(*got)))
+    groups, rows, at = [], [], 0
+    for g, b, side, rec in zip(*(table.column(c).to_pylist() for c in ("grp", "bucket", "side")), got):
+        own = mask[at : at + len(rec[0])]
+        at += len(own)
+        if own.any():
+            groups.append(g)
+            rows.append((b, side, b"", squeezed(own.tobytes())))
+    return _rows_of(0, rows, _TOLD).set_column(0, "grp", pa.array(groups, pa.int32()))
 
 
 def _cut(buckets: int, output):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        told, masks = _read(right, "flags", TOLD), _read(right, "masks", MASK)
-        per = [(*a[:-1], *a[-1][:-1]) for a in _of_group(left, buckets)]
-        k, c, doc = (np.concatenate([a[n] for a in per]) for n in (6, 7, 8)) if per else (np.zeros(0, _U),) * 3
-        xs, least, _ = _first(k, c, doc.astype(np.int64))
-        mask = np.zeros(len(xs), _U)
-        for rec in (told, masks):
-            x = both(rec["k"], rec["c"] & ~_SEND)
-            i = np.searchsorted(xs, x)
-            i[i == len(xs)] = 0
-            known = np.flatnonzero(xs[i] == x) if len(xs) else np.zeros(0, np.int64)
-            if rec is told:
-                np.minimum.at(least, i[known], rec["doc"][known])
-            else:
-                np.bitwise_or.at(mask, i[known], rec["mask"][known])
-        bits = {}
-        data, off = columns(left.column("text"))
-        spans: list[np.ndarray] = []
-        for r, _j, d, _o, last, _b, k, c, doc, place, _text, before, after in per:
-            if r not in bits:
-                bits = {r: np.zeros(len(d) + 1, np.int32)}
-            cover = bits[r]
-            if len(k):
-                i = np.searchsorted(xs, both(k, c))
-                whole = (least[i] < doc) & (before + after >= WIDTH)
-                np.add.at(cover, place[whole] - before[whole], 1)
-                np.add.at(cover, place[whole] + after[whole], -1)
-                for n in np.flatnonzero((least[i] == doc) & (mask[i] > 0)).tolist():
-                    m = int(mask[i[n]])
-                    while m:
-                        s = (m & -m).bit_length() - 1
-                        m &= m - 1
-                        cover[place[n] - BACK + s] += 1
-                        cover[place[n] - BACK + s + WIDTH] -= 1
-            if last:
-                spans.append(np.cumsum(cover[:-1]) > 0)
-        gone = np.concatenate(spans) if spans else np.zeros(0, bool)
-        return output(left, data, off, gone)
+        g = Group(left, buckets)
+        told = {(b, s): m for b, s, m in zip(*(right.column(c).to_pylist() for c in ("bucket", "side", "masks"))) if m}
+        mask = np.zeros(len(g.first), _W)
+        for to, side, entries in g.sends(_codes(right)):
+            if (to, side) in told:
+                mask[entries] |= np.frombuffer(unsqueezed(told[to, side]), _W)
+        if len(g.entry) and not (g.ctx == g.ctx[g.first[g.entry]]).all():
+            raise RuntimeError("two contexts of a group share a hash; choose other seeds")
+        full = _full(g.left, g.right)
+        mine = np.where(g.doc > g.least[g.entry], full, mask[g.entry])  # inside a group equal contexts are compared above
+        cover = np.zeros(len(g.data) + 1, np.int32)
+        whole = (mine == full) & (full > 0)
+        np.add.at(cover, g.place[whole] - g.left[whole], 1)
+        np.add.at(cover, g.place[whole] + g.right[whole], -1)
+        some = np.flatnonzero((mine > 0) & ~whole)
+        for s in range(SPAN):
+            at = g.place[some[(mine[some] >> _W(s)) & _W(1) > 0]] - BACK + s
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + WIDTH, -1)
+        return output(left, g, np.cumsum(cover[:-1]) > 0)
 
     return run
 
 
-def _digest(table: pa.Table, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Table:
+def _ids(g: Group) -> pa.Array:
+    return pa.array(g.ids, pa.int64(), mask=~g.known)
+
+
+def _digest(table: pa.Table, g: Group, gone: np.ndarray) -> pa.Table:
     n_removed, n_spans, sha = [], [], []
-    for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
-        g = gone[i:j]
-        n = int(g.sum())
+    for i, j in zip(g.off[:-1].tolist(), g.off[1:].tolist()):
+        x = gone[i:j]
+        n = int(x.sum())
         n_removed.append(n)
-        n_spans.append(int(g[0]) + int((g[1:] > g[:-1]).sum()) if n else 0)
-        sha.append(hashlib.sha256(data[i:j][~g] if n else data[i:j]).hexdigest())
-    return pa.table([table.column("doc_id"), pa.array(np.diff(off)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        n_spans.append(int(x[0]) + int((x[1:] > x[:-1]).sum()) if n else 0)
+        sha.append(hashlib.sha256(g.data[i:j][~x] if n else g.data[i:j]).hexdigest())
+    return pa.table([_ids(g), pa.array(np.diff(g.off)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _texts(table: pa.Table, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Table:
-    texts = [data[i:j][~gone[i:j]].tobytes().decode("utf-8", "ignore") for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-    out = {"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.string())} | ({"rest": table.column("rest")} if "rest" in table.column_names else {})
+def _texts(table: pa.Table, g: Group, gone: np.ndarray) -> pa.Table:
+    texts = [g.data[i:j][~gone[i:j]].tobytes().decode("utf-8", "ignore") for i, j in zip(g.off[:-1].tolist(), g.off[1:].tolist())]
+    out = {"doc_id": _ids(g), "text": pa.array(texts, pa.string())}
+    if "rest" in table.column_names:
+        rest = table.column("rest").combine_chunks()
+        out["rest"] = (pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) else rest).flatten()
     return pa.table(out)
 
 
 def _run(docs: DataFrame, output, schema: str, keep: list[str]) -> DataFrame:
     total = text_bytes(docs)
     groups, buckets = pieces(total, GROUP_BYTES), min(1 << 23, pieces(total, BUCKET_BYTES, 12))
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
     rest = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest")] if keep else []
-    row = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    grouped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.pmod(row, F.lit(groups)).cast("int").alias("grp"), *rest).repartition(groups, "grp")
-    posts = grouped.groupBy("grp").applyInArrow(_post(buckets), _POST)
-    flags = posts.groupBy("bucket").applyInArrow(_meet, _FLAGS)
-    sent = grouped.groupBy("grp").cogroup(flags.groupBy("grp")).applyInArrow(_send(buckets), "grp int, bucket int, sent binary")
-    masks = sent.groupBy("bucket").applyInArrow(_sort, _FLAGS)
-    return grouped.groupBy("grp").cogroup(flags.union(masks).groupBy("grp")).applyInArrow(_cut(buckets, output), schema)
+    packed = "grp int, ids binary, known binary, sizes binary, data binary" + (", rest array<struct<" + ", ".join(f"`{c}`: {types[c]}" for c in keep) + ">>" if keep else "")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(groups)).cast("int")
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), grp.alias("grp"), *rest)
+    grouped = flat.mapInArrow(_pack, packed).repartition(min(groups, TASKS), "grp")
+    posts = grouped.drop("rest").groupBy("grp").applyInArrow(_post(buckets), _POST).repartition(min(buckets, TASKS), "bucket")
+    codes = posts.groupBy("bucket").applyInArrow(_meet, _TOLD)
+    sent = grouped.drop("rest").groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(_send(buckets), _SENT).repartition(min(buckets, TASKS), "bucket")
+    masks = sent.groupBy("bucket").applyInArrow(_sort, _TOLD)
+    return grouped.groupBy("grp").cogroup(codes.union(masks).groupBy("grp")).applyInArrow(_cut(buckets, output), schema)
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -500,3 +579,27 @@ def drop_repeated_strings(docs: DataFrame) -> DataFrame:
     if "n_chars" in keep:
         cols["n_chars"] = F.length("text").cast(types["n_chars"])
     return out.select(*(cols[c].alias(c) for c in docs.columns))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), k AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 49, 0))) AS p FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS least FROM k GROUP BY s HAVING count(DISTINCT doc_id) > 1
+), hit AS (
+  SELECT doc_id, p FROM k JOIN f USING (s) WHERE least < doc_id
+), b AS (
+  SELECT doc_id, substr(x, 2 * p + 1, 2) AS x, p FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM hit))
+), c AS (
+  SELECT b.doc_id, b.p, b.x, coalesce(b.p - max(hit.p) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < 50, false) AS gone
+  FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.p = hit.p
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c
+), r AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS x FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans, sha256(unhex(coalesce(r.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""

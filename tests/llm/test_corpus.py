@@ -118,9 +118,10 @@ def cut(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [12 << 20, 3000])
-def test_repeated_strings(spark, odd, none, monkeypatch, group):
+@pytest.mark.parametrize("group, split", [(12 << 20, 1 << 16), (3000, 1 << 16), (3000, 1)])
+def test_repeated_strings(spark, odd, none, monkeypatch, group, split):
     monkeypatch.setattr(suffix, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffix, "SPLIT", split)
     rows = odd.collect()
     assert sorted(map(tuple, suffix.repeated_strings(odd).collect()), key=str) == cut(rows)
     assert suffix.repeated_strings(none).collect() == []
@@ -131,19 +132,24 @@ def test_repeated_strings(spark, odd, none, monkeypatch, group):
         assert got[1].text == "" and got[1].n_chars == 0 and got[0].text == rows[0].text and got[4].comp == 9
 
 
-def test_repeated_strings_of_the_small_table(spark):
+@pytest.mark.parametrize("split", [1 << 16, 2])
+def test_repeated_strings_of_the_small_table(spark, monkeypatch, split):
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 100_000)
+    monkeypatch.setattr(suffix, "SPLIT", split)
     docs = documents(spark, SMALL)
     assert sorted(map(tuple, suffix.repeated_strings(docs).collect()), key=str) == cut([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_deep_shallow():
+@pytest.mark.parametrize("shallow", [8, 24, 40])
+def test_deep_shallow(shallow):
     r = np.random.default_rng(1)
-    rows = r.integers(97, 99, (300, 50)).astype(np.uint8)
-    rows[100:200] = rows[:100]
-    rows[200:, :40] = rows[0, :40]
-    order, new = suffix.deep_shallow(rows)
+    rows = r.integers(97, 99, (3000, 50)).astype(np.uint8)
+    rows[100:900] = rows[:800]
+    rows[1000:1400, :45] = rows[0, :45]
+    rows[1400:2000, :20] = rows[0, :20]
+    order, new = suffix.deep_shallow(rows, shallow)
     texts = [rows[i].tobytes() for i in order]
-    assert texts == sorted(x.tobytes() for x in rows)
+    assert texts == sorted(x.tobytes() for x in rows) and sorted(order.tolist()) == list(range(3000))
     assert [True] + [a != b for a, b in zip(texts, texts[1:])] == new.tolist()
 
 
