@@ -4,7 +4,7 @@ The score of a vector is the sum of its partial scores in LISTS groups of coordi
 list reads only its part of the table. Vectors stand in blocks of BLOCK rows, and partial scores are matrix products.
 
 1. Gather: each block of each list sends its LOCAL best partial scores for each query; they are saved. The vectors among the
-   SEEN best of each list are scored whole; the k-th best of them bounds the result from below.
+   SEEN best of each list (FEW of each block at most) are scored whole; the k-th best of them bounds the result from below.
 2. Broadcast: a vector that reaches the bound has a partial score of at least bound / LISTS in some list. Every saved entry
    that reaches this cutoff is collected. Where all that a block sent reaches it, the block may hold more, and only there
    scores are computed again. What other lists didn't send lies below the cutoff, so an upper bound is known for each
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .kernel import grouped
 from .store import save
 
-LISTS, QUERIES, COMPONENTS, BLOCK_BITS, LOCAL, SEEN = 2, 2048, 1 << 21, 12, 128, 128
+LISTS, QUERIES, COMPONENTS, BLOCK_BITS, LOCAL, FEW, SEEN = 2, 2048, 1 << 21, 12, 128, 16, 128
 SLICE = 512  # queries in one product
 SAFE = 1 << 61  # partial scores beyond this are an error, so sums never wrap
 NONE = -(1 << 62)
@@ -199,7 +199,7 @@ def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
         sent = sent.union(gather(j))
     sent = save(sent, "sent")
     zipped = F.arrays_zip("rows", "s")
-    heads = sent.select("l", "q", F.explode(F.slice(zipped, 1, max(k, SEEN))).alias("e")).select("l", "q", F.col("e.rows").alias("row"), F.col("e.s").alias("s")).where(F.col("s") > NONE)
+    heads = sent.select("l", "q", F.explode(F.slice(zipped, 1, max(k, FEW))).alias("e")).select("l", "q", F.col("e.rows").alias("row"), F.col("e.s").alias("s")).where(F.col("s") > NONE)
     heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("l", "q").orderBy(F.desc("s"), "row"))).where(F.col("n") <= max(k, SEEN))
     first = resolve(heads.select("q", "row").distinct()).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("q", "s").toPandas()
     bound, cutoff = np.full(len(own), NONE), np.full(len(own), NONE)  # with fewer than k others: no bound
