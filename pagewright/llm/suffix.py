@@ -36,7 +36,7 @@ REACH = BACK + WIDTH
 HALF = BACK // 2
 SHALLOW, SMALL = 40, 64  # bytes; groups of SMALL rows are sorted at once
 SPLIT = 1 << 16
-GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 12 << 20, 36 << 20, 1 << 18, 1 << 14
+GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 12 << 20, 12 << 20, 1 << 18, 1 << 14
 _U, _W = np.uint64, np.uint32
 _BYTE32 = (seeds(11, 256) >> _U(16)).astype(_W)
 _CTX = seeds(12, REACH // 8 + 4)
@@ -93,18 +93,26 @@ def anchors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero((best == h) & (best > 0))
 
 
+def reaches(data: np.ndarray) -> np.ndarray:
+    """The REACH bytes around each place of a text, zeros beyond it; a view."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(BACK, np.uint8), data, np.zeros(WIDTH + 8, np.uint8)]), REACH)
+
+
+def bounded(view: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The contexts of places: zeros where another text begins."""
+    ctx, col = view[at], np.arange(REACH)
+    edge = np.flatnonzero((left < BACK) | (right < WIDTH))
+    if len(edge):
+        ctx[edge] *= ((col >= BACK - left[edge, None].astype(int)) & (col < BACK + right[edge, None].astype(int))).astype(np.uint8)
+    return ctx
+
+
 def contexts(data: np.ndarray, off: np.ndarray, at: np.ndarray):
-    """(gram hash, context hash, text, bytes before, bytes after) of anchors; and their context's bytes, zeros beyond the text."""
+    """(gram hash, context hash, text, bytes before, bytes after) of anchors."""
     text = np.searchsorted(off, at, "right") - 1
     left = np.minimum(at - off[text], BACK)
     right = np.minimum(off[text + 1] - at, WIDTH)
-    flat = np.concatenate([np.zeros(BACK, np.uint8), data, np.zeros(WIDTH + 8, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(flat, REACH)
-    ctx = view[at]
-    col = np.arange(REACH)
-    edge = np.flatnonzero((left < BACK) | (right < WIDTH))
-    if len(edge):
-        ctx[edge] *= ((col >= BACK - left[edge, None]) & (col < BACK + right[edge, None])).astype(np.uint8)
+    ctx = bounded(reaches(data), at, left, right)
     with np.errstate(over="ignore"):
         gram = np.ascontiguousarray(ctx[:, BACK : BACK + GRAM])
         g = gram.view(_W).astype(_U) if GRAM % 8 else gram.view(_U)
@@ -117,7 +125,7 @@ def contexts(data: np.ndarray, off: np.ndarray, at: np.ndarray):
         c = left.astype(_U) * _CTX[-1] + right.astype(_U) * _CTX[-2]
         for i in range(wide.shape[1]):
             c = mix(c + wide[:, i] * _CTX[i])
-    return h, c >> _U(64 - 8 * C_BYTES), text, left, right, ctx
+    return h, c >> _U(64 - 8 * C_BYTES), text, left, right
 
 
 def keyed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +190,12 @@ class Group:
             at = anchors(d, o)
             for a in range(0, len(at), 1 << 16):
                 p = at[a : a + (1 << 16)]
-                h, c, text, left, right, ctx = contexts(d, o, p)
+                h, c, text, left, right = contexts(d, o, p)
                 use = self.known[i + text]
-                got.append([x[use] for x in (h, c, self.ids[i + text], p + self.off[i], left.astype(np.uint8), right.astype(np.uint8), ctx)])
-        none = (np.zeros(0, _U), np.zeros(0, _U), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, np.uint8),) * 2, np.zeros((0, REACH), np.uint8))
-        h, c, self.doc, self.place, self.left, self.right, self.ctx = [np.concatenate(x) for x in zip(*got)] if got else none
+                got.append([x[use] for x in (h, c, self.ids[i + text], p + self.off[i], left.astype(np.uint8), right.astype(np.uint8))])
+        none = (np.zeros(0, _U), np.zeros(0, _U), *(np.zeros(0, np.int64),) * 2, *(np.zeros(0, np.uint8),) * 2)
+        h, c, self.doc, self.place, self.left, self.right = [np.concatenate(x) for x in zip(*got)] if got else none
+        del got
         b, k = keyed(h, buckets)
         x = both(k, c)
         order = np.lexsort((self.doc, x))
@@ -201,6 +210,11 @@ class Group:
         self.entry[order] = place[np.cumsum(new) - 1]
         self.bucket, self.k, self.c, self.least = b[self.first], k[self.first], c[self.first], self.doc[self.first]
         self.cut = np.searchsorted(self.bucket, np.arange(buckets + 1))
+        self.view = reaches(self.data)
+
+    def bytes_of(self, anchor: np.ndarray) -> np.ndarray:
+        """Contexts of some anchors."""
+        return bounded(self.view, self.place[anchor], self.left[anchor], self.right[anchor])
 
     def sends(self, codes: list[tuple[int, bytes]]):
         """(bucket, side, entries) of what is sent, from the codes told of each bucket: 1 sends to the bucket itself, 2 to the
@@ -214,7 +228,7 @@ class Group:
                 to = self.bucket[at]
             else:
                 a = BACK if side == 1 else BACK - HALF
-                part = np.ascontiguousarray(self.ctx[self.first[at], a : a + GRAM + HALF])
+                part = self.bytes_of(self.first[at])[:, a : a + GRAM + HALF]
                 x = np.zeros(len(at), _U)
                 for n in range(part.shape[1]):
                     x = mix(x + part[:, n] + _U(side))
@@ -282,7 +296,7 @@ def _send(buckets: int):
         for to, side, entries in g.sends(_codes(right)) if len(left) else ():
             at = g.first[entries]
             # columns one behind the other compress better than records
-            rows.append((to, side, squeezed(b"".join(np.ascontiguousarray(x[at]).tobytes() for x in (g.doc, g.left, g.right, g.ctx)))))
+            rows.append((to, side, squeezed(b"".join(np.ascontiguousarray(x[at]).tobytes() for x in (g.doc, g.left, g.right)) + g.bytes_of(at).tobytes())))
         return _rows_of(g.grp, rows, _SENT)
 
     return run
@@ -499,10 +513,14 @@ def _cut(buckets: int, output):
         for to, side, entries in g.sends(_codes(right)):
             if (to, side) in told:
                 mask[entries] |= np.frombuffer(unsqueezed(told[to, side]), _W)
-        if len(g.entry) and not (g.ctx == g.ctx[g.first[g.entry]]).all():
-            raise RuntimeError("two contexts of a group share a hash; choose other seeds")
+        twin = g.first[g.entry]  # equal contexts of a group are told by bytes, not by hashes
+        for a in range(0, len(twin), 1 << 15):
+            at = np.arange(a, min(a + (1 << 15), len(twin)))
+            at = at[twin[at] != at]
+            if not (g.bytes_of(at) == g.bytes_of(twin[at])).all():
+                raise RuntimeError("two contexts of a group share a hash; choose other seeds")
         full = _full(g.left, g.right)
-        mine = np.where(g.doc > g.least[g.entry], full, mask[g.entry])  # inside a group equal contexts are compared above
+        mine = np.where(g.doc > g.least[g.entry], full, mask[g.entry])
         cover = np.zeros(len(g.data) + 1, np.int32)
         whole = (mine == full) & (full > 0)
         np.add.at(cover, g.place[whole] - g.left[whole], 1)
