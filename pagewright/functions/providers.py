@@ -10,34 +10,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EMBEDDING_WIDTH, EMPTY_DOCUMENT_SUMMARY, EMPTY_PAGE_SUMMARY
+from ..constants import EMBEDDING_BATCH, EMBEDDING_WIDTH, EMPTY_DOCUMENT_SUMMARY, EMPTY_PAGE_SUMMARY, MAX_PAGES
 from .text import embedding_input, is_blank, normalize_whitespace
 
 
-def hashed_embeddings(texts: list[str], width: int = EMBEDDING_WIDTH) -> list[list[float]]:
-    import zlib
+def hashed_embeddings(texts: list[str], width: int = EMBEDDING_WIDTH) -> np.ndarray:
+    """One row for each text: its words counted, with a sign, in places told by their hash, and scaled to length 1."""
+    words = [t.lower().split() for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    flat = pd.Series([w for ws in words for w in ws], dtype=object)
+    h = pd.util.hash_array(flat.to_numpy(), categorize=True) if len(flat) else np.zeros(0, np.uint64)
+    out = np.zeros((len(texts), width))
+    np.add.at(out, (row, (h % np.uint64(width)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+    n = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(n == 0, 1, n)
 
-    out = []
-    for t in texts:
-        v = np.zeros(width)
-        for w in t.lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % width] += 1.0 if h & 0x80000000 else -1.0
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
-    return out
 
-
-def embedded(chunks: DataFrame, provider: Callable[[list[str], int], list[list[float]]] = hashed_embeddings, width: int = EMBEDDING_WIDTH) -> DataFrame:
-    """chunks with embedding; a batch that comes back with another number of vectors or another width is an error."""
+def embedded(chunks: DataFrame, provider: Callable[[list[str], int], list[list[float]]] = hashed_embeddings, width: int = EMBEDDING_WIDTH, batch: int = EMBEDDING_BATCH) -> DataFrame:
+    """chunks with embedding, asked for in batches of ``batch`` texts; a batch that comes back with another number of vectors or
+    another width is an error."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            v = provider(s.tolist(), width)
-            if len(v) != len(s) or any(len(x) != width for x in v):
-                raise ValueError("the embedding batch doesn't match its input")
-            yield pd.Series(v)
+            out = []
+            for i in range(0, len(s), batch):
+                texts = s.iloc[i : i + batch].tolist()
+                v = provider(texts, width)
+                if len(v) != len(texts) or any(len(x) != width for x in v):
+                    raise ValueError("the embedding batch doesn't match its input")
+                out += list(v)
+            yield pd.Series(out)
 
     return chunks.withColumn("embedding", run(embedding_input(F.col("text"), F.col("chunk_index"))))
 
@@ -58,3 +61,21 @@ def document_summaries(pages: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.filter(s, lambda p: p["summary"] != EMPTY_PAGE_SUMMARY), lambda p: p["summary"]), " ")
     empty = F.bool_and(F.col("summary") == EMPTY_PAGE_SUMMARY)
     return pages.groupBy("document_id").agg(F.when(empty, EMPTY_DOCUMENT_SUMMARY).otherwise(joined).alias("summary"))
+
+
+def page_ranges(pages: Column, each: int = MAX_PAGES) -> Column:
+    """The shards of a batch OCR job: (first, last) pages, ``each`` at most, without overlap."""
+    n = F.ceil(pages / each).cast("int")
+    ranges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * each + 1).cast("int").alias("first"), F.least((i + 1) * each, pages).cast("int").alias("last")))
+    return F.when(pages > 0, ranges).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+
+def ocr_job(files: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A batch OCR job over files (document_id, page_count, ...): each document is dealt into shards of pages, ``read`` gives
+    (document_id, shard_index, text, pages) for (document_id, shard_index, first, last, ...); a document without any output is
+    an error."""
+    asked = files.select("*", F.posexplode(page_ranges(F.col("page_count"))).alias("shard_index", "range")).select("*", "range.first", "range.last").drop("range")
+    got = read(asked)
+    none = files.select("document_id").join(got.select("document_id").distinct().withColumn("_got", F.lit(True)), "document_id", "left")
+    failed = F.when(F.col("_got"), F.col("document_id")).otherwise(F.raise_error(F.concat(F.lit("no OCR output for "), F.col("document_id").cast("string"))).cast(dict(files.dtypes)["document_id"]))
+    return got.join(none.select(failed.alias("document_id")), "document_id")

@@ -149,3 +149,31 @@ def decode_credentials(c: Column) -> Column:
     """JSON, or JSON in base64, as JSON text; null if it is neither."""
     raw = F.to_json(F.try_parse_json(c))
     return F.coalesce(raw, F.to_json(F.try_parse_json(F.try_to_binary(c, F.lit("base64")).cast("string"))))
+
+
+def timestamp_label(ts: Column) -> Column:
+    """Medium date and short time, as in English: Jan 5, 2024, 3:07 PM."""
+    return F.date_format(ts, "MMM d, yyyy, h:mm a")
+
+
+def title_prefix(c: Column, most: int = 40) -> Column:
+    return F.substring(c, 1, most)
+
+
+def every(items: Column, fine) -> Column:
+    return F.forall(items, fine)
+
+
+def some(items: Column, fine) -> Column:
+    return F.exists(items, fine)
+
+
+def find_first(items: Column, fine) -> Column:
+    """The first element for which fine holds, in order; null if there is none."""
+    return F.try_element_at(F.filter(items, fine), F.lit(1))
+
+
+def setting(spark, name: str, default: str | None = None) -> str | None:
+    """A value of the session's configuration under pagewright., else the default; blank counts as unset."""
+    value = spark.conf.get(f"pagewright.{name}", None)
+    return value if value and value.strip() else default

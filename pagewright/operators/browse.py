@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import RECENT_EVENTS
 from ..functions.text import file_size, trim
+from .grounding import shown_content
 
 
 def text_filter(df: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -40,23 +42,53 @@ def caption(status: Column, pages: Column) -> Column:
     return F.when(pages.isNotNull(), F.concat(pages.cast("string"), F.lit(" pages"))).when(status == "ready", "Ready").otherwise("Processing")
 
 
+# A step's name, what it waits for, and what it says while it is active, when it failed, and when it is done.
+STEPS = [
+    ("upload", None, "Uploading to storage...", "Upload failed", " pages · "),
+    ("ocr", "Waiting for upload to complete", "Running OCR on document pages...", "OCR failed", " pages processed"),
+    ("embedding", "Waiting for OCR", "Embedding pages...", "Embedding failed", " pages embedded"),
+]
+
+
 def pipeline_steps(status: Column, ocr_at: Column, embedded_at: Column, pages: Column, size: Column, error: Column) -> Column:
-    """Array of three steps (step, state, detail)."""
-    n = F.coalesce(pages.cast("string"), F.lit("?"))
-    up, ocr, emb = status != "uploading", ocr_at.isNotNull(), embedded_at.isNotNull()
-
-    def step(name: str, state: Column, detail: Column) -> Column:
-        return F.struct(F.lit(name).alias("step"), state.alias("state"), detail.alias("detail"))
-
-    upload = F.when(up, "completed").otherwise("active")
-    ocr_failed, ocr_active = (status == "failed") & ~ocr, ~ocr & status.isin("processing", "uploaded")
-    emb_failed, emb_active = (status == "failed") & ocr & ~emb, ocr & ~emb & (status == "processing")
-    state = lambda failed, done, active: F.when(failed, "failed").when(done, "completed").when(active, "active").otherwise("pending")
-    return F.array(
-        step("upload", upload, F.when(up, F.concat(n, F.lit(" pages · "), file_size(size))).otherwise("Uploading to storage...")),
-        step("ocr", state(ocr_failed, ocr, ocr_active), F.when(ocr_failed, F.coalesce(error, F.lit("OCR failed"))).when(ocr, F.concat(n, F.lit(" pages processed"))).when(ocr_active, "Running OCR on document pages...").otherwise("Waiting for upload to complete")),
-        step("embedding", state(emb_failed, emb, emb_active), F.when(emb_failed, F.coalesce(error, F.lit("Embedding failed"))).when(emb, F.concat(n, F.lit(" pages embedded"))).when(emb_active, "Embedding pages...").otherwise("Waiting for OCR")),
-    )
+    """Array of steps (step, state, detail). A step is done once its mark stands; the first one that isn't is active or failed, by
+    the document's status; later ones are pending."""
+    count = F.coalesce(pages.cast("string"), F.lit("?"))
+    done = {"upload": status != "uploading", "ocr": ocr_at.isNotNull(), "embedding": embedded_at.isNotNull()}
+    busy = {"upload": F.lit(True), "ocr": status.isin("processing", "uploaded"), "embedding": status == "processing"}
+    out, before = [], F.lit(True)
+    for name, waits, works, failed, said in STEPS:
+        broke = before & (status == "failed") & F.lit(name != "upload")
+        state = F.when(done[name], "completed").when(broke, "failed").when(before & busy[name], "active").otherwise("pending")
+        tail = file_size(size) if name == "upload" else F.lit("")
+        detail = F.when(state == "completed", F.concat(count, F.lit(said), tail)).when(state == "failed", F.coalesce(error, F.lit(failed))).when(state == "active", works).otherwise(waits)
+        out.append(F.struct(F.lit(name).alias("step"), state.alias("state"), detail.alias("detail")))
+        before = F.lit(True) if name == "upload" else done[name]
+    return F.array(*out)
+
+
+def without_pinned(groups: DataFrame, pinned, query: str = "", key: str = "id") -> DataFrame:
+    """A list without the row that is shown above it; a search shows all."""
+    return groups if query.strip() or pinned is None else groups.where(F.col(key) != F.lit(pinned))
+
+
+def source_label(prefix: str, number: Column) -> Column:
+    return F.concat(F.lit(prefix), number.cast("string"))
+
+
+def ring(events: DataFrame, order: str, n: int = RECENT_EVENTS) -> DataFrame:
+    """The newest n events, newest first."""
+    return events.orderBy(F.desc(order)).limit(n)
+
+
+def shown_messages(stored: DataFrame, waiting: DataFrame, slack_ms: int = 5000) -> DataFrame:
+    """(conv_id, role, content, created_ms, pending): stored messages, an assistant's as a client shows them, and those
+    submitted (conv_id, role, content, submitted_ms) that aren't stored yet. A waiting answer stands 1 ms after its question."""
+    said = F.when(F.col("role") == "assistant", shown_content(F.col("content"))).otherwise(F.col("content"))
+    old = stored.select("conv_id", "role", said.alias("content"), "created_ms", F.lit(False).alias("pending"))
+    at = F.col("submitted_ms") + (F.col("role") == "assistant").cast("int")
+    new = pending(waiting, stored.withColumn("content", said), slack_ms).where(F.length("content") > 0)
+    return old.unionByName(new.select("conv_id", "role", "content", at.alias("created_ms"), F.lit(True).alias("pending")))
 
 
 def pending(shown: DataFrame, stored: DataFrame, slack_ms: int = 5000) -> DataFrame:

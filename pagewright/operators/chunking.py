@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_WORDS
-from ..functions.text import normalize_extracted, tokens
+from ..functions.text import NOT_WS, normalize_extracted, tokens
 
 NO_TEXT = "[No extractable text found in this PDF.]"  # fixed value
 
@@ -30,40 +30,51 @@ def text_chunks(docs: DataFrame, key: str = "document_id", text: str = "text", s
     return cut.select(key, "chunk_index", F.array_join("w", " ").alias("text"), F.size("w").alias("token_count"))
 
 
+def page_pieces(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """document_id, chunk_index, page_number, piece, n_words, start_offset, end_offset: what each chunk holds of each page.
+
+    A document's words in page order are one stream; a page's place in it is the sum of the words before it. Offsets count code
+    points of the chunk's text, with one space between words. Pages come together by document once, as words; nothing
+    holds a document as a whole.
+    """
+    step = size - overlap
+    words = tokens(normalize_extracted(F.coalesce("extracted_text", F.lit(""))))
+    page = pages.select("document_id", "page_number", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    whole = Window.partitionBy("document_id")
+    upto = whole.orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    page = page.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("int")).withColumn("chunks", chunk_count(F.sum("n").over(whole), size, overlap))
+    low = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / step)).cast("int")
+    high = F.least(F.col("chunks") - 1, F.floor((F.col("at") + F.col("n") - 1) / step)).cast("int")
+    page = page.select("document_id", "page_number", "w", "n", "at", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).alias("chunk_index"))
+    first = F.greatest(F.col("chunk_index") * step - F.col("at"), F.lit(0))
+    last = F.least(F.col("chunk_index") * step + size - F.col("at"), F.col("n"))
+    piece = page.where(first < last).select("document_id", "chunk_index", "page_number", F.array_join(F.slice("w", first + 1, last - first), " ").alias("piece"), (last - first).alias("n_words"))
+    before = Window.partitionBy("document_id", "chunk_index").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)).cast("int")
+    return piece.withColumn("start_offset", start).withColumn("end_offset", (F.col("start_offset") + F.length("piece")).cast("int"))
+
+
 def page_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """pages (document_id, page_number, extracted_text) to chunks: document_id, chunk_index, start_page_number,
     end_page_number, text, token_count, page_spans (page_number, start_offset, end_offset in code points of the text).
 
-    A document's words in page order are one stream; spans of neighbouring pages leave out the space between them. A document
-    without words gets one chunk that says so. One shuffle brings a document's pages together (a document has 100 at most).
+    Spans of neighbouring pages leave out the space between them. A document without words gets one chunk that says so. A chunk
+    is made of ``size`` words at most, so no row grows with a document; the shuffle by document serves all steps.
     """
-    word = F.struct(F.col("page_number").alias("p"), tokens(normalize_extracted(F.coalesce("extracted_text", F.lit("")))).alias("w"))
-    docs = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(word)).alias("pages"), F.min("page_number").alias("first"), F.max("page_number").alias("last"))
-    flat = F.flatten(F.transform("pages", lambda p: F.transform(p["w"], lambda t: F.struct(p["p"].alias("p"), t.alias("t")))))
-    docs = docs.select("document_id", "first", "last", flat.alias("words"))
-    n = F.size("words")
-    step = size - overlap
-    index = F.when(n > 0, F.sequence(F.lit(0), chunk_count(n, size, overlap) - 1)).otherwise(F.array(F.lit(-1)))
-    cut = docs.select("document_id", "first", "last", "words", F.explode(index).alias("i"))
-    cut = cut.select("document_id", "first", "last", F.greatest("i", F.lit(0)).alias("chunk_index"), F.when(F.col("i") >= 0, F.slice("words", F.greatest("i", F.lit(0)) * step + 1, size)).alias("w"))
-    # words stand in page order, so a page's span ends where the words up to it do
-    def upto(keep) -> Column:
-        return F.array_join(F.transform(F.filter("w", keep), lambda x: x["t"]), " ")
-
-    def span(page: Column) -> Column:
-        before = F.length(upto(lambda x: x["p"] < page))
-        start = F.when(before > 0, before + 1).otherwise(0)
-        return F.struct(page.cast("int").alias("page_number"), start.alias("start_offset"), F.length(upto(lambda x: x["p"] <= page)).alias("end_offset"))
-
-    spans = F.transform(F.array_distinct(F.transform("w", lambda x: x["p"])), span)
-    empty = F.array(F.struct(F.col("first").cast("int").alias("page_number"), F.lit(0).alias("start_offset"), F.lit(len(NO_TEXT)).alias("end_offset")))
-    none = F.col("w").isNull()
-    return cut.select(
+    part = F.struct(F.col("page_number").cast("int").alias("page_number"), "piece", "start_offset", "end_offset")
+    whole = page_pieces(pages, size, overlap).groupBy("document_id", "chunk_index").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("n_words").cast("int").alias("token_count"))
+    spans = F.transform("parts", lambda x: F.struct(x["page_number"].alias("page_number"), x["start_offset"].alias("start_offset"), x["end_offset"].alias("end_offset")))
+    full = whole.select(
         "document_id",
         "chunk_index",
-        F.when(none, F.col("first")).otherwise(F.col("w")[0]["p"]).cast("int").alias("start_page_number"),
-        F.when(none, F.col("last")).otherwise(F.try_element_at("w", F.lit(-1))["p"]).cast("int").alias("end_page_number"),
-        F.when(none, F.lit(NO_TEXT)).otherwise(F.array_join(F.transform("w", lambda x: x["t"]), " ")).alias("text"),
-        F.when(none, F.lit(len(NO_TEXT.split()))).otherwise(F.size("w")).alias("token_count"),
-        F.when(none, empty).otherwise(spans).alias("page_spans"),
+        F.col("parts")[0]["page_number"].alias("start_page_number"),
+        F.try_element_at("parts", F.lit(-1))["page_number"].alias("end_page_number"),
+        F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("text"),
+        "token_count",
+        spans.alias("page_spans"),
     )
+    wordless = ~F.bool_or(normalize_extracted(F.coalesce("extracted_text", F.lit(""))).rlike(NOT_WS))
+    empty = pages.groupBy("document_id").agg(F.min("page_number").cast("int").alias("first"), F.max("page_number").cast("int").alias("last"), wordless.alias("wordless")).where("wordless")
+    span = F.array(F.struct(F.col("first").alias("page_number"), F.lit(0).alias("start_offset"), F.lit(len(NO_TEXT)).alias("end_offset")))
+    said = empty.select("document_id", F.lit(0).alias("chunk_index"), F.col("first").alias("start_page_number"), F.col("last").alias("end_page_number"), F.lit(NO_TEXT).alias("text"), F.lit(len(NO_TEXT.split())).alias("token_count"), span.alias("page_spans"))
+    return full.unionByName(said)

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MAX_CITATIONS
-from ..functions.text import locate, normalize_whitespace, page_label, snippet, trim
-
-_STRING = "'STRING'"
+from ..functions.text import fallback_route, locate, normalize_whitespace, page_label, snippet, trim
 
 
 def kind(v: Column, path: str) -> Column:
@@ -91,3 +89,32 @@ def chunk_context(sources: DataFrame, by: list[str]) -> DataFrame:
     """The block of sources for a model: label, pages and text of each in order, a blank line between them."""
     line = F.concat(F.lit("["), F.col("source_id"), F.lit("] "), page_label(F.col("start_page_number"), F.col("end_page_number")), F.lit("\n"), F.col("text"))
     return sources.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+
+
+def summary_context(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, document_summary, page_summaries, context): a document's summary and those of its pages in page order,
+    labelled P<page>; a document without pages has only its own."""
+    line = F.concat(F.lit("[P"), F.col("page_number").cast("string"), F.lit("] "), page_label(F.col("page_number"), F.col("page_number")), F.lit("\n"), F.col("summary"))
+    each = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "summary", line.alias("line")))).alias("p"))
+    out = documents.select("document_id", F.col("summary").alias("document_summary")).join(each, "document_id", "left")
+    p = F.coalesce("p", F.array().cast("array<struct<page_number:int,summary:string,line:string>>"))
+    blocks = F.concat(F.array(F.concat(F.lit("Document summary\n"), F.coalesce("document_summary", F.lit("")))), F.transform(p, lambda x: x["line"]))
+    return out.select("document_id", "document_summary", F.transform(p, lambda x: F.struct(x["page_number"].alias("page_number"), x["summary"].alias("summary"))).alias("page_summaries"), F.array_join(blocks, "\n\n").alias("context"))
+
+
+NO_SOURCES = "No source passages were found."
+
+
+def prompt(title: Column, context: Column, question: Column) -> Column:
+    """What a model is asked: the document, its sources (or that there are none) and the question, a blank line between them."""
+    return F.concat_ws("\n\n", F.concat(F.lit("Document: "), title), F.concat(F.lit("Sources:\n"), F.coalesce(F.nullif(context, F.lit("")), F.lit(NO_SOURCES))), F.concat(F.lit("Question: "), question))
+
+
+def routed(decision: Column, question: Column) -> Column:
+    """(standalone_query, retrieval_mode) of a model's answer (JSON); one that isn't an object of a text that isn't blank and a
+    known mode gives way to the decision without a model."""
+    v = F.try_parse_json(decision)
+    said = normalize_whitespace(F.try_variant_get(v, "$.standaloneQuery", "string"))
+    mode = F.try_variant_get(v, "$.retrievalMode", "string")
+    fine = (kind(v, "$.standaloneQuery") == "STRING") & (kind(v, "$.retrievalMode") == "STRING") & (said != "") & mode.isin("chunks", "summaries")
+    return F.when(F.coalesce(fine, F.lit(False)), F.struct(said.alias("standalone_query"), mode.alias("retrieval_mode"))).otherwise(fallback_route(question))

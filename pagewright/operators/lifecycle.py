@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_ATTEMPTS, MAX_PAGES, RESERVATION_SECONDS, RETRY_SECONDS, TRANSIENT_CODES, TRANSIENT_ERRNO, TRANSIENT_HTTP, TRANSIENT_PHRASES, URL_CACHE_SECONDS
+from ..constants import MAX_ATTEMPTS, MAX_PAGES, RESERVATION_SECONDS, RETRY_SECONDS, TRANSIENT_CODES, TRANSIENT_ERRNO, TRANSIENT_HTTP, TRANSIENT_PHRASES, URL_CACHE_SECONDS, URL_SECONDS
 
 
 def looks_like_pdf(filename: Column, mime: Column | None = None) -> Column:
@@ -54,25 +56,39 @@ def retry(attempt: Column, failed_at: Column, is_transient: Column) -> Column:
     return F.struct(F.when(again, "processing").otherwise("failed").alias("status"), at.alias("next_at"))
 
 
-def fence(events: DataFrame, key: str, order: str, kind: str, attempt: str) -> DataFrame:
-    """State after all events of a document (begin, ready, failed, retry; in order): a fold with compare-and-set. A begin
-    counts only with a higher attempt and unless ready, the others only with the stored attempt.
+def _sorted_fold(rows: DataFrame, key: str, order: list, fold, schema: str) -> DataFrame:
+    """fold(batches) over rows that come together by key, in order. A task holds one batch and one key's state, however long a
+    key's log is."""
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
-    A key's events come together in one row; a document has few (three attempts). Keys whose logs grow without bound belong
-    to the streaming form.
-    """
-    e = F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.col(attempt).cast("int").alias("a"))
-    start = F.struct(F.lit("uploaded").alias("status"), F.lit(0).alias("attempt"), F.lit(0).alias("applied"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = (x["k"] == "begin") & (s["status"] != "ready") & (s["attempt"] < x["a"])
-        own = s["attempt"] == x["a"]
-        status = F.when(begin, "processing").when((x["k"] == "ready") & own, "ready").when((x["k"] == "failed") & own, "failed").when((x["k"] == "retry") & own, "processing").otherwise(s["status"])
-        done = begin | (own & x["k"].isin("ready", "failed", "retry"))
-        return F.struct(status.alias("status"), F.when(begin, x["a"]).otherwise(s["attempt"]).alias("attempt"), (s["applied"] + done.cast("int")).alias("applied"))
-
-    out = events.groupBy(key).agg(F.array_sort(F.collect_list(e)).alias("log")).select(key, F.aggregate("log", start, step).alias("s"))
-    return out.select(key, "s.status", F.col("s.attempt").cast("long").alias("attempt"), F.col("s.applied").cast("long").alias("applied"))
+def fence(events: DataFrame, key: str, order: str, kind: str, attempt: str) -> DataFrame:
+    """State after all events of a document (begin, ready, failed, retry; in order): a fold with compare-and-set. A begin
+    counts only with a higher attempt and unless ready, the others only with the stored attempt."""
+
+    def fold(batches):
+        now, status, at, applied = None, "uploaded", 0, 0
+        out, first = [], True
+        for pdf in batches:
+            for k, what, n in zip(pdf["key"].tolist(), pdf["kind"].tolist(), pdf["attempt"].tolist()):
+                if first or k != now:
+                    if not first:
+                        out.append((now, status, at, applied))
+                    now, status, at, applied, first = k, "uploaded", 0, 0, False
+                if what == "begin":
+                    if status != "ready" and at < n:
+                        status, at, applied = "processing", n, applied + 1
+                elif n == at and what in ("ready", "failed", "retry"):
+                    status, applied = ("processing" if what == "retry" else what), applied + 1
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=[key, "status", "attempt", "applied"])
+                out = []
+        if not first:
+            out.append((now, status, at, applied))
+        yield pd.DataFrame(out, columns=[key, "status", "attempt", "applied"])
+
+    rows = events.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(kind).alias("kind"), F.col(attempt).cast("long").alias("attempt"))
+    return _sorted_fold(rows, "key", ["order", "kind", "attempt"], fold, f"`{key}` {dict(events.dtypes)[key]}, status string, attempt long, applied long")
 
 
 def expired(created_at: Column, now: Column, status: Column, seconds: int = RESERVATION_SECONDS) -> Column:
@@ -81,13 +97,66 @@ def expired(created_at: Column, now: Column, status: Column, seconds: int = RESE
 
 def cached_reads(reads: DataFrame, key: str, ts: str, ttl: int = URL_CACHE_SECONDS) -> DataFrame:
     """hit or miss of each read of a cache that keeps an entry for ttl seconds from the miss that made it: a fold over a
-    key's reads in order."""
-    kind = dict(reads.dtypes)[ts]
-    start = F.struct(F.lit(None).cast(kind).alias("made"), F.expr(f"cast(array() as array<struct<ts:{kind},hit:boolean>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        hit = F.coalesce(x < s["made"] + F.make_dt_interval(secs=F.lit(ttl)), F.lit(False))
-        return F.struct(F.when(hit, s["made"]).otherwise(x).alias("made"), F.concat(s["out"], F.array(F.struct(x.alias("ts"), hit.alias("hit")))).alias("out"))
-
-    rows = reads.groupBy(key).agg(F.array_sort(F.collect_list(ts)).alias("r")).select(key, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
-    return rows.select(key, F.col("x.ts").alias(ts), F.col("x.hit").alias("hit"))
+    key's reads in order, by jumps from one miss to the next."""
+
+    def fold(batches):
+        now, until = None, None
+        for pdf in batches:
+            keys, at = pdf["key"].to_numpy(), pdf["us"].to_numpy()
+            hit = np.ones(len(pdf), bool)
+            cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for i, j in zip(cut[:-1], cut[1:]):
+                if i == j:
+                    continue
+                if now is None or keys[i] != now:
+                    now, until = keys[i], None
+                while True:
+                    i = i if until is None else i + int(np.searchsorted(at[i:j], until))
+                    if i >= j:
+                        break
+                    hit[i], until = False, at[i] + ttl * 1_000_000
+                    i += 1
+            yield pd.DataFrame({key: pdf["key"], "us": at, "hit": hit})
+
+    kinds = dict(reads.dtypes)
+    rows = reads.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    out = _sorted_fold(rows, "key", ["us"], fold, f"`{key}` {kinds[key]}, us long, hit boolean")
+    return out.select(key, F.timestamp_micros("us").cast(kinds[ts]).alias(ts), "hit")
+
+
+# Upload: what each event does to a reservation. (status, event) -> (status, what is to be done)
+UPLOAD_STEPS = {
+    ("new", "reserve"): ("uploading", "sign"),
+    ("uploading", "accepted"): ("uploaded", "schedule"),
+    ("uploading", "rejected"): ("removed", "delete"),
+    ("uploading", "failed"): ("removed", "delete"),
+    ("uploading", "expired"): ("removed", "delete"),
+}
+
+
+def upload_step(status: Column, event: Column) -> Column:
+    """(status, action) after an event of an upload: a file that is rejected, fails or expires takes its object and row along;
+    anything out of turn changes nothing."""
+    out = F.struct(status.alias("status"), F.lit("none").alias("action"))
+    for (old, what), (new, action) in UPLOAD_STEPS.items():
+        out = F.when((status == old) & (event == what), F.struct(F.lit(new).alias("status"), F.lit(action).alias("action"))).otherwise(out)
+    return out
+
+
+def completed_upload(size: Column, pages: Column, magic: Column) -> Column:
+    """The event that the end of an upload is."""
+    return F.when((admission(size, pages) == "ok") & magic, "accepted").otherwise("rejected")
+
+
+def signed_until(now: Column, seconds: int = URL_SECONDS) -> Column:
+    return now + F.make_dt_interval(secs=F.lit(seconds))
+
+
+def scheduled(uploaded: DataFrame, key: str, at: str) -> DataFrame:
+    """Attempt 1 of each completed upload, at once."""
+    return uploaded.select(key, F.lit(1).alias("attempt"), F.col(at).alias("run_at"))
+
+
+def remove_expired(documents: DataFrame, created: str, now: Column) -> DataFrame:
+    """documents without reservations that ran out."""
+    return documents.where(~F.coalesce(expired(F.col(created), now, F.col("status")), F.lit(False)))

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def literal(v) -> Column:
+    """A clause's value: text, number, boolean, or a list of one of these as an array."""
+    return F.array(*(F.lit(x) for x in v)) if isinstance(v, (list, tuple)) else F.lit(v)
+
+
 _BINARY = {
-    "eq": lambda c, v: c.isNull() if v is None else c == v,
-    "ne": lambda c, v: c.isNotNull() if v is None else c != v,
+    "eq": lambda c, v: c.isNull() if v is None else c == literal(v),
+    "ne": lambda c, v: c.isNotNull() if v is None else c != literal(v),
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
     "gt": lambda c, v: c > v,
@@ -50,17 +55,24 @@ def find_one(df: DataFrame, clauses=()) -> DataFrame:
     return find_many(df, clauses, limit=1)
 
 
-def page(df: DataFrame, clauses, key: str, size: int, cursor=None) -> DataFrame:
-    """A page of at most ``size`` rows in the order of a unique key after the cursor, with is_done. Work doesn't grow with
-    the page's number, as it does with an offset."""
+def page(df: DataFrame, clauses, key: str, size: int, cursor=None, end=None) -> DataFrame:
+    """A page of at most ``size`` rows in the order of a unique key after the cursor and, if given, up to the end cursor
+    (which may hold more), with is_done and continue_cursor: the key after which the next page begins. Work doesn't grow
+    with the page's number, as it does with an offset."""
     rows = df.where(where(list(clauses)))
     if cursor is not None:
         rows = rows.where(F.col(key) > F.lit(cursor))
-    from pyspark.sql import Window
-
+    if end is not None:
+        last = rows.where(F.col(key) <= F.lit(end))
+        return last.withColumn("is_done", F.lit(rows.where(F.col(key) > F.lit(end)).isEmpty())).withColumn("continue_cursor", F.lit(end).cast(dict(df.dtypes)[key]))
     top = rows.orderBy(key).limit(size + 1)
-    n = top.withColumn("_n", F.row_number().over(Window.orderBy(key))).withColumn("is_done", F.max("_n").over(Window.partitionBy()) <= size)
-    return n.where(F.col("_n") <= size).drop("_n")
+    whole = Window.partitionBy()  # of size + 1 rows
+    n = top.withColumn("_n", F.row_number().over(Window.orderBy(key))).withColumn("is_done", F.max("_n").over(whole) <= size)
+    return n.where(F.col("_n") <= size).drop("_n").withColumn("continue_cursor", F.max(key).over(whole))
+
+
+def created(df: DataFrame, rows: DataFrame) -> DataFrame:
+    return df.unionByName(rows, allowMissingColumns=True).select(*df.columns)
 
 
 def update_many(df: DataFrame, clauses, changes: dict) -> DataFrame:

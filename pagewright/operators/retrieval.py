@@ -19,19 +19,23 @@ def terms(c: Column) -> Column:
 
 
 def lexical_top_k(docs: DataFrame, query: str, k: int = LEXICAL_LIMIT, id_: str = "id", text: str = "text", where: Column | None = None) -> DataFrame:
-    """(id, score, rank) by BM25. A query without terms finds nothing. One scan: a document's length and its counts of the
-    query's terms are computed in the projection, so no postings are shuffled; corpus statistics are one small aggregate."""
+    """(id, score, rank) by BM25. A query without terms finds nothing. Texts are read once: a document's length and its counts
+    of the query's terms are dealt by id, some bytes a document, and both the corpus statistics and the scores read that
+    exchange. Of a text only the query's own terms are put into an array."""
     import re
 
     wanted = list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
     base = docs if where is None else docs.where(where)
-    words = base.select(F.col(id_).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", " ")))
+    words = base.select(F.col(id_).alias("id"), line.alias("s"))
+    met = F.regexp_extract_all("s", F.lit(" (" + "|".join(wanted or ["-"]) + ")(?= |$)"), F.lit(1))
+    words = words.select("id", (F.length("s") - F.length(F.translate("s", " ", "")) - (F.length("s") == 1).cast("int")).alias("dl"), met.alias("w"))
 
     def occurrences(q: str) -> Column:
         return F.size(F.filter("w", lambda t: t == q))
 
     tf = [occurrences(q).alias(f"tf{i}") for i, q in enumerate(wanted)]
-    counted = words.select("id", F.size("w").alias("dl"), *tf)
+    counted = words.select("id", "dl", *tf).repartition("id")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     joined = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -91,8 +95,11 @@ def keyword_share(text: Column, wanted: list[str]) -> Column:
 
 
 def rerank(candidates: DataFrame, texts: DataFrame, wanted: list[str], k: int = FINAL_LIMIT) -> DataFrame:
-    """The k best of fused candidates (24 at most) with their texts (id, text), source labels S1.. by rank."""
-    joined = texts.join(F.broadcast(candidates), "id")
+    """The k best of fused candidates (24 at most) with their texts (id, text), source labels S1.. by rank. The candidates'
+    ids reach the scan of the texts as a filter."""
+    rows = candidates.collect()
+    candidates = candidates.sparkSession.createDataFrame(rows, candidates.schema)
+    joined = texts.where(F.col("id").isin([r.id for r in rows])).join(F.broadcast(candidates), "id")
     score = F.col("fused") + keyword_share(F.col("text"), wanted) * KEYWORD_BONUS
     top = joined.withColumn("hybrid_score", score).orderBy(F.desc("hybrid_score"), "cand_pos").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("hybrid_score"), "cand_pos")).cast("long")

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import HISTORY_TURNS
+
+FILTERED = 1000  # ids in a filter
+
 
 def point(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
@@ -24,9 +28,16 @@ def owned(df: DataFrame, key: str, value, owner_column: str, owner) -> DataFrame
 
 
 def multi_get(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
-    """Rows in the order of ids, with position; missing ids are dropped, repeated ones give their row again."""
+    """Rows in the order of ids, with position; missing ids are dropped, repeated ones give their row again. The ids are a
+    request's parameter; they reach the scan as a filter while there are at most FILTERED of them."""
     wanted = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(ids)], f"position long, {key} {dict(df.dtypes)[key]}")
-    return df.join(F.broadcast(wanted), key).orderBy("position")
+    few = len(set(ids)) <= FILTERED
+    return (df.where(F.col(key).isin(list(set(ids)))).join(F.broadcast(wanted), key) if few else df.join(wanted, key)).orderBy("position")
+
+
+def multi_get_of(df: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
+    """The same for many requests at once: asked (request, position, key)."""
+    return asked.join(df, key).orderBy("request", "position")
 
 
 def newest(df: DataFrame, n: int, order: str, tie: str | None = None) -> DataFrame:
@@ -40,6 +51,17 @@ def last_n(df: DataFrame, n: int, by: list[str], order: str, where: Column | Non
     return top.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long")).drop("_n")
 
 
+def history(messages: DataFrame, conversations: DataFrame, conversation, owner, n: int = HISTORY_TURNS, order: str = "created_at") -> DataFrame:
+    """The newest n messages of a conversation, numbered oldest first; none if the owner's isn't that conversation."""
+    mine = owned(conversations, "id", conversation, "owner", owner).select(F.col("id").alias("conversation_id"))
+    return last_n(messages.where(F.col("conversation_id") == F.lit(conversation)).join(mine, "conversation_id", "left_semi"), n, ["conversation_id"], order)
+
+
+def recent_oldest_first(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The newest n rows, in the order in which they came."""
+    return newest(df, n, order).orderBy(order)
+
+
 def first_n_then_sort(df: DataFrame, n: int, created: str, order: str) -> DataFrame:
     return df.orderBy(created).limit(n).orderBy(order)
 
@@ -56,16 +78,38 @@ def append_checked(parents: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return out.withColumn(key, checked).select(*rows.columns)
 
 
-def patched(df: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Shallow merge: only fields that a change gives are overwritten."""
-    fields = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields))
-    out = df.join(new, key, "left")
-    return out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns))
+def inserted(df: DataFrame, rows: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """df with rows appended; fields that rows don't have, or have as null, take their default, or null."""
+    defaults = defaults or {}
+    kinds = dict(df.dtypes)
+
+    def field(c: str) -> Column:
+        given = F.col(f"`{c}`") if c in rows.columns else F.lit(None)
+        return F.coalesce(given.cast(kinds[c]), F.lit(defaults.get(c)).cast(kinds[c])).alias(c)
 
+    return df.unionByName(rows.select(*(field(c) for c in df.columns)))
 
-def replaced(df: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    return df.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True).select(*df.columns)
+
+def patched(df: DataFrame, changes: DataFrame, key: str = "id", unset: str | None = None) -> DataFrame:
+    """Shallow merge: only fields that a change gives are overwritten. unset names a column of changes that lists fields to be
+    cleared. A key is changed once; changes of unknown keys do nothing."""
+    fields = [c for c in changes.columns if c not in (key, unset)]
+    new = changes.select(F.col(key).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in fields), *([F.col(unset).alias("_unset")] if unset else [])).alias("_new"))
+    out = df.join(new, F.col(key) == F.col("_key"), "left")
+
+    def field(c: str) -> Column:
+        value = F.coalesce(F.col(f"_new.`{c}`"), F.col(f"`{c}`")) if c in fields else F.col(f"`{c}`")
+        return (F.when(F.coalesce(F.array_contains("_new._unset", F.lit(c)), F.lit(False)), F.lit(None)).otherwise(value) if unset and c != key else value).alias(c)
+
+    return out.select(*(field(c) for c in df.columns))
+
+
+def replaced(df: DataFrame, rows: DataFrame, key: str = "id", drop: tuple[str, ...] = ("error",)) -> DataFrame:
+    """df with whole rows in place of those of the same key; the fields of drop are cleared in them. Keys that df doesn't hold
+    aren't added."""
+    known = rows.join(df.select(key), key, "left_semi")
+    new = known.select(*((F.lit(None) if c in drop or c not in rows.columns else F.col(f"`{c}`")).cast(t).alias(c) for c, t in df.dtypes))
+    return df.join(rows.select(key), key, "left_anti").unionByName(new)
 
 
 def deleted(df: DataFrame, keys: DataFrame, key: str = "id", guard: Column | None = None) -> DataFrame:
@@ -75,26 +119,39 @@ def deleted(df: DataFrame, keys: DataFrame, key: str = "id", guard: Column | Non
     return df.join(gone, key, "left_anti")
 
 
-def publish(df: DataFrame, path: str, key: str = "document_id", buckets: int = 64) -> None:
-    """Replace the documents of df in a table that is laid out by a hash bucket of the document: their buckets are
-    rewritten, all others stay. Repeating it changes nothing."""
+def cleared(df: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """df without any row of the documents: what deletion in batches until nothing is left comes to."""
+    return df.join(documents.select(key).distinct(), key, "left_anti")
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def publish(df: DataFrame, path: str, key: str = "document_id", buckets: int = 64, documents: DataFrame | None = None) -> None:
+    """Replace the content of documents in a table that is laid out by a hash bucket of the document: their buckets are
+    rewritten, all others stay. documents (key) are those replaced, by default the ones in df; a document without rows
+    in df loses its old ones. Repeating it changes nothing. New buckets are staged beside the table before any file is
+    replaced, so a failure on the way leaves the table as it was, or some buckets old and some new; run it again."""
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    new = df.withColumn("bucket", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # the table's first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        touched = new.select("bucket").distinct()
-        rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(df.select(key).distinct(), key, "left_anti")
-        new = new.unionByName(rest, allowMissingColumns=True)
-        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"  # old files are read before they are replaced
-        new.write.parquet(staged)
-        new = spark.read.parquet(staged)
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    ids = (df if documents is None else documents).select(key).distinct()
+    if not _exists(spark, path):
+        df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return
+    touched = [r.bucket for r in ids.select(bucket.alias("bucket")).distinct().collect()]  # buckets at most
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(ids, key, "left_anti")
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    df.withColumn("bucket", bucket).unionByName(old, allowMissingColumns=True).repartition("bucket").write.partitionBy("bucket").parquet(staged)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda base, b: spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/bucket={b}")
+    for b in touched:
+        fs.delete(at(path, b), True)
+        if fs.exists(at(staged, b)):
+            fs.rename(at(staged, b), at(path, b))
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+    spark.catalog.refreshByPath(path)
 
 
 def sse(payload: Column) -> Column:

@@ -1,39 +1,161 @@
-"""The three entry points: ingest documents, answer from them, and browse them."""
+"""The entry points: ingest documents, answer from them, and browse them."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LIST_DOCUMENTS, MAX_TERMS, STOP_WORDS
+from ..constants import LIST_DOCUMENTS, MAX_TERMS, ROUTING_TURNS, STOP_WORDS
 from ..functions.providers import document_summaries, embedded, page_summary
-from ..operators import browse, retrieval, store
+from ..functions.text import error_message, fallback_route, keyword_terms
+from ..operators import browse, grounding, lifecycle, retrieval, store
 from ..operators.chunking import page_chunks
-from ..operators.pages import extract_pages
+from ..operators.pages import extract_pages, with_summaries
 
 
 def query_terms(query: str) -> list[str]:
     """keyword_terms of a parameter."""
-    found = [t for t in re.findall(r"[a-z0-9][a-z0-9._/-]*", query.lower()) if (len(t) >= 3 or re.search("[0-9]", t)) and t not in STOP_WORDS]
-    return list(dict.fromkeys(found))[:MAX_TERMS]
+    found = re.findall(r"[a-z0-9][a-z0-9._/-]*", query.lower())
+    return list(dict.fromkeys(t for t in found if (len(t) >= 3 or re.search("[0-9]", t)) and t not in STOP_WORDS))[:MAX_TERMS]
 
 
 def ingest(shards: DataFrame, expected: DataFrame, width: int = 1536) -> dict[str, DataFrame]:
     """pages, chunks with vectors, and document summaries of OCR shards."""
-    pages = extract_pages(shards, expected).withColumn("summary", page_summary(F.col("extracted_text")))
+    extracted = extract_pages(shards, expected)
+    pages = with_summaries(extracted, extracted.select("document_id", "page_number", page_summary(F.col("extracted_text")).alias("summary")))
     return {"pages": pages, "chunks": embedded(page_chunks(pages), width=width), "documents": document_summaries(pages)}
 
 
-def retrieve(texts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float]) -> DataFrame:
-    """Six best of texts (id, text) for a query: lexical and vector top-12, fused and reranked."""
+def retrieve(texts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], document=None) -> DataFrame:
+    """Six best of texts (id, text) for a query: lexical and vector top-12, fused and reranked. With a document, both searches
+    see its rows (document_id) only; the filter reaches both scans."""
+    if document is not None:
+        texts, vectors = (df.where(F.col("document_id") == F.lit(document)) for df in (texts, vectors))
     terms = query_terms(query)
     lexical = retrieval.lexical_top_k(texts, " ".join(terms) or query.strip())
     vector = retrieval.vector_top_k(vectors, query_vector)
     return retrieval.rerank(retrieval.fuse(lexical, vector), texts, terms)
 
 
+def chat_turn(
+    tables: dict[str, DataFrame],
+    document,
+    conversation,
+    owner,
+    question: str,
+    embed: Callable[[str], list[float]],
+    route: Callable[[list, str], str],
+    answer: Callable[[str], str],
+    now: Column,
+) -> tuple[dict, DataFrame | None]:
+    """One question to one document: (outcome, messages to be stored). tables: documents (id, owner, title, status, summary),
+    pages, chunks (id, document_id, ..., embedding), conversations (id, owner, document_id), messages.
+
+    The request is checked in a fixed order; the question is routed with the last turns; chunks or summaries are brought
+    together as sources; the model's answer is parsed, strictly or as far as it can be read; its citations are checked
+    against the sources. Both messages are given back to be appended. The driver holds one question's sources: six
+    chunks, or a document's summaries.
+    """
+    spark = tables["documents"].sparkSession
+    doc = store.owned(tables["documents"], "id", document, "owner", owner).select("title", "status", "summary").first()
+    conv = store.owned(tables["conversations"], "id", conversation, "owner", owner).where(F.col("document_id") == F.lit(document)).first()
+    chunks = tables["chunks"].where(F.col("document_id") == F.lit(document))
+    facts = {
+        "authenticated": owner is not None,
+        "parsed": True,
+        "complete": bool(question and question.strip()),
+        "owned": doc is not None,
+        "ready": doc is not None and doc.status == "ready",
+        "summarised": doc is not None and bool(doc.summary and doc.summary.strip()),
+        "conversation": conv is not None,
+        "chunked": not chunks.limit(1).isEmpty(),
+    }
+    checked = spark.range(1).select(lifecycle.request_status({k: F.lit(v) for k, v in facts.items()}).alias("s")).first().s
+    if checked.status != 200:
+        return {"status": checked.status, "reason": checked.reason}, None
+    turns = store.last_n(tables["messages"].where(F.col("conversation_id") == F.lit(conversation)), ROUTING_TURNS, ["conversation_id"], "created_at")
+    history = [(r.role, r.content) for r in turns.orderBy("position").select("role", "content").collect()]
+    try:
+        decision = route(history, question)
+    except Exception:  # whatever a model does wrong, the question is routed without it
+        decision = None
+    picked = spark.range(1).select(grounding.routed(F.lit(decision).cast("string"), F.lit(question)).alias("r")).first().r
+    if picked.retrieval_mode == "chunks":
+        best = retrieve(chunks, chunks, picked.standalone_query, embed(picked.standalone_query), document)
+        # six rows: held, so that searching isn't done again for each of the next steps
+        sources = spark.createDataFrame(best.select("source_id", "final_rank", F.col("id").alias("chunk_id"), "text", "start_page_number", "end_page_number", "page_spans").collect(), _SOURCES)
+        context = sources.withColumn("k", F.lit(1)).transform(lambda df: grounding.chunk_context(df, ["k"])).first()
+    else:
+        pages = tables["pages"].where(F.col("document_id") == F.lit(document))
+        summary = tables["documents"].where(F.col("id") == F.lit(document)).select(F.col("id").alias("document_id"), "summary")
+        context = grounding.summary_context(summary, pages).first()
+        sources = pages.select(browse.source_label("P", F.col("page_number")).alias("source_id"), "page_number", "summary")
+    asked = spark.range(1).select(grounding.prompt(F.lit(doc.title), F.lit(context.context if context else None).cast("string"), F.lit(question)).alias("p")).first().p
+    content = answer(asked)
+    raw = spark.range(1).select(grounding.parse_answer(F.lit(content), picked.retrieval_mode == "chunks").alias("a"), grounding.tolerant_answer(F.lit(content)).alias("said"))
+    cited = raw.select(F.posexplode("a.citations").alias("pos", "c")).select("pos", "c.*")
+    if picked.retrieval_mode == "chunks":
+        valid = grounding.validated_citations(cited, sources)
+    else:
+        valid = grounding.summary_citations(cited, sources)
+    said = raw.first().said
+    if said is None:
+        return {"status": 502, "reason": "no_answer"}, None
+    rows = spark.createDataFrame([(0, "user", question), (1, "assistant", said)], "n int, role string, content string")
+    messages = rows.select(F.lit(conversation).alias("conversation_id"), "role", "content", (now + F.make_dt_interval(secs=F.col("n") / 1000)).alias("created_at"))
+    messages = store.append_checked(tables["conversations"].select(F.col("id").alias("conversation_id")), messages, "conversation_id")
+    outcome = {"status": 200, "reason": "ok", "mode": picked.retrieval_mode, "query": picked.standalone_query, "answer": said}
+    return outcome | {"citations": [r.asDict() for r in valid.orderBy("citation").collect()]}, messages
+
+
+_SOURCES = "source_id string, final_rank long, chunk_id string, text string, start_page_number int, end_page_number int, page_spans array<struct<page_number:int,start_offset:int,end_offset:int>>"
+
+
+def ingestion_attempt(documents: DataFrame, document, attempt: int, read: Callable[[], tuple[DataFrame, DataFrame]], publish_to: str, now: Column, error_facts: Callable[[Exception], dict] | None = None, width: int = 1536) -> dict:
+    """One attempt to process a document: (status, attempt, next_at, error, pages, chunks). documents: id, status, attempt.
+
+    It begins only with a higher attempt than the stored one and unless the document is ready. read gives OCR shards and
+    expected pages (see ingest). Pages and chunks replace those of earlier attempts. A transient error (error_facts: http,
+    code, errno) makes another attempt after 15 s, then 60 s; after three attempts, and for other errors, it has failed.
+    """
+    spark = documents.sparkSession
+    row = store.point(documents, "id", document).select("status", "attempt").first()
+    if row is None or row.status == "ready" or (row.attempt or 0) >= attempt:
+        return {"status": "skipped", "attempt": attempt}
+    try:
+        out = ingest(*read(), width=width)
+        ids = spark.createDataFrame([(document,)], f"document_id {dict(documents.dtypes)['id']}")
+        for name in ("pages", "chunks"):
+            store.publish(out[name], f"{publish_to}/{name}", documents=ids)
+        done = {n: spark.read.parquet(f"{publish_to}/{n}").where(F.col("document_id") == F.lit(document)).count() for n in ("pages", "chunks")}
+        return {"status": "ready", "attempt": attempt, **done, "summary": out["documents"].first().summary}
+    except Exception as e:  # every error is classified: it is retried or it is final
+        facts = {"http": None, "code": None, "errno": None} | (error_facts(e) if error_facts else {})
+        again = lifecycle.transient(F.lit(facts["http"]).cast("int"), F.lit(facts["code"]).cast("int"), F.lit(facts["errno"]).cast("string"), F.lit(str(e)))
+        r = spark.range(1).select(lifecycle.retry(F.lit(attempt), now, again).alias("r")).first().r
+        message = spark.range(1).select(error_message(F.lit(str(e))).alias("m")).first().m
+        return {"status": r.status, "attempt": attempt, "next_at": r.next_at, "error": message}
+
+
+def uploads(reservations: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, status, actions) of uploads: reservations (id, created_at) and what then happened (id, at, event; the end of an upload
+    is 'accepted' or 'rejected', see completed_upload; 'failed' is an error on the way; 'expired' the reservation's
+    end). The first event in time decides; what comes later finds the upload settled."""
+    first = events.groupBy("id").agg(F.min_by("event", F.struct("at", "event")).alias("event"))
+    out = reservations.join(first, "id", "left").withColumn("s", lifecycle.upload_step(F.lit("uploading"), F.coalesce("event", F.lit("none"))))
+    acted = F.filter(F.array(F.lit("sign"), F.col("s.action")), lambda a: a != "none")
+    return out.select("id", F.col("s.status").alias("status"), F.array_join(acted, ",").alias("actions"))
+
+
+def answers_in_bulk(questions: DataFrame) -> DataFrame:
+    """questions (id, question) with mode, standalone_query and terms: the routing without a model, for many at once."""
+    r = fallback_route(F.col("question"))
+    return questions.select("id", r["retrieval_mode"].alias("mode"), r["standalone_query"].alias("standalone_query"), F.array_join(keyword_terms(F.col("question")), " ").alias("terms"))
+
+
 def workspace(documents: DataFrame, owner: str, query: str = "") -> DataFrame:
     """The owner's newest documents; the filter sees those only."""
     mine = store.newest(store.equal(documents, owner=owner), LIST_DOCUMENTS, "created_at")

@@ -16,7 +16,27 @@ SCHEMAS = {
     "conversations": "id STRING, owner STRING, document_id STRING, title STRING, created_at TIMESTAMP",
     "messages": f"conversation_id STRING, role STRING, content STRING, citations ARRAY<{CITATION}>, created_at TIMESTAMP",
 }
-LIST_COLUMNS = [c.strip().split(" ")[0] for c in SCHEMAS["documents"].split(",") if c.strip().split(" ")[0] not in ("summary", "sha256", "attempt", "owner", "summary_model")]
+SPREAD_BYTES = 32 << 20  # of input for each core; larger inputs are in enough pieces as they are
+HIDDEN = ("summary", "sha256", "attempt", "owner", "summary_model")  # not for lists
+INTERNAL = ("error",)
+LIST_COLUMNS = [c.strip().split(" ")[0] for c in SCHEMAS["documents"].split(",") if c.strip().split(" ")[0] not in HIDDEN]
+
+
+def list_items(documents: DataFrame) -> DataFrame:
+    """What a list shows of documents; the file's URL is asked for apart."""
+    return documents.select(*(c for c in LIST_COLUMNS if c in documents.columns), F.lit(None).cast("string").alias("file_url"))
+
+
+def without_internal(df: DataFrame) -> DataFrame:
+    return df.drop(*INTERNAL)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in as many pieces as there are cores: a file of one row group would be one task. Inputs beyond
+    SPREAD_BYTES a core come in many row groups and are left as they are, so no large text is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue()
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -33,7 +53,8 @@ def ocr_shards(spark: SparkSession, path: str, document_id: str) -> DataFrame:
 
     raw = spark.read.schema(SHARD_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     named = raw.select("*", F.col("_metadata.file_path").alias("_file")).where("text is not null or pages is not null")
-    order = F.row_number().over(Window.orderBy("_file")) - 1  # shards of one document: one per 100 pages
+    name = F.collate(F.element_at(F.split("_file", "/"), -1), "UNICODE")  # as a locale sorts names
+    order = F.row_number().over(Window.orderBy(name, "_file")) - 1  # shards of one document: one per 100 pages
     return named.withColumn("shard_index", order).withColumn("document_id", F.lit(document_id)).drop("_file")
 
 
@@ -43,6 +64,12 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_magic"))
 
 
-def write_payload(payload: DataFrame, path: str) -> None:
-    """One JSON text for each row."""
-    payload.select(F.to_json(F.struct(*payload.columns)).alias("value")).write.mode("overwrite").text(path)
+def payload_json(payload: DataFrame) -> DataFrame:
+    """Each row as an indented JSON text (value)."""
+    return payload.select(F.to_json(F.struct(*payload.columns), {"pretty": "true"}).alias("value"))
+
+
+def write_payload(payload: DataFrame, path: str) -> str:
+    """One JSON text for each row; the URI under which they were written."""
+    payload_json(payload).write.mode("overwrite").option("lineSep", "\n").text(path)
+    return path

@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame
 from ..constants import MAX_ATTEMPTS, RESERVATION_SECONDS, RETRY_SECONDS
 
 _OUT = "id long, action string, attempt int"
+SETTLED_MS = 7 * 24 * 60 * 60 * 1000
 
 
 def supervised(events: DataFrame) -> DataFrame:
     """A stream of (id, seq, kind, attempt, transient) to actions: begin, ready, retry after a delay, failed, expired.
 
     An upload that isn't completed expires after the reservation; a transient failure starts the next attempt after 15 s or
-    60 s of processing time. Events of an attempt that isn't the stored one are ignored.
+    60 s of processing time. Events of an attempt that isn't the stored one are ignored. A document that is ready or failed is
+    remembered for SETTLED_MS, so that late events find it settled; then its state goes.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status, attempt = state.get if state.exists else ("new", 0)
         out = []
         if state.hasTimedOut:
+            if status in ("ready", "failed"):
+                state.remove()
+                yield pd.DataFrame([], columns=["id", "action", "attempt"])
+                return
             if status == "uploading":
                 status = "expired"
                 out.append((key[0], "expired", attempt))
@@ -53,6 +59,8 @@ def supervised(events: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((status, attempt))
+            if status in ("ready", "failed"):
+                state.setTimeoutDuration(SETTLED_MS)
         yield pd.DataFrame(out, columns=["id", "action", "attempt"])
 
     return events.groupBy("id").applyInPandasWithState(run, _OUT, "status string, attempt int", "append", "ProcessingTimeTimeout")

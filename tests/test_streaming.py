@@ -8,7 +8,7 @@ from pagewright.streaming.timers import supervised
 
 def run(spark, df, name, out):
     q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
+    q.awaitTermination(20)  # timers keep a query alive
     q.stop()
     return spark.table(name)
 
