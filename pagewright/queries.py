@@ -5,8 +5,6 @@ Stand-ins: a document is a row of documents (owner: source), a page is a line of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +12,12 @@ from . import constants as K
 from .functions import text as T
 from .operators import browse, chunking, grounding, lifecycle, pages, records, retrieval, store
 from .plans.flows import query_terms, retrieve
-from .sources.tables import parquet
+from .registry import QUERIES, SQL, query
+from .sources.tables import parquet, spread
 from .streaming.answers import folded_answers, folded_events, sse_deltas
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
+
 WS = T.WS_CHARS
 QUERY = "What is the ertion of hean and reation-2 in the Apache License, or the onerth"
 VEC = 7
@@ -27,26 +26,20 @@ STATUS = "CASE doc_id % 5 WHEN 0 THEN 'uploading' WHEN 1 THEN 'uploaded' WHEN 2
 TOKENS = f"regexp_extract_all(text, '[^{WS}]+')"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def docs(s: SparkSession, d: str) -> DataFrame:
     return parquet(s, d, "documents")
 
 
 def texts(s, d):
-    return docs(s, d).select(F.col("doc_id").alias("id"), "text")
+    return spread(docs(s, d).select(F.col("doc_id").alias("id"), "text"))
+
+
+def wordy(s, d):
+    return spread(docs(s, d).select("doc_id", "text"))
 
 
 def lines(s, d) -> DataFrame:
-    cut = docs(s, d).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "extracted_text"))
+    cut = wordy(s, d).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "extracted_text"))
     return cut.select("document_id", (F.col("i") + 1).alias("page_number"), "extracted_text")
 
 
@@ -57,17 +50,17 @@ LINES = "SELECT doc_id AS document_id, unnest(range(1, len(string_split(text, ch
 
 @query(f"SELECT doc_id, CAST(unnest(range(0, len({TOKENS}))) AS BIGINT) AS pos, unnest({TOKENS}) AS token FROM documents")
 def doc_tokens(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return wordy(s, d).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens FROM documents")
 def doc_token_counts(s, d):
-    return docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return wordy(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '[{WS}]+', ' ', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g') AS normalized FROM documents")
 def normalize_text(s, d):
-    return docs(s, d).select("doc_id", T.normalize_whitespace(F.col("text")).alias("normalized"))
+    return wordy(s, d).select("doc_id", T.normalize_whitespace(F.col("text")).alias("normalized"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
@@ -86,13 +79,11 @@ def lexical_query(s, d):
     return parquet(s, d, "conversations").select("conv_id", "turn", T.lexical_query(F.col("text")).alias("lexical_query"))
 
 
-_ROUTES = ["Summarize this", "the summaries of it", "key takeaway here", "my overview.", "xoverview", "What is this document about?", "main point", "main pointers", "  ", "page 3 revenue"]
-
-
-@query("SELECT id, q, CASE WHEN id IN (0, 2, 3, 5, 6) THEN 'summaries' ELSE 'chunks' END AS mode FROM (SELECT CAST(unnest(range(0, 10)) AS BIGINT) AS id, unnest(['" + "', '".join(_ROUTES) + "']) AS q)")
+@query(f"SELECT conv_id, turn, CASE WHEN length(n) > 0 THEN n ELSE text END AS standalone_query, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(summar(ize|y)|overview|key findings|takeaways?|main points?|what is this document about)([^a-z0-9_]|$)') THEN 'summaries' ELSE 'chunks' END AS mode FROM (SELECT conv_id, turn, text, regexp_replace(regexp_replace(text, '[{WS}]+', ' ', 'g'), '^[{WS}]+|[{WS}]+$', '', 'g') AS n FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'An overview of ' || text ELSE text END AS text FROM conversations))")
 def route_queries(s, d):
-    rows = s.createDataFrame(list(enumerate(_ROUTES)), "id long, q string")
-    return rows.select("id", "q", T.fallback_route(F.col("q"))["retrieval_mode"].alias("mode"))
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("An overview of "), F.col("text"))).otherwise(F.col("text"))
+    r = T.fallback_route(F.col("text"))
+    return parquet(s, d, "conversations").withColumn("text", said).select("conv_id", "turn", r["standalone_query"].alias("standalone_query"), r["retrieval_mode"].alias("mode"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(n) <= 12 THEN n ELSE substr(n, 1, 4) || '...' || right(n, 4) END AS short, regexp_replace(n, '[^a-zA-Z0-9._-]+', '_', 'g') AS object_name, upper(substr(n, 1, 1)) AS initial FROM (SELECT p_partkey, p_name AS n FROM part)")
@@ -113,13 +104,13 @@ def error_truncate(s, d):
 
 # pages and chunks
 
-@query(f"""WITH p AS (SELECT * FROM ({LINES}) WHERE page_number % 3 <> 0), n AS (SELECT document_id, max(page_number) AS n FROM p GROUP BY 1),
+@query(f"""WITH p AS (SELECT document_id, page_number * 2 AS page_number, extracted_text FROM ({LINES})), n AS (SELECT document_id, max(page_number) AS n FROM p GROUP BY 1),
 e AS (SELECT doc_id AS document_id, greatest(doc_id % 7, coalesce(n.n, 0)) AS n FROM documents LEFT JOIN n ON n.document_id = doc_id),
 g AS (SELECT document_id, unnest(range(1, n + 1)) AS page_number FROM e WHERE n > 0)
 SELECT g.document_id, CAST(g.page_number AS INTEGER) AS page_number, coalesce(p.extracted_text, '') AS extracted_text FROM g LEFT JOIN p USING (document_id, page_number)""")
 def dense_pages(s, d):
     expected = docs(s, d).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 7).alias("page_count"))
-    return pages.dense(lines(s, d).where("page_number % 3 <> 0"), expected)
+    return pages.dense(lines(s, d).withColumn("page_number", F.col("page_number") * 2), expected)
 
 
 @query("SELECT user_id AS document_id, event_id % 5 AS page_number, arg_max(event_type, event_id) AS extracted_text FROM events GROUP BY 1, 2")
@@ -128,12 +119,15 @@ def page_last_write_wins(s, d):
     return pages.last_write(e)
 
 
-@query("SELECT * FROM (VALUES (1, 'Hello'), (2, 'world'), (3, ''), (4, 'Hello world')) AS t(page_number, extracted_text)")
+@query(f"SELECT document_id, CAST(page_number AS INTEGER) AS page_number, regexp_replace(replace(extracted_text, chr(0), ''), '^[{WS}]+|[{WS}]+$', '', 'g') AS extracted_text FROM ({LINES})")
 def anchor_text(s, d):
-    seg = lambda *p: {"pageNumber": None, "layout": {"textAnchor": {"textSegments": [{"startIndex": a, "endIndex": b} for a, b in p]}}}
-    shard = [("a", 0, "Hello world", [seg(("", "5")), seg(("6x", "11")), seg(("7", "3")), seg((None, "6"), ("6", "11"))])]
-    rows = s.createDataFrame(shard, f"document_id string, shard_index int, {pages.SHARD_SCHEMA}")
-    return pages.shard_pages(rows).select("page_number", "extracted_text")
+    """Each document as an OCR shard whose pages are anchored to its lines, by indices given as text."""
+    parts = F.split("text", "\n")
+    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1 + F.length(x))))
+    segment = lambda i, x: F.struct(F.when(i > 0, F.get("ends", i - 1) + 1).cast("string").alias("startIndex"), F.concat(F.get("ends", i).cast("string"), F.lit("px")).alias("endIndex"))
+    page = lambda x, i: F.struct(F.when(i % 2 == 0, i + 1).cast("int").alias("pageNumber"), F.struct(F.struct(F.array(segment(i, x)).alias("textSegments")).alias("textAnchor")).alias("layout"))
+    shards = wordy(s, d).select(F.col("doc_id").alias("document_id"), "text", ends.alias("ends")).select("document_id", F.lit(0).alias("shard_index"), "text", F.transform(parts, page).alias("pages"))
+    return pages.shard_pages(shards).select("document_id", F.col("page_number").cast("int").alias("page_number"), "extracted_text")
 
 
 _CHUNKS = f"SELECT doc_id, i, w[i * 375 + 1 : i * 375 + 450] AS w FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 450 THEN 1 ELSE CAST(ceil((len(w) - 450) / 375.0) AS BIGINT) + 1 END)) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents))"
@@ -141,12 +135,12 @@ _CHUNKS = f"SELECT doc_id, i, w[i * 375 + 1 : i * 375 + 450] AS w FROM (SELECT d
 
 @query(f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(w, ' ') AS text, CAST(len(w) AS INTEGER) AS token_count FROM ({_CHUNKS})")
 def document_chunks(s, d):
-    return chunking.text_chunks(docs(s, d), "doc_id")
+    return chunking.text_chunks(wordy(s, d), "doc_id")
 
 
 @query(f"SELECT doc_id, count(*) AS n_chunks FROM ({_CHUNKS}) GROUP BY 1")
 def chunk_counts(s, d):
-    return chunking.text_chunks(docs(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return chunking.text_chunks(wordy(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 _SPANS = f"""WITH l AS ({LINES}), t AS (
@@ -166,7 +160,7 @@ def chunk_page_spans(s, d):
 
 @query(f"SELECT doc_id, chunk_index, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1) // 3 AS batch_id FROM (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index FROM ({_CHUNKS}))")
 def batch_assign(s, d):
-    return pages.batches(chunking.text_chunks(docs(s, d), "doc_id").select("doc_id", "chunk_index"), 3, "doc_id", "chunk_index")
+    return pages.batches(chunking.text_chunks(wordy(s, d), "doc_id").select("doc_id", "chunk_index"), 3, "doc_id", "chunk_index")
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, len(embedding) = 64 AS fits FROM embeddings")
@@ -242,6 +236,19 @@ def hybrid_retrieve(s, d):
     return out.select("id", F.round("hybrid_score", 12).alias("hybrid_score"), "final_rank", "source_id")
 
 
+_FUSED_ONE = _FUSED.replace("AS w FROM documents)", "AS w FROM documents WHERE doc_id % 4 = 3)").replace(_vec_sql(), _vec_sql("AND e.vec_id % 4 = 3"))
+
+
+@query(f"""{_FUSED_ONE}, h AS (SELECT id, fused + ({_HITS}) / {len(_WANTED)}.0::DOUBLE * 0.1 AS hybrid_score, cand_pos FROM cand JOIN documents ON doc_id = id)
+SELECT id, round(hybrid_score, 12) AS hybrid_score, rank AS final_rank, 'S' || rank AS source_id FROM (SELECT *, row_number() OVER (ORDER BY hybrid_score DESC, cand_pos) AS rank FROM h) WHERE rank <= 6""")
+def hybrid_retrieve_one(s, d):
+    """Within one document: here the texts and vectors whose id leaves 3 by 4."""
+    t = docs(s, d).select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 4).alias("document_id"))
+    v = _vectors(s, d).withColumn("document_id", F.col("id") % 4)
+    out = retrieve(t, v, QUERY, _vector(s, d), 3)
+    return out.select("id", F.round("hybrid_score", 12).alias("hybrid_score"), "final_rank", "source_id")
+
+
 _IDS = [5, 3, 100000000, 17, 3, 0]
 
 
@@ -252,36 +259,38 @@ def multi_get_chunks(s, d):
 
 # grounding
 
-_CUTS = [(0, "S1", 1, 20), (1, "S1", 1, 20), (2, "S1", 31, 25), (3, "S9", 2, 5), (4, "S1", 0, 0), (5, "S1", 61, 10), (6, "S1", 5, 15), (7, "S1", 90, 12)]
-_CITED = f"""{_SPANS}, txt AS (SELECT document_id, string_agg(tok, ' ' ORDER BY g) AS text FROM v WHERE chunk_index = 0 GROUP BY 1),
-cuts(pos, source_id, a, n) AS (VALUES {', '.join(str(c) for c in _CUTS)}),
-raw AS (SELECT document_id, pos, source_id, text, trim(CASE WHEN n = 0 THEN 'no such quote' ELSE substr(text, a, n) END) AS quote FROM txt, cuts WHERE source_id = 'S1'),
+# Quotes are cut from every chunk at these places; six chunks are the sources S1..S6 of one answer. (pos, from, length)
+_CUTS = [(0, 1, 20), (1, 1, 20), (2, 31, 25), (3, 1800, 40), (4, 0, 0), (5, 900, 60), (6, 5, 15), (7, 61, 10)]
+_CITED = f"""{_SPANS}, txt AS (SELECT document_id, chunk_index // 6 AS answer, 'S' || (chunk_index % 6 + 1) AS source_id, chunk_index, string_agg(tok, ' ' ORDER BY g) AS text FROM v GROUP BY document_id, chunk_index),
+cuts(p, a, n) AS (VALUES {', '.join(str(c) for c in _CUTS)}),
+raw AS (SELECT document_id, answer, source_id, chunk_index, text, p * 6 + chunk_index % 6 AS pos, trim(CASE WHEN n = 0 THEN 'no such quote' ELSE substr(text, a, n) END) AS quote FROM txt, cuts),
 found AS (SELECT *, instr(text, quote) - 1 AS so FROM raw WHERE quote <> '' AND instr(text, quote) > 0),
-firsts AS (SELECT *, so + length(quote) AS eo FROM found QUALIFY row_number() OVER (PARTITION BY document_id, so, so + length(quote) ORDER BY pos) = 1),
-num AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS citation FROM firsts QUALIFY citation <= 4),
-paged AS (SELECT num.*, coalesce(sp.page_number, (SELECT min(page_number) FROM spans z WHERE z.document_id = num.document_id AND z.chunk_index = 0)) AS page_number FROM num LEFT JOIN spans sp ON sp.document_id = num.document_id AND sp.chunk_index = 0 AND sp.start_offset <= so AND so < sp.end_offset)"""
+firsts AS (SELECT *, so + length(quote) AS eo FROM found QUALIFY row_number() OVER (PARTITION BY document_id, answer, chunk_index, so, so + length(quote) ORDER BY pos) = 1),
+num AS (SELECT *, row_number() OVER (PARTITION BY document_id, answer ORDER BY pos) AS citation FROM firsts QUALIFY citation <= 4),
+paged AS (SELECT num.*, coalesce(sp.page_number, (SELECT min(page_number) FROM spans z WHERE z.document_id = num.document_id AND z.chunk_index = num.chunk_index)) AS page_number FROM num LEFT JOIN spans sp ON sp.document_id = num.document_id AND sp.chunk_index = num.chunk_index AND sp.start_offset <= so AND so < sp.end_offset)"""
 
 
 def _citations(s, d):
-    c = chunking.page_chunks(lines(s, d)).where("chunk_index = 0").where(F.col("text") != chunking.NO_TEXT).withColumn("source_id", F.lit("S1")).withColumn("chunk_id", F.col("document_id"))
-    cuts = s.createDataFrame(_CUTS, "pos int, source_id string, a int, n int")
-    raw = c.select("document_id", "text").join(F.broadcast(cuts)).select("document_id", "pos", "source_id", F.when(F.col("n") == 0, "no such quote").otherwise(F.substring(F.col("text"), F.col("a"), F.col("n"))).alias("quote"))
-    return grounding.validated_citations(raw, c, ["document_id"])
+    c = chunking.page_chunks(lines(s, d)).where(F.col("text") != chunking.NO_TEXT)
+    c = c.withColumn("answer", F.floor(F.col("chunk_index") / 6).cast("int")).withColumn("n", F.col("chunk_index") % 6).withColumn("source_id", F.concat(F.lit("S"), (F.col("n") + 1).cast("string"))).withColumn("chunk_id", F.col("chunk_index"))
+    quote = lambda p, a, n: F.struct((p * 6 + F.col("n")).alias("pos"), (F.lit("no such quote") if n == 0 else F.substring("text", a, n)).alias("quote"))
+    raw = c.select("document_id", "answer", "source_id", F.inline(F.array(*(quote(*cut) for cut in _CUTS))))
+    return grounding.validated_citations(raw, c, ["document_id", "answer"])
 
 
-@query(f"{_CITED} SELECT document_id, citation, quote, CAST(so AS BIGINT) AS start_offset, CAST(eo AS BIGINT) AS end_offset FROM paged")
+@query(f"{_CITED} SELECT document_id, answer, source_id, citation, quote, CAST(so AS BIGINT) AS start_offset, CAST(eo AS BIGINT) AS end_offset FROM paged")
 def citation_validate(s, d):
-    return _citations(s, d).select("document_id", "citation", "quote", "start_offset", "end_offset")
+    return _citations(s, d).select("document_id", "answer", "source_id", "citation", "quote", "start_offset", "end_offset")
 
 
-@query(f"{_CITED} SELECT document_id, citation, CAST(page_number AS BIGINT) AS page_number FROM paged")
+@query(f"{_CITED} SELECT document_id, answer, citation, CAST(page_number AS BIGINT) AS page_number FROM paged")
 def citation_pages(s, d):
-    return _citations(s, d).select("document_id", "citation", "page_number")
+    return _citations(s, d).select("document_id", "answer", "citation", "page_number")
 
 
-@query(f"{_CITED} SELECT document_id, citation, CASE WHEN so > 100 THEN '...' ELSE '' END || trim(substr(text, greatest(so - 100, 0) + 1, least(eo + 100, length(text)) - greatest(so - 100, 0))) || CASE WHEN eo + 100 < length(text) THEN '...' ELSE '' END AS snippet FROM paged")
+@query(f"{_CITED} SELECT document_id, answer, citation, CASE WHEN so > 100 THEN '...' ELSE '' END || trim(substr(text, greatest(so - 100, 0) + 1, least(eo + 100, length(text)) - greatest(so - 100, 0))) || CASE WHEN eo + 100 < length(text) THEN '...' ELSE '' END AS snippet FROM paged")
 def citation_snippets(s, d):
-    return _citations(s, d).select("document_id", "citation", "snippet")
+    return _citations(s, d).select("document_id", "answer", "citation", "snippet")
 
 
 @query(f"""WITH p AS (SELECT document_id, 'P' || page_number AS source_id, page_number FROM ({LINES})), raw AS (SELECT doc_id AS document_id, unnest(range(0, 8)) AS pos, 'P' || (unnest(range(0, 8)) * 3 % 5 + 1) AS source_id FROM documents),
@@ -293,31 +302,24 @@ def summary_citations(s, d):
     return grounding.summary_citations(raw, p, ["document_id"]).select("document_id", "source_id", "citation")
 
 
-_ANSWERS = [
-    (0, '{"answer":"yes","citations":[{"sourceId":"S1","quote":"q"}]}', "yes", 1, "yes"),
-    (1, '{"answer":5,"citations":[]}', None, None, None),
-    (2, '{"answer":"a","citations":"no"}', None, None, "a"),
-    (3, '{"answer":"a","citations":[{"sourceId":"S1"}]}', None, None, "a"),
-    (4, '{"citations":[],"answer":"late"}', "late", 0, "late"),
-    (5, '{"answer":"cut off here', None, None, "cut off here"),
-    (6, '{"answer":"a \\"quoted\\" one","citations":[', None, None, 'a "quoted" one'),
-    (7, "plain text", None, None, None),
-    (8, '{"answer":"  ","citations":[]}', "  ", 0, None),
-]
-_lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+def _answered(s, d):
+    """Answers of models, right and wrong, made from what was said."""
+    c = parquet(s, d, "conversations")
+    said = F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":|\}$', "")
+    head = F.concat(F.lit('{"answer":'), said, F.lit(',"citations":'))
+    kinds = [F.concat(head, F.lit('[{"sourceId":"S1","quote":"q"}]}')), F.concat(F.lit('{"citations":[],"answer":'), said, F.lit("}")), F.lit('{"answer":5,"citations":[]}'), F.concat(head, F.lit('"no"}')), F.concat(head, F.lit('[{"sourceId":"S1"}]}')), F.concat(F.lit('{"answer":'), F.substring(said, F.lit(1), F.length(said) - 3)), F.col("text"), F.lit('{"answer":"  ","citations":[]}')]
+    return c.select("conv_id", "turn", F.get(F.array(*kinds), ((F.col("conv_id") + F.col("turn")) % 8).cast("int")).alias("content"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(a)}, {_lit(n)})" for i, _, a, n, _ in _ANSWERS) + ") AS t(id, answer, n_citations)")
+@query("SELECT conv_id, turn, CASE k WHEN 0 THEN text WHEN 1 THEN text WHEN 7 THEN '  ' END AS answer, CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 7 THEN 0 END AS n_citations FROM (SELECT *, (conv_id + turn) % 8 AS k FROM conversations)")
 def answer_parse_strict(s, d):
-    rows = s.createDataFrame([(i, c) for i, c, *_ in _ANSWERS], "id int, content string")
     p = grounding.parse_answer(F.col("content"))
-    return rows.select("id", p["answer"].alias("answer"), F.when(p.isNotNull(), F.size(p["citations"])).alias("n_citations"))
+    return _answered(s, d).select("conv_id", "turn", p["answer"].alias("answer"), F.when(p.isNotNull(), F.size(p["citations"])).alias("n_citations"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_lit(t)})" for i, _, _, _, t in _ANSWERS) + ") AS t(id, answer)")
+@query("SELECT conv_id, turn, CASE WHEN k IN (0, 1, 3, 4) THEN nullif(trim(text), '') WHEN k = 5 THEN nullif(trim(substr(text, 1, length(text) - 2)), '') END AS answer FROM (SELECT *, (conv_id + turn) % 8 AS k FROM conversations)")
 def answer_parse_tolerant(s, d):
-    rows = s.createDataFrame([(i, c) for i, c, *_ in _ANSWERS], "id int, content string")
-    return rows.select("id", grounding.tolerant_answer(F.col("content")).alias("answer"))
+    return _answered(s, d).select("conv_id", "turn", grounding.tolerant_answer(F.col("content")).alias("answer"))
 
 
 # conversations
@@ -335,7 +337,7 @@ def routing_history(s, d):
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE conv_id = 3 ORDER BY turn DESC LIMIT 200")
 def recent_messages(s, d):
-    return store.newest(store.equal(parquet(s, d, "conversations"), conv_id=3), K.LIST_MESSAGES, "turn").select("conv_id", "turn", "text")
+    return store.recent_oldest_first(store.equal(parquet(s, d, "conversations"), conv_id=3), K.LIST_MESSAGES, "turn").select("conv_id", "turn", "text")
 
 
 @query("SELECT role, count(*) AS n, role IN ('user', 'assistant') AS known FROM conversations GROUP BY role")
@@ -509,12 +511,13 @@ def ttl_cache(s, d):
 
 # streams, replayed in batch
 
-_SSE = ['data: {"choices":[{"delta":{"content":"Hel"}}]}', "event: ping", "data: not json", 'data: {"choices":[{"delta":{}}]}', "data: [DONE]"]
-
-
-@query("SELECT * FROM (VALUES (0, 'Hel', false), (1, NULL, false), (2, NULL, false), (3, NULL, false), (4, NULL, true)) AS t(id, delta, done)")
+@query("SELECT conv_id, turn, CASE WHEN turn < coalesce(e, 1000000000) AND turn % 4 <> 1 THEN text END AS delta, turn >= coalesce(e, 1000000000) AS done FROM (SELECT *, min(CASE WHEN turn >= 4 THEN turn END) OVER (PARTITION BY conv_id) AS e FROM conversations)")
 def sse_decode(s, d):
-    return sse_deltas(s.createDataFrame(list(enumerate(_SSE)), "id int, line string")).select("id", "delta", "done")
+    """Each conversation as a stream of lines; [DONE] stands at turn 4, and what follows isn't decoded."""
+    c = parquet(s, d, "conversations")
+    data = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    line = F.when(F.col("turn") == 4, "data: [DONE]").when(F.col("turn") % 4 == 1, "event: ping").otherwise(data)
+    return sse_deltas(c.select("conv_id", "turn", line.alias("line")), by=["conv_id"], order="turn").select("conv_id", "turn", "delta", "done")
 
 
 def deltas(s, d):
@@ -536,3 +539,6 @@ def answer_stream_fold(s, d):
 def event_fold(s, d):
     c = parquet(s, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.when(F.col("turn") > 3, "error").otherwise("token").alias("type"), F.col("role").alias("content"))
     return folded_events(c)
+
+
+from . import queries_app  # noqa: E402, F401  (registers its own)

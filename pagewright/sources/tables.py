@@ -35,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small input in as many pieces as there are cores: a file of one row group would be one task. Inputs beyond
     SPREAD_BYTES a core come in many row groups and are left as they are, so no large text is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().doubleValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
