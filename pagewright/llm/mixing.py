@@ -1,16 +1,15 @@
 """Sources mixed to target weights by systematic sampling, with DataFrame functions only.
 
-Within a source every document has the same expected number of copies r (target / size of the source, 3 at most). Documents
-are ranked by size; the prefix sum at rank i is i * r, one random offset u is added, and a document is emitted once for each
-integer that lies in (u + (i - 1) * r, u + i * r]. Ranking by size spreads the draws over all sizes, so taken words come near
-the target.
-
-A source of few or very unequal documents would still miss its target by up to its longest one, so u is the one of TRIES seeded
-offsets whose words come nearest the target.
+Within a source, documents are ranked in classes of like size, the longest first. The prefix sum of expected copies at rank i of a
+class is i * r, one random offset u of the source is added, and a document is emitted once for each integer that lies in
+(u + (i - 1) * r, u + i * r]. The first class's r is the target over the source's size; as a class gives whole documents
+only, what it takes too much or too little is spread over the shorter ones: their r is what is left of the target over
+what is left of the source (3 at most). So a source comes near its target even if a few documents are a large part of it.
 
 Ranks need no task that holds a source: rows are counted by (source, size class, slice), the counts are summed up over the
-cells of a source, and rows are numbered inside their cell only. A slice is the first SLICE_DIGITS of a hash of doc_id, at every
-size of the table, so neither a hot source nor a hot size fills one task. Texts are not shuffled.
+slices of a class, and rows are numbered inside their cell only. A slice is the first SLICE_DIGITS of a hash of doc_id, at every
+size of the table, so neither a hot source nor a hot size fills one task. The classes of a source, eight to an octave, are
+a row. Texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from .store import save, tidy
 
 SLICE_DIGITS = 2  # 256 slices
 MOST_COPIES = 3
-TRIES = 32
 BROADCAST = 1 << 16  # sources
 
 
@@ -39,9 +37,9 @@ def slice_of(doc_id: Column, text: Column) -> Column:
     return F.substring(F.md5(key), 1, SLICE_DIGITS)
 
 
-def offset(source: Column, seed: int, n: int) -> Column:
-    """The n-th number in [0, 1) of a source and a seed."""
-    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:{n}:"), F.coalesce(source, F.lit("")))), 1, 8)
+def offset(source: Column, seed: int) -> Column:
+    """A number in [0, 1) fixed by source and seed."""
+    hexed = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")))), 1, 8)
     return F.conv(hexed, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -62,10 +60,20 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def _copies(u: Column) -> Column:
-    """How many integers a document's step crosses; a rounded sum may cross one too many."""
-    n = F.floor(F.col("rank") * F.col("r") + u) - F.floor((F.col("rank") - 1) * F.col("r") + u)
-    return F.least(n, F.lit(MOST_COPIES)).cast("long")
+def rates(classes: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """(source, g, r, u) of classes (source, g, n, size): expected copies of a document, and the source's offset."""
+    each = classes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("g")).alias("k"), "n", "size"))).alias("c"))
+    each = each.join(known.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+    each = each.withColumn("u", offset(F.col("source"), seed))
+    none = F.expr("cast(array() as array<struct<g:int,r:double>>)")
+    start = F.struct(F.col("target").alias("goal"), F.col("source_size").cast("double").alias("left"), none.alias("out"))
+
+    def step(x: Column, c: Column) -> Column:
+        r = F.when(x["left"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_COPIES)), x["goal"] / x["left"]))).otherwise(0.0)
+        took = F.floor(c["n"] * r + F.col("u")) * (c["size"] / c["n"])
+        return F.struct((x["goal"] - took).alias("goal"), (x["left"] - c["size"]).alias("left"), F.concat(x["out"], F.array(F.struct((-c["k"]).cast("int").alias("g"), r.alias("r")))).alias("out"))
+
+    return each.select("source", "u", F.inline(F.aggregate("c", start, step)["out"]))
 
 
 @tidy
@@ -78,21 +86,19 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     known = save(targets(light.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     few = known.count() <= BROADCAST
     small = lambda df: F.broadcast(df) if few else df
+    classes = save(light.groupBy("source", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "classes")
+    given = rates(classes, known, seed).join(known.select(F.col("source").alias("t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t")))
+    given = given.select(F.col("source").alias("s"), F.col("g").alias("cg"), "r", "u", "source_size", "target")
     cells = light.groupBy("source", "g", "h").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("g", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("source", "g").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select(F.col("source").alias("s"), F.col("g").alias("cg"), F.col("h").alias("ch"), before.alias("before"))
     ranked = light.withColumn("n", F.row_number().over(Window.partitionBy("source", "g", "h").orderBy("size", "doc_id")))
     ranked = ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("cg")) & (F.col("h") == F.col("ch")))
-    ranked = ranked.select("doc_id", "source", "size", (F.col("before") + F.col("n")).alias("rank"))
-    r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = save(ranked.join(small(known.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("r", r), "ranks")
-
-    each = [F.sum(F.col("size") * _copies(offset(F.col("source"), seed, n))).alias(f"taken{n}") for n in range(TRIES)]
-    tried = ranked.groupBy("source").agg(F.first("target").alias("target"), *each)
-    best = F.least(*(F.struct(F.abs(F.col(f"taken{n}") - F.col("target")).alias("miss"), F.lit(n).alias("n"), offset(F.col("source"), seed, n).alias("u")) for n in range(TRIES)))
-    best = save(tried.select(F.col("source").alias("s"), best["u"].alias("u")), "offsets")
-    out = ranked.join(small(best), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source", "source_size", "target", _copies(F.col("u")).alias("copies"))
+    ranked = ranked.select("doc_id", "source", "size", "g", (F.col("before") + F.col("n")).alias("i"))
+    out = ranked.join(small(given), F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("cg")))
+    n = F.floor(F.col("i") * F.col("r") + F.col("u")) - F.floor((F.col("i") - 1) * F.col("r") + F.col("u"))
+    # a rounded sum may cross one integer too many
+    return out.select("doc_id", "size", "source", "source_size", "target", F.least(n, F.lit(MOST_COPIES)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -105,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 2) AS h FROM documents
 ), s AS (
@@ -117,19 +123,22 @@ WITH d AS (
     / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), t AS (
   SELECT source, source_size, least(coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap), cap) AS target FROM l
-), r AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    row_number() OVER (PARTITION BY d.source ORDER BY CAST(floor(log2(d.size + 1) * 8) AS INTEGER), d.h, d.size, d.doc_id) AS i,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), u AS (
-  SELECT t.source, n, CAST(CAST('0x' || substr(md5('7:' || n || ':' || coalesce(t.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM t, range(32) AS x(n)
+), g AS (
+  SELECT *, CAST(floor(log2(size + 1) * 8) AS INTEGER) AS g FROM d
 ), c AS (
-  SELECT r.*, u.n, least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS copies FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
-), best AS (
-  SELECT source, n FROM (SELECT source, n, abs(sum(size * copies) - any_value(target)) AS miss FROM c GROUP BY source, n)
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, n) = 1
+  SELECT c.*, t.source_size, t.target, CAST(CAST('0x' || substr(md5('7:' || coalesce(t.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u,
+    row_number() OVER (PARTITION BY t.source ORDER BY g DESC) AS k
+  FROM (SELECT source, g, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM g GROUP BY source, g) c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+), f AS (
+  SELECT source, CAST(0 AS BIGINT) AS k, target AS goal, CAST(source_size AS DOUBLE) AS remaining, 0 AS g, 0.0::DOUBLE AS r FROM c WHERE k = 1
+  UNION ALL
+  SELECT source, k, goal - floor(n * r + u) * (CAST(size AS DOUBLE) / n), remaining - size, g, r FROM (
+    SELECT c.source, c.k, f.goal, f.remaining, c.g, c.n, c.size, c.u, CASE WHEN f.remaining > 0 THEN greatest(0.0::DOUBLE, least(3.0::DOUBLE, f.goal / f.remaining)) ELSE 0.0::DOUBLE END AS r
+    FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.k = f.k + 1)
+), r AS (
+  SELECT g.doc_id, g.size, c.source_size, c.target, f.r, c.u, row_number() OVER (PARTITION BY g.source, g.g ORDER BY g.h, g.size, g.doc_id) AS i
+  FROM g JOIN c ON g.source IS NOT DISTINCT FROM c.source AND g.g = c.g JOIN f ON f.source IS NOT DISTINCT FROM c.source AND f.k = c.k
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken
-FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.n = best.n
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS BIGINT) AS taken FROM r
 """

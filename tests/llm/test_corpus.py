@@ -162,8 +162,7 @@ def test_mixing(odd, none):
     assert mixing.copies(none).collect() == [] and mixing.mix(odd).columns == odd.columns
 
 
-def test_mixing_slices(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "CELL_ROWS", 50)
+def test_mixing_of_the_small_table(spark):
     got = mixing.copies(documents(spark, SMALL)).toPandas()
     g = got.assign(taken=got["size"] * got.copies).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), m=("size", "max"))
     assert ((g.k - g.t).abs() <= g.m + 1).mean() > 0.8 and abs(g.k.sum() / g.t.sum() - 1) < 0.05
@@ -514,15 +513,105 @@ def test_quality(spark, odd, none):
     assert {r.score for r in quality.scored(odd, labels.limit(0)).collect()} == {0.5} and quality.scored(none, labels).collect() == []
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, duck, same, tmp_path):
+    """Each stage against brute force or SQL on what its predecessor kept; the whole gives the last stage's rows."""
     import corpus_pipeline
+    import duckdb
 
-    docs, stay = documents(spark, SMALL), None
-    ids = {r.doc_id for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
-        assert out.columns == docs.columns, name
-        stay = {r.doc_id for r in out.select("doc_id").collect()}
-        assert stay <= ids and len(stay) > len(ids) * (0.3 if name == "mixing" else 0.7), name
-    rows = corpus_pipeline.run(spark, SMALL).collect()
-    assert {r.doc_id for r in rows} <= ids and len(rows) > 50
+    steps = dict(corpus_pipeline.STAGES)
+    docs = documents(spark, SMALL)
+
+    def step(name):
+        out = steps[name](spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    scores = {r.doc_id: r.predicted for r in toxicity.scored(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    rows = docs.collect()
+    docs = step("toxicity")
+    assert docs.columns == documents(spark, SMALL).columns and sorted(docs.collect()) == sorted(r for r in rows if not scores[r.doc_id])
+
+    rows = docs.collect()
+    comp = near([(r.doc_id, r.text) for r in rows])
+    docs = step("near copies")
+    assert sorted(docs.collect()) == sorted(r for r in rows if comp[r.doc_id] == r.doc_id) and docs.count() < len(rows)
+
+    rows = docs.collect()
+    sha = {r[0]: r[4] for r in cut([(r.doc_id, r.text) for r in rows])}
+    docs = step("repeated strings")
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {r.doc_id for r in rows} and all(r.n_chars == len(r.text) for r in got.values())
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == sha[i] for i, r in got.items() if "\ufffd" not in r.text) and any(got[r.doc_id].text != r.text for r in rows)
+
+    def sql(text):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{at}/*.parquet'")
+        return con.execute(text).df()
+
+    at, rows = "repeated strings", docs.collect()
+    want = collections.Counter({r.doc_id: int(r.taken // max(1, r["size"])) for _, r in sql(mixing.SQL).iterrows() if r["size"]})
+    docs = step("mixing")
+    drawn = collections.Counter(r.doc_id for r in docs.collect())
+    sizes = {r.doc_id: len((r.text or "").split()) for r in rows}
+    assert {i: n for i, n in drawn.items() if sizes[i]} == {i: n for i, n in want.items() if n}
+
+    at = "mixing"
+    last = step("packing")
+    same(last.toPandas(), sql(packing.SQL))
+    assert sorted(corpus_pipeline.run(spark, SMALL).collect()) == sorted(last.collect())
+
+
+def test_pipeline_on_odd_tables(spark, odd, none):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL).cache()
+            assert name == "packing" or out.columns == docs.columns
+            assert (out.count() > 0) == (n > 0)
+            docs = out
+
+
+def test_shards_keep_equal_texts_together(spark, monkeypatch):
+    """Within a shard rows stand by text; a group of equal texts spreads over neighbouring shards only if it must; shards are
+    equal within the tolerance."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 500)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 700).cast("string")).alias("text"))
+    rows = sharding.sharded(docs).orderBy("shard", "slot").collect()
+    assert len(rows) == 6000
+    place = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        place[r.text_crc32].append(i)
+    assert all(p == list(range(p[0], p[0] + len(p))) for p in place.values())
+    size = collections.Counter()
+    for r in rows:
+        size[r.shard] += r["size"]
+    assert len(size) == 16 and max(size.values()) - min(size.values()) <= 2 * (0.002 * sum(size.values()) / 16 + max(r["size"] for r in rows))
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Per source, taken words miss the target by less than a hundredth, though a source's longest document is a tenth of it."""
+    got = mixing.copies(documents(spark, SMALL.replace("0.001", "0.1"))).toPandas()
+    g = got.assign(taken=got["size"] * got.copies).groupby("source").agg(t=("target", "first"), k=("taken", "sum"), m=("size", "max"))
+    assert ((g.k - g.t).abs() <= 0.01 * g.t).all(), ((g.k - g.t).abs() / g.t).max()
+
+
+def test_clashing_columns(spark):
+    """A user's columns named like an operator's own stay as they are."""
+    rows = [(i, f"some words of text {i % 5} " * (1 + i % 3), "s", 77, 78, "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, copies int, `a.b` string")
+    for out in (mixing.mix(docs), minhash.drop_near_duplicates(docs), suffix.drop_repeated_strings(docs)):
+        assert out.columns == docs.columns and {(r["_copy"], r["copies"], r["a.b"]) for r in out.collect()} == {(77, 78, "x")}
+
+
+def test_tables_are_deleted(spark, odd):
+    """An operator leaves one table in the shared folder: its result."""
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    out = minhash.near_duplicates(odd)
+    assert len(set(os.listdir(base)) - before) == 1 and out.count() == odd.count()
