@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import merged
 from .kernel import Words, chunks, columns, grouped, mix, seeds, sort_within, windows
-from .store import save, tidy
+from .store import few, save, tidy
 
 M, WIDTH = 48, 2
 MINIMA = M * WIDTH
@@ -37,7 +37,6 @@ LOST = 3e-6
 SKETCH_BITS = 18
 BLOCK = 1024  # members in a block of a long list
 PIECE = 64  # pairs of one text that are confirmed in a row
-BROADCAST = 1 << 20  # ids; beyond, they are joined by a shuffle
 _U, _W = np.uint64, np.uint32
 _A, _B = (seeds(x, MINIMA).astype(_W) | _W(1) for x in (101, 202))
 _S = seeds(303, M + 1)
@@ -283,7 +282,7 @@ def _confirm(size: int, percent: int):
 
 def _texts_of(text: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of text (id, text) with an id of ids (id, distinct)."""
-    return text.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+    return text.join(few(ids), "id", "left_semi")
 
 
 def _links(text: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -359,7 +358,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -
     """The documents that stay: the one with the smallest doc_id of each class. All columns are kept as they are.
     Documents without words and rows without doc_id stay; rows that repeat a doc_id stay or go together."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(few(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save, tidy
+from .store import few, save, tidy
 
 SLICE_DIGITS = 2  # 256 slices
 MOST_COPIES = 3
@@ -84,8 +84,8 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), slice_of(F.col("doc_id"), F.col("text")).alias("h"))
     light = save(light.withColumn("g", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")), "sizes")
     known = save(targets(light.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    few = known.count() <= BROADCAST
-    small = lambda df: F.broadcast(df) if few else df
+    bounded = known.count() <= BROADCAST
+    small = lambda df: F.broadcast(df) if bounded else df
     classes = save(light.groupBy("source", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "classes")
     given = rates(classes, known, seed).join(known.select(F.col("source").alias("t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t")))
     given = given.select(F.col("source").alias("s"), F.col("g").alias("cg"), "r", "u", "source_size", "target")
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     take the number of the one that is drawn most. Documents without words follow their source as well."""
     drawn = copies(docs, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    out = whole.join(drawn, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    out = whole.join(few(drawn), F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 

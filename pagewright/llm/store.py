@@ -65,6 +65,15 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+BROADCAST = 1 << 20  # rows of an id and a number
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of ids for a join with whole documents: sent to all tasks if it has at most BROADCAST rows, so that no text is
+    shuffled for it; beyond, both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
