@@ -6,6 +6,7 @@ bytes outside 0x20 and 0x09-0x0D, which equals the class ``[^\\x20\\x09-\\x0D]+`
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,15 @@ _U = np.uint64
 _M1, _M2, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
+def trim() -> None:
+    """Give memory that earlier batches used back to the machine: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a permutation of the 64-bit integers."""
     x = x ^ (x >> _U(30))

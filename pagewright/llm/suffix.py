@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import columns, mix, runs, seeds
+from .kernel import columns, mix, runs, seeds, trim
 from .store import pieces, text_bytes
 
 WIDTH, GRAM = 50, 20
@@ -151,6 +151,7 @@ def _long(raw: bytes, n: int) -> np.ndarray:
 def _pack(batches):
     """Documents (grp, doc_id, text, and rest if there is one) to one row for each group in a batch."""
     for b in batches:
+        trim()
         if not len(b):
             continue
         grp = b.column("grp").to_numpy()
@@ -242,6 +243,7 @@ class Group:
 
 def _post(buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        trim()
         g, rows = Group(table, buckets), []
         for b in np.flatnonzero(np.diff(g.cut)).tolist():
             s = slice(g.cut[b], g.cut[b + 1])
@@ -265,6 +267,7 @@ def _rows_of(grp: int, rows: list[tuple], schema: str) -> pa.Table:
 def _meet(table: pa.Table) -> pa.Table:
     """All posts of a bucket to codes for the groups, one for each of their contexts: 0 if its gram is in documents of one id
     only, 1 if it is to be sent, 2 if its gram is in very many contexts."""
+    trim()
     hs, docs = [], []
     for ids, n, h in zip(*(table.column(x).to_pylist() for x in ("ids", "n", "h"))):
         hs.append(_long(h, H_BYTES))
@@ -292,6 +295,7 @@ def _codes(told: pa.Table) -> list[tuple[int, bytes]]:
 
 def _send(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         g, rows = Group(left if len(right) else left.slice(0, 0), buckets), []
         for to, side, entries in g.sends(_codes(right)) if len(left) else ():
             at = g.first[entries]
@@ -493,6 +497,7 @@ def held(doc: np.ndarray, left: np.ndarray, right: np.ndarray, raw: np.ndarray)
 
 def _sort(table: pa.Table) -> pa.Table:
     """Contexts that were sent to a bucket to their masks, in the order in which they came."""
+    trim()
     got = [_received(x) for x in table.column("sent").to_pylist()]
     mask = held(*(np.concatenate(x) for x in zip(*got)))
     groups, rows, at = [], [], 0
@@ -507,6 +512,7 @@ def _sort(table: pa.Table) -> pa.Table:
 
 def _cut(buckets: int, output):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         g = Group(left, buckets)
         told = {(b, s): m for b, s, m in zip(*(right.column(c).to_pylist() for c in ("bucket", "side", "masks"))) if m}
         mask = np.zeros(len(g.first), _W)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import DIM, Adagrad, lexical, sigmoid, sums, telling
-from .kernel import Words, chunks
+from .kernel import Words, chunks, trim
 from .store import save, tidy
 
 SAMPLE, SAMPLE_BYTES = 10_000, 96 << 20
@@ -150,6 +150,7 @@ def _score(spark, weights: np.ndarray, bias: float):
         w = held.value
         used = w != 0
         for b in batches:
+            trim()
             out = np.zeros(len(b))
             for i, j, data, off in chunks(b.column("text"), 1 << 20):
                 places, bounds = lexical(Words(data, off), used)
