@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import merged
-from .kernel import Words, chunks, columns, grouped, mix, seeds, sort_within, windows
+from .kernel import Words, chunks, columns, grouped, mix, seeds, sort_within, trim, windows
 from .store import few, save, tidy
 
 M, WIDTH = 48, 2
@@ -92,6 +92,7 @@ def _signatures(size: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for b in batches:
+                trim()
                 for i, j, data, off in chunks(b.column("text")):
                     h, at = distinct_within(*shingles(data, off, size))
                     n = np.diff(at)
@@ -152,6 +153,7 @@ def _ordered(held, posts: int):
     def run(batches):
         often = held.value
         for b in batches:
+            trim()
             if not len(b):
                 continue
             posted = _posted(_matrix(b.column("keys")))
@@ -173,6 +175,7 @@ def _counted(least: int, percent: int):
 
     def run(batches):
         for b in batches:
+            trim()
             if len(b):
                 same = (_matrix(b.column("x")) == _matrix(b.column("y"))).sum(1)
                 ok = (same >= least) & _sizes_allow(b.column("nx").to_numpy(), b.column("ny").to_numpy(), percent)
@@ -265,6 +268,7 @@ def _confirm(size: int, percent: int):
     def run(batches):
         now, heads = None, []
         for b in batches:
+            trim()
             a, piece, other = (b.column(k) for k in ("a", "piece", "b"))
             a, piece, member = a.to_numpy(), piece.to_numpy(), other.is_valid().to_numpy(zero_copy_only=False)
             ok = np.zeros(len(b), bool)
