@@ -110,10 +110,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of texts: where they start and end, and which belong to which text."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, fold: bool = True) -> None:
+    def __init__(self, data: np.ndarray, off: np.ndarray, fold: bool = True, gap: np.ndarray = SPACE) -> None:
         n = len(data)
         self.fold = fold  # hashes see A-Z as a-z
-        solid = ~SPACE[data]
+        solid = ~gap[data]
         cut = np.zeros(n + 1, bool)
         cut[off] = True
         first, last = solid.copy(), solid.copy()

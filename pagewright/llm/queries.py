@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, quality, rules, sharding, suffix, topk, toxicity
+from . import clusters, lexical, licenses, minhash, mixing, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
 from .store import documents
 
 
@@ -56,6 +56,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,8 +75,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_packing, op3_quality, op4_mixing, op5_rules, op6_toxicity, op7_licenses, op8_suffix_dedup, op9_sharding, op10_minhash, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_packing, op3_quality, op4_mixing, op5_rules, op6_toxicity, op7_licenses, op8_suffix_dedup, op9_sharding, op10_minhash, op11_clusters, op12_lexical, op13_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.SQL, "op2_packing": packing.SQL, "op4_mixing": mixing.SQL, "op8_suffix_dedup": suffix.SQL, "op10_minhash": minhash.SQL}
+    return {"op1_topk": topk.SQL, "op2_packing": packing.SQL, "op4_mixing": mixing.SQL, "op8_suffix_dedup": suffix.SQL, "op10_minhash": minhash.SQL, "op11_clusters": clusters.SQL, "op12_lexical": lexical.SQL}
