@@ -4,10 +4,12 @@ A fingerprint's bits lead from the root of a trie to its leaf. Two nodes of one
 their paths differ add up, and a pair of nodes is pruned as soon as they are more than the budget. Links are between equal or
 near fingerprints, so equal ones are one from the start, whatever the size of a group of copies.
 
-The top of the trie is a table of nodes and their counts, one level of STEP bits after another, and pairs of nodes are joined with
-their children there. A pair of nodes that both hold LEAF fingerprints at most is done: its fingerprints go to one task, which
-traverses the rest of the two subtries. A node that holds more is always split, so no task grows with a common prefix. A
-node has at most 1 + d + d * (d - 1) / 2 partners at depth d (for a budget of 2), most of which are empty; no partner is dropped.
+The top of the trie is a table of nodes and their counts. Two fingerprints that differ in at most `budget` of their bits agree in
+one of budget + 1 blocks of bits, so the trie is built once for each block, over the bits in an order that begins with it. Down to
+the end of the block a node then needs to meet itself only, and a fingerprint is in one node of each trie, whatever the size of the
+corpus; below it, pairs of nodes are traversed together. A pair of nodes that both hold LEAF fingerprints at most is done: its
+fingerprints go to one task, which traverses the rest of the two subtries. A node that holds more is always split, by STEP bits,
+so no task grows with a common prefix. No partner is dropped.
 
 Inside a pair of nodes links are merged as they are found, and what a task sends is one link for each fingerprint that it joined to
 another at most, so a dense group makes no more rows than it has fingerprints.
@@ -136,7 +138,7 @@ def traverse(x: np.ndarray, y: np.ndarray | None, depth: int, budget: int):
 
 
 def _joined(budget: int):
-    """Rows (pair, depth, side, fp), sorted by pair, to links (a, b) that connect what the pair's nodes connect."""
+    """Rows (pair, depth, trie, side, fp), sorted by pair, to links (trie, a, b) that connect what the pair's nodes connect."""
 
     def run(batches):
         for g in grouped(batches, "pair"):
@@ -147,7 +149,8 @@ def _joined(budget: int):
             for i, j in traverse(x, y if len(y) else None, g.column("depth")[0].as_py(), budget):
                 links.add(i, j + len(x) if len(y) else j)
             at = np.flatnonzero(links.root != np.arange(len(every)))
-            yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(every[links.root[at]].view(np.int64))], names=["a", "b"])
+            cols = [pa.array(np.full(len(at), g.column("trie")[0].as_py(), np.int32)), pa.array(every[at].view(np.int64)), pa.array(every[links.root[at]].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["trie", "a", "b"])
 
     return run
 
@@ -156,42 +159,61 @@ def _prefix(fp: Column, depth: int) -> Column:
     return F.shiftrightunsigned(fp, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def node_pairs(fps: DataFrame, budget: int) -> DataFrame:
-    """(depth, a, b): pairs of nodes, given by their paths, which between them hold every link; a <= b. fps: (fp), distinct."""
-    n = fps.count()
-    done, depth = None, 0
-    front = fps.sparkSession.createDataFrame([(0, 0, n, n)], "a long, b long, na long, nb long")
+def _turned(fp: Column, n: int) -> Column:
+    """The bits of a fingerprint, beginning with the n-th."""
+    return F.shiftleft(fp, n).bitwiseOR(F.shiftrightunsigned(fp, 64 - n)) if n % 64 else fp
+
+
+def node_pairs(keys: DataFrame, n: int, budget: int) -> DataFrame:
+    """(trie, depth, a, b): pairs of nodes, given by their paths, which between them hold every link; a <= b. keys: (trie, fp), the
+    n distinct fingerprints in the order of bits of each trie."""
+    block = 64 // (budget + 1)
+    depth = min(block, (n // LEAF).bit_length())  # where nodes of an even trie are small enough
+    at = keys.groupBy("trie", _prefix(F.col("fp"), depth).alias("a")).agg(F.count(F.lit(1)).alias("na"))
+    if depth == 0:
+        at = at.where("trie = 0")  # all meet there
+    front = save(at.select("trie", "a", F.col("a").alias("b"), "na", F.col("na").alias("nb")), "front")
+    done = None
     while True:
         small = (F.col("na") <= LEAF) & (F.col("nb") <= LEAF) if depth < 64 else F.lit(True)
-        leaves = front.where(small).select(F.lit(depth).alias("depth"), "a", "b")
+        leaves = front.where(small).select("trie", F.lit(depth).alias("depth"), "a", "b")
         done = leaves if done is None else done.union(leaves)
         large = front.where(~small)
         if large.isEmpty():
             return done
-        depth += STEP
-        nodes = fps.groupBy(_prefix(F.col("fp"), depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        wanted = large.select(F.col("a").alias("up")).union(large.select("b")).distinct()
-        nodes = nodes.withColumn("up", F.shiftright("p", STEP)).join(wanted, "up", "left_semi")
-        nodes = save(nodes, "nodes")
-        left = nodes.select(F.col("up").alias("a"), F.col("p").alias("x"), F.col("n").alias("na"))
-        right = nodes.select(F.col("up").alias("b"), F.col("p").alias("y"), F.col("n").alias("nb"))
-        both = large.select("a", "b").join(left, "a").join(right, "b").where((F.col("x") <= F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= budget))
-        front = save(both.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb"), "front")
+        step = min(STEP, block - depth) if depth < block else min(STEP, 64 - depth)
+        depth += step
+        wanted = large.select("trie", F.col("a").alias("up")).union(large.select("trie", "b")).distinct()
+        nodes = keys.groupBy("trie", _prefix(F.col("fp"), depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = save(nodes.withColumn("up", F.shiftrightunsigned("p", step)).join(wanted, ["trie", "up"], "left_semi"), "nodes")
+        if depth <= block:
+            front = nodes.select("trie", F.col("p").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"))
+            continue
+        left = nodes.select("trie", F.col("up").alias("a"), F.col("p").alias("x"), F.col("n").alias("na"))
+        right = nodes.select("trie", F.col("up").alias("b"), F.col("p").alias("y"), F.col("n").alias("nb"))
+        both = large.select("trie", "a", "b").join(left, ["trie", "a"]).join(right, ["trie", "b"])
+        both = both.where((F.col("a") != F.col("b")) | (F.col("x") <= F.col("y"))).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= budget)
+        front = save(both.select("trie", F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb"), "front")
 
 
 def links(fps: DataFrame, budget: int) -> DataFrame:
     """(a, b): links between fingerprints that differ in at most budget bits, as many as it takes to connect them."""
-    pairs = save(node_pairs(fps, budget), "leaves").withColumn("pair", F.monotonically_increasing_id())
+    block = 64 // (budget + 1)
+    tries = F.array(*(F.struct(F.lit(i).alias("trie"), _turned(F.col("fp"), i * block).alias("fp")) for i in range(budget + 1)))
+    keys = save(fps.select(F.inline(tries)), "keys")
+    pairs = save(node_pairs(keys, fps.count(), budget), "leaves").withColumn("pair", F.monotonically_increasing_id())
     pairs = save(pairs, "pairs")
-    parts = []
-    for depth in [r.depth for r in pairs.select("depth").distinct().collect()]:  # 17 at most
+    rows = None
+    for depth in [r.depth for r in pairs.select("depth").distinct().collect()]:  # 64 at most
         here = pairs.where(F.col("depth") == depth)
-        ends = here.select("pair", "depth", F.col("a").alias("p"), F.lit(0).alias("side")).union(here.where("a <> b").select("pair", "depth", "b", F.lit(1)))
-        parts.append(fps.withColumn("p", _prefix(F.col("fp"), depth)).join(ends, "p").select("pair", "depth", "side", "fp"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    return save(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_joined(budget), "a long, b long"), "links")
+        ends = here.select("pair", "depth", "trie", F.col("a").alias("p"), F.lit(0).alias("side")).union(here.where("a <> b").select("pair", "depth", "trie", "b", F.lit(1)))
+        some = keys.withColumn("p", _prefix(F.col("fp"), depth)).join(ends, ["trie", "p"]).select("pair", "depth", "trie", "side", "fp")
+        rows = some if rows is None else rows.union(some)
+    if rows is None:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
+    found = rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_joined(budget), "trie int, a long, b long")
+    back = lambda c: F.coalesce(*(F.when(F.col("trie") == i, _turned(F.col(c), 64 - i * block)) for i in range(budget + 1)))
+    return save(found.select(back("a").alias("a"), back("b").alias("b")).distinct(), "links")
 
 
 @tidy
