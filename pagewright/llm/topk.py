@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import grouped
-from .store import save
+from .store import save, tidy
 
 LISTS, QUERIES, COMPONENTS, BLOCK_BITS, LOCAL, FEW, SEEN = 2, 2048, 1 << 21, 12, 128, 16, 128
 SLICE = 512  # queries in one product
@@ -96,6 +96,7 @@ def integers(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     return v.select("vec_id", whole.alias("v"))
 
 
+@tidy
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by ``every`` the k other rows of highest
     score, ties to the smaller id; all of them if there are fewer.
@@ -122,7 +123,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_: str = "vec_id",
     for i in range(batches):
         asked = whole.where(is_query & (F.pmod(F.xxhash64("row"), F.lit(batches)) == i)).select("row", "vec_id", *parts).orderBy("row").toArrow()
         if len(asked):
-            found = save(_asked(table, asked, k), "found")
+            found = _asked(table, asked, k)
             out = found if out is None else out.unionByName(found)
     return out
 
@@ -136,6 +137,7 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(x.ravel()))
 
 
+@tidy
 def _asked(table: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of one batch of queries."""
     spark = table.sparkSession

@@ -13,9 +13,11 @@ import pytest
 
 from pagewright.llm import licenses, minhash, mixing, packing, quality, rules, sharding, suffix, topk, toxicity
 from pagewright.llm.components import components
+from pagewright.llm.queries import queries
 from pagewright.llm.store import documents
 
 SMALL = "/root/testdata/sf0.001"
+QUERIES = queries()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key long, t string, grp int, score double, comp long"
 
 
@@ -607,11 +609,107 @@ def test_clashing_columns(spark):
         assert out.columns == docs.columns and {(r["_copy"], r["copies"], r["a.b"]) for r in out.collect()} == {(77, 78, "x")}
 
 
-def test_tables_are_deleted(spark, odd):
-    """An operator leaves one table in the shared folder: its result."""
+def shared(spark):
     import os
 
     base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    before = set(os.listdir(base))
-    out = minhash.near_duplicates(odd)
-    assert len(set(os.listdir(base)) - before) == 1 and out.count() == odd.count()
+    return set(os.listdir(base))
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "pipeline"])
+def test_tables_are_deleted(spark, name):
+    """An operator leaves one table in the shared folder at most: its result."""
+    before = shared(spark)
+    out = QUERIES[name](spark, SMALL)
+    assert len(shared(spark) - before) <= 1 and out.count() > 0
+
+
+def test_tables_of_the_pipeline_are_deleted(spark):
+    import os
+
+    before = shared(spark)
+    out = QUERIES["pipeline"](spark, SMALL)
+    (left,) = shared(spark) - before
+    assert len(os.listdir(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/{left}")) == 1 and out.count() > 0
+
+
+def test_tables_of_an_operator_that_fails(spark):
+    before = shared(spark)
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [1e300])], "vec_id long, embedding array<double>"))
+    assert shared(spark) == before
+
+
+def test_mixing_has_one_prefix_sum_for_each_source(spark):
+    """The copies of a source are the floor of its expected copies plus its offset: whatever its classes, no emission is
+    lost or made between them."""
+    docs = documents(spark, SMALL.replace("0.001", "0.01"))
+    light = docs.select("source", mixing.word_count(docs.text).alias("size")).toPandas()
+    light["g"] = np.floor(np.log2(light["size"] + 1) * 8).astype(int)
+    known = mixing.targets(spark.createDataFrame(light.groupby("source")["size"].sum().reset_index().rename(columns={"size": "source_size"}), "source string, source_size long"))
+    classes = light.groupby(["source", "g"])["size"].agg(["count", "sum"]).reset_index()
+    classes = spark.createDataFrame(classes, "source string, g int, n long, size long")
+    given = mixing.rates(classes, known, 7).join(classes, ["source", "g"]).toPandas()
+    got = mixing.copies(docs).toPandas().groupby("source").copies.sum()
+    for source, rows in given.groupby("source"):
+        rows = rows.sort_values("g", ascending=False)
+        upto = 0.0
+        for r in rows.itertuples():
+            assert r.base == pytest.approx(upto)
+            upto = r.base + r.n * r.r
+        assert got[source] == np.floor(upto + rows.u.iloc[0])
+
+
+def test_identity_terms_that_only_fold_alike(spark):
+    """Words that Unicode folds to a term, but that aren't spelt like one, stay; training goes on."""
+    odd = "\u017fhe is here, chr\u0131stian and musl\u0130m women"
+    assert toxicity.swap(odd) == odd.replace("women", "men")
+    docs = spark.createDataFrame([(i, f"{odd} {'hate' if i % 2 else 'fine'} {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert toxicity.scored(docs, labels).count() == 40
+
+
+def test_identity_terms_of_four_languages():
+    for text, twin in (
+        ("Women and a black man", "men and a white woman"),
+        ("Les femmes et un homme noir", "Les hommes et un femme blanc"),
+        ("Die Frauen und ein christlicher Mann", "Die männer und ein christlicher frau"),
+        ("Las mujeres y un hombre judío", "Las hombres y un mujer hindú"),
+    ):
+        assert toxicity.swap(text).lower() == twin.lower()
+    assert all(toxicity._SWAP[t] != t for kind in toxicity.IDENTITY for t in kind)
+
+
+LONG = " ".join(f"w{i % 997} word{i % 89}" for i in range(100_000))  # over a megabyte
+
+
+@pytest.fixture(scope="module")
+def long_rows(spark):
+    rows = [(i, f"{words(30 + i % 50, i)} line {i}\n" * (1 + i % 2), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(100, LONG, "en", "s0"), (101, LONG + " more", "en", "s1"), (102, "x" * 1_200_000, "en", "s2"), (103, "\n" * 1_000_000, "en", "s0")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_very_long_texts(spark, long_rows):
+    """Texts of over a megabyte pass whole through every operator on documents."""
+    rows = {r.doc_id: r.text for r in long_rows.collect()}
+    count = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows.items()}
+    assert {r.doc_id: r["size"] for r in mixing.copies(long_rows).collect()} == count
+    assert {r.doc_id: r.n_tokens for r in packing.packed(long_rows).collect()} == count
+    assert {r.doc_id: r.n_words for r in rules.checked(long_rows).collect()} == count
+    assert {r.doc_id: r["size"] for r in sharding.sharded(long_rows).collect()} == {i: len(t.encode()) + 1 for i, t in rows.items()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(long_rows).collect()}
+    assert got[101].component_id == 100 and got[100].n_shingles == len(shingles(LONG)) and got[103].n_shingles == 0
+    cuts = {r.doc_id: r for r in suffix.repeated_strings(long_rows).collect()}
+    assert cuts[100].n_removed == 0 and cuts[101].n_removed == len(LONG) and cuts[102].n_bytes == 1_200_000
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (*range(40), 100, 101, 102, 103)], "doc_id long, quality int, toxic int")
+    for out in (quality.scored(long_rows, labels), toxicity.scored(long_rows, labels)):
+        assert {r.doc_id for r in out.collect()} == set(rows) and out.where("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_very_long_texts_in_the_pipeline(spark, long_rows, tmp_path):
+    import corpus_pipeline
+
+    long_rows.select("*", long_rows.text.substr(1, 5).alias("extra")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
