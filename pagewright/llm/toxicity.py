@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .features import DIM, Adagrad, lexical, sigmoid, sums, telling
 from .kernel import Words, chunks, trim
-from .store import save, tidy
+from .store import save, scratch, tidy
 
 SAMPLE, SAMPLE_BYTES = 10_000, 96 << 20
 COUNTERFACTUAL = 5.0
@@ -38,17 +38,70 @@ IDENTITY = [
     "american mexican chinese african european indian arab".split(),
     "old young elderly teenage".split(),
     "blind deaf disabled".split(),
+    # French
     "femmes hommes".split(),
+    "femme homme".split(),
+    "filles garçons".split(),
+    "elle il".split(),
+    "elles ils".split(),
+    "gay hétéro lesbienne bisexuel".split(),
+    "noir blanc asiatique".split(),
+    "noire blanche".split(),
+    "noirs blancs asiatiques".split(),
+    "musulman chrétien juif hindou bouddhiste athée".split(),
+    "musulmane chrétienne juive hindoue".split(),
+    "musulmans chrétiens juifs hindous bouddhistes athées".split(),
+    "américain mexicain chinois africain européen indien arabe".split(),
+    "américaine mexicaine chinoise africaine européenne indienne".split(),
+    "vieux jeunes".split(),
+    "vieille jeune".split(),
+    "aveugle sourd handicapé".split(),
+    # German
     "frauen männer".split(),
+    "frau mann".split(),
+    "mädchen jungen".split(),
+    "sie er".split(),
+    "schwul hetero lesbisch bisexuell".split(),
+    "schwarze weiße asiatische".split(),
+    "schwarzen weißen asiatischen".split(),
+    "muslim christ jude hindu".split(),
+    "muslime christen juden hindus buddhisten atheisten".split(),
+    "muslimische christliche jüdische hinduistische buddhistische".split(),
+    "amerikanische mexikanische chinesische afrikanische europäische indische arabische".split(),
+    "amerikaner mexikaner chinesen afrikaner europäer inder araber".split(),
+    "alte junge".split(),
+    "alten jungen".split(),
+    "blinde taube behinderte".split(),
+    # Spanish
     "mujeres hombres".split(),
+    "mujer hombre".split(),
+    "chicas chicos".split(),
+    "ella él".split(),
+    "ellas ellos".split(),
+    "gay heterosexual lesbiana bisexual".split(),
+    "negro blanco asiático".split(),
+    "negra blanca asiática".split(),
+    "negros blancos asiáticos".split(),
+    "musulmán cristiano judío hindú budista ateo".split(),
+    "musulmana cristiana judía".split(),
+    "musulmanes cristianos judíos hindúes budistas ateos".split(),
+    "americano mexicano chino africano europeo indio árabe".split(),
+    "americana mexicana china africana europea india".split(),
+    "viejo joven anciano".split(),
+    "viejos jóvenes ancianos".split(),
+    "ciego sordo discapacitado".split(),
 ]
-_SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY for i, t in enumerate(kind)}
+_SWAP: dict[str, str] = {}
+for _kind in IDENTITY:  # a term of several languages or kinds has the partner of the first
+    for _i, _t in enumerate(_kind):
+        _SWAP.setdefault(_t, _kind[(_i + 1) % len(_kind)])
 _TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
 
 
 def swap(text: str) -> str:
-    """The text with each identity term exchanged for the next one of its kind."""
-    return _TERM.sub(lambda m: _SWAP[m[0].lower()], text)
+    """The text with each identity term exchanged for the next one of its kind. A word that is equal to a term only by Unicode's
+    folding, such as one with a long s or a dotted capital I, isn't one of them and stays."""
+    return _TERM.sub(lambda m: _SWAP.get(m[0].lower(), m[0]), text)
 
 
 def _rows(texts: list[str]) -> list[bytes]:
@@ -127,18 +180,19 @@ def fit(y: np.ndarray, x: list[bytes], twin: list[bytes | None], rounds: int = 1
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fits on labels (doc_id, toxic) of rows with crc32(doc_id) mod 3 other than 1. Labels other than 0 and 1 are ignored."""
-    known = labels.where("toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = save(rows.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(_examples, "h long, y double, x binary, twin binary"), "examples")
-    size = F.octet_length("x") + F.coalesce(F.octet_length("twin"), F.lit(0))
-    last, held = None, 0
-    for r in rows.select("h", size.alias("n")).orderBy("h").collect():  # SAMPLE rows
-        held += r.n
-        if held > SAMPLE_BYTES and last is not None:
-            break
-        last = r.h
-    got = rows.where(F.col("h") <= (last or 0)).drop("h").toArrow().to_pydict() if last is not None else {"y": [], "x": [], "twin": []}
+    with scratch(docs.sparkSession):
+        known = labels.where("toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+        known = known.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+        rows = save(rows.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(_examples, "h long, y double, x binary, twin binary"), "examples")
+        size = F.octet_length("x") + F.coalesce(F.octet_length("twin"), F.lit(0))
+        last, held = None, 0
+        for r in rows.select("h", size.alias("n")).orderBy("h").collect():  # SAMPLE rows
+            held += r.n
+            if held > SAMPLE_BYTES and last is not None:
+                break
+            last = r.h
+        got = rows.where(F.col("h") <= (last or 0)).drop("h").toArrow().to_pydict() if last is not None else {"y": [], "x": [], "twin": []}
     order = sorted(range(len(got["y"])), key=lambda i: (got["x"][i], got["y"][i]))
     return fit(np.array([got["y"][i] for i in order]), [got["x"][i] for i in order], [got["twin"][i] for i in order])
 
