@@ -1,10 +1,12 @@
 """Sources mixed to target weights by systematic sampling, with DataFrame functions only.
 
-Within a source, documents are ranked in classes of like size, the longest first. The prefix sum of expected copies at rank i of a
-class is i * r, one random offset u of the source is added, and a document is emitted once for each integer that lies in
-(u + (i - 1) * r, u + i * r]. The first class's r is the target over the source's size; as a class gives whole documents
-only, what it takes too much or too little is spread over the shorter ones: their r is what is left of the target over
-what is left of the source (3 at most). So a source comes near its target even if a few documents are a large part of it.
+Within a source, documents stand in classes of like size, the longest first. S is the prefix sum of their expected copies over the
+whole source; one random offset u of the source is added, and a document is emitted once for each integer that lies in
+(S before it + u, S with it + u]. All documents of a class expect r copies, so S at rank i of a class is its sum over the
+classes before plus i * r, and the source's copies are floor(S + u) in all. The first class's r is the target over the
+source's size; as a class gives whole documents only, what it takes too much or too little is spread over the shorter ones:
+their r is what is left of the target over what is left of the source (3 at most). So a source comes near its target even if
+a few documents are a large part of it.
 
 Ranks need no task that holds a source: rows are counted by (source, size class, slice), the counts are summed up over the
 slices of a class, and rows are numbered inside their cell only. A slice is the first SLICE_DIGITS of a hash of doc_id, at every
@@ -61,17 +63,20 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def rates(classes: DataFrame, known: DataFrame, seed: int) -> DataFrame:
-    """(source, g, r, u) of classes (source, g, n, size): expected copies of a document, and the source's offset."""
+    """(source, g, r, base, u) of classes (source, g, n, size): expected copies of a document and of all documents of the
+    classes before, and the source's offset."""
     each = classes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("g")).alias("k"), "n", "size"))).alias("c"))
     each = each.join(known.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     each = each.withColumn("u", offset(F.col("source"), seed))
-    none = F.expr("cast(array() as array<struct<g:int,r:double>>)")
-    start = F.struct(F.col("target").alias("goal"), F.col("source_size").cast("double").alias("left"), none.alias("out"))
+    none = F.expr("cast(array() as array<struct<g:int,r:double,base:double>>)")
+    start = F.struct(F.col("target").alias("goal"), F.col("source_size").cast("double").alias("left"), F.lit(0.0).alias("base"), none.alias("out"))
 
     def step(x: Column, c: Column) -> Column:
         r = F.when(x["left"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_COPIES)), x["goal"] / x["left"]))).otherwise(0.0)
-        took = F.floor(c["n"] * r + F.col("u")) * (c["size"] / c["n"])
-        return F.struct((x["goal"] - took).alias("goal"), (x["left"] - c["size"]).alias("left"), F.concat(x["out"], F.array(F.struct((-c["k"]).cast("int").alias("g"), r.alias("r")))).alias("out"))
+        upto = x["base"] + c["n"] * r
+        took = (F.floor(upto + F.col("u")) - F.floor(x["base"] + F.col("u"))) * (c["size"] / c["n"])
+        row = F.struct((-c["k"]).cast("int").alias("g"), r.alias("r"), x["base"].alias("base"))
+        return F.struct((x["goal"] - took).alias("goal"), (x["left"] - c["size"]).alias("left"), upto.alias("base"), F.concat(x["out"], F.array(row)).alias("out"))
 
     return each.select("source", "u", F.inline(F.aggregate("c", start, step)["out"]))
 
@@ -88,7 +93,7 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     small = lambda df: F.broadcast(df) if bounded else df
     classes = save(light.groupBy("source", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "classes")
     given = rates(classes, known, seed).join(known.select(F.col("source").alias("t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t")))
-    given = given.select(F.col("source").alias("s"), F.col("g").alias("cg"), "r", "u", "source_size", "target")
+    given = given.select(F.col("source").alias("s"), F.col("g").alias("cg"), "r", "base", "u", "source_size", "target")
     cells = light.groupBy("source", "g", "h").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("source", "g").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select(F.col("source").alias("s"), F.col("g").alias("cg"), F.col("h").alias("ch"), before.alias("before"))
@@ -96,7 +101,7 @@ def copies(docs: DataFrame, seed: int = 7) -> DataFrame:
     ranked = ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("cg")) & (F.col("h") == F.col("ch")))
     ranked = ranked.select("doc_id", "source", "size", "g", (F.col("before") + F.col("n")).alias("i"))
     out = ranked.join(small(given), F.col("source").eqNullSafe(F.col("s")) & (F.col("g") == F.col("cg")))
-    n = F.floor(F.col("i") * F.col("r") + F.col("u")) - F.floor((F.col("i") - 1) * F.col("r") + F.col("u"))
+    n = F.floor(F.col("base") + F.col("i") * F.col("r") + F.col("u")) - F.floor(F.col("base") + (F.col("i") - 1) * F.col("r") + F.col("u"))
     # a rounded sum may cross one integer too many
     return out.select("doc_id", "size", "source", "source_size", "target", F.least(n, F.lit(MOST_COPIES)).cast("long").alias("copies"))
 
@@ -130,15 +135,15 @@ WITH RECURSIVE d AS (
     row_number() OVER (PARTITION BY t.source ORDER BY g DESC) AS k
   FROM (SELECT source, g, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM g GROUP BY source, g) c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 ), f AS (
-  SELECT source, CAST(0 AS BIGINT) AS k, target AS goal, CAST(source_size AS DOUBLE) AS remaining, 0 AS g, 0.0::DOUBLE AS r FROM c WHERE k = 1
+  SELECT source, CAST(0 AS BIGINT) AS k, target AS goal, CAST(source_size AS DOUBLE) AS remaining, 0 AS g, 0.0::DOUBLE AS r, 0.0::DOUBLE AS base, 0.0::DOUBLE AS upto FROM c WHERE k = 1
   UNION ALL
-  SELECT source, k, goal - floor(n * r + u) * (CAST(size AS DOUBLE) / n), remaining - size, g, r FROM (
-    SELECT c.source, c.k, f.goal, f.remaining, c.g, c.n, c.size, c.u, CASE WHEN f.remaining > 0 THEN greatest(0.0::DOUBLE, least(3.0::DOUBLE, f.goal / f.remaining)) ELSE 0.0::DOUBLE END AS r
+  SELECT source, k, goal - (floor(base + n * r + u) - floor(base + u)) * (CAST(size AS DOUBLE) / n), remaining - size, g, r, base, base + n * r FROM (
+    SELECT c.source, c.k, f.upto AS base, f.goal, f.remaining, c.g, c.n, c.size, c.u, CASE WHEN f.remaining > 0 THEN greatest(0.0::DOUBLE, least(3.0::DOUBLE, f.goal / f.remaining)) ELSE 0.0::DOUBLE END AS r
     FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.k = f.k + 1)
 ), r AS (
-  SELECT g.doc_id, g.size, c.source_size, c.target, f.r, c.u, row_number() OVER (PARTITION BY g.source, g.g ORDER BY g.h, g.size, g.doc_id) AS i
+  SELECT g.doc_id, g.size, c.source_size, c.target, f.r, f.base, c.u, row_number() OVER (PARTITION BY g.source, g.g ORDER BY g.h, g.size, g.doc_id) AS i
   FROM g JOIN c ON g.source IS NOT DISTINCT FROM c.source AND g.g = c.g JOIN f ON f.source IS NOT DISTINCT FROM c.source AND f.k = c.k
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * least(floor(i * r + u) - floor((i - 1) * r + u), 3) AS BIGINT) AS taken FROM r
+  CAST(size * least(floor(base + i * r + u) - floor(base + (i - 1) * r + u), 3) AS BIGINT) AS taken FROM r
 """
