@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import minhash, mixing, packing, suffix, toxicity
-from pagewright.llm.store import delete, documents, shared_dir
+from pagewright.llm.store import delete, documents, scratch, shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,14 @@ ORACLE_SQL = None  # classifiers and minima aren't expressible; tests compare wi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed batches of the whole corpus. A stage's table in the shared folder is deleted once the next one stands; the last
-    one is what is given back."""
+    """The packed batches of the whole corpus. What a stage leaves in the shared folder is deleted once its table stands, and that
+    table once the next one does; the last one is what is given back."""
     docs, last = documents(spark, sf_dir), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:
             delete(spark, [last])
