@@ -37,6 +37,7 @@ HALF = BACK // 2
 SHALLOW, SMALL = 40, 64  # bytes; groups of SMALL rows are sorted at once
 SPLIT = 1 << 16
 GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 12 << 20, 12 << 20, 1 << 18, 1 << 14
+PART, TURN = 1 << 16, 6000  # contexts that are sorted together, and whose strings are; more, if one gram has more
 _U, _W = np.uint64, np.uint32
 _BYTE32 = (seeds(11, 256) >> _U(16)).astype(_W)
 _CTX = seeds(12, REACH // 8 + 4)
@@ -478,7 +479,7 @@ def held(doc: np.ndarray, left: np.ndarray, right: np.ndarray, raw: np.ndarray)
     # equal strings have equal anchors, so grams can be sorted apart, in turns of bounded size
     a = 0
     while a < len(at):
-        b = a + 20_000
+        b = a + TURN
         b = len(at) if b >= len(at) else int(np.searchsorted(gram[at], gram[at[b - 1]], "right"))
         own = at[a:b]
         start = np.arange(SPAN)
@@ -495,15 +496,35 @@ def held(doc: np.ndarray, left: np.ndarray, right: np.ndarray, raw: np.ndarray)
     return mask
 
 
+def held_in_parts(doc: np.ndarray, left: np.ndarray, right: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """held, PART contexts or about that at a time: contexts of one gram stay together, and others share no string."""
+    parts = -(-len(doc) // PART)
+    if parts <= 1:
+        return held(doc, left, right, raw)
+    mask, part = np.zeros(len(doc), _W), np.empty(len(doc), np.int32)
+    for a in range(0, len(doc), 1 << 16):
+        gram = np.ascontiguousarray(raw[a : a + (1 << 16), BACK : BACK + GRAM]).view(_W).astype(_U)
+        h = np.zeros(len(gram), _U)
+        for i in range(gram.shape[1]):
+            h = mix(h + gram[:, i] * _CTX[i])
+        part[a : a + (1 << 16)] = ((h >> _U(32)) * _U(parts)) >> _U(32)
+    for p in range(parts):
+        at = np.flatnonzero(part == p)
+        mask[at] = held(doc[at], left[at], right[at], raw[at])
+    return mask
+
+
 def _sort(table: pa.Table) -> pa.Table:
     """Contexts that were sent to a bucket to their masks, in the order in which they came."""
     trim()
     got = [_received(x) for x in table.column("sent").to_pylist()]
-    mask = held(*(np.concatenate(x) for x in zip(*got)))
+    sizes, whole = [len(x[0]) for x in got], [np.concatenate(x) for x in zip(*got)]
+    del got
+    mask = held_in_parts(*whole)
     groups, rows, at = [], [], 0
-    for g, b, side, rec in zip(*(table.column(c).to_pylist() for c in ("grp", "bucket", "side")), got):
-        own = mask[at : at + len(rec[0])]
-        at += len(own)
+    for g, b, side, n in zip(*(table.column(c).to_pylist() for c in ("grp", "bucket", "side")), sizes):
+        own = mask[at : at + n]
+        at += n
         if own.any():
             groups.append(g)
             rows.append((b, side, b"", squeezed(own.tobytes())))
@@ -536,7 +557,7 @@ def _cut(buckets: int, output):
             at = g.place[some[(mine[some] >> _W(s)) & _W(1) > 0]] - BACK + s
             np.add.at(cover, at, 1)
             np.add.at(cover, at + WIDTH, -1)
-        return output(left, g, np.cumsum(cover[:-1]) > 0)
+        return output(left, g, np.cumsum(cover, out=cover)[:-1] > 0)
 
     return run
 
