@@ -195,26 +195,19 @@ def _step(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
 def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     """One row of _PARAMS for each group of rows (grp, X): of all starts and steps, the one with the least determinant.
 
-    A start rests once its determinant doesn't fall. The driver holds the estimates, a few for each group. few tells that
-    there are few groups, so that estimates may be broadcast."""
-    spark = rows.sparkSession
-    least: dict[tuple, tuple] = {}
-    params = _step(rows, _starts(rows, few), few)
+    A start rests once its determinant doesn't fall. Estimates stay in tables, which are joined with the ones before; the driver only
+    learns whether any fell. few tells that there are few groups, so that estimates may be broadcast."""
+    key = ["grp", "start"]
+    least = params = _step(rows, _starts(rows, few), few)
     while True:
-        falling = []
-        for r in params.collect():
-            k = (r.grp, r.start)
-            if k not in least or r.det < least[k].det * (1 - FALLS):
-                least[k] = r
-                falling.append(r)
-        if not falling:
+        known = least.select(*key, F.col("det").alias("was"))
+        fell = _step(rows, params, few).join(_small(known, few), key).where(F.col("det") < F.col("was") * (1 - FALLS))
+        params = save(fell.select(*least.columns), "falling")
+        if params.isEmpty():
             break
-        params = _step(rows, spark.createDataFrame(falling, _PARAMS), few)
-    best: dict[str, tuple] = {}
-    for k, r in sorted(least.items()):
-        if k[0] not in best or r.det < best[k[0]].det:
-            best[k[0]] = r
-    return spark.createDataFrame(list(best.values()), _PARAMS)
+        least = save(least.join(_small(params.select(*key), few), key, "left_anti").unionByName(params), "least")
+    best = least.groupBy("grp").agg(F.min_by(F.struct(*least.columns), F.struct("det", "start")).alias("r"))
+    return save(best.select("r.*"), "best")
 
 
 def _distance():
