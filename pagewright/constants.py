@@ -37,6 +37,7 @@ PENDING_SLACK_MS = 5000
 
 EMPTY_PAGE_SUMMARY = "No meaningful extractable text on this page."
 EMPTY_DOCUMENT_SUMMARY = "No meaningful extractable text was found in this document."
+NO_ANSWER = "I could not generate a response. Please try again."
 STATUSES = ("uploading", "uploaded", "processing", "ready", "failed")
 ROLES = ("user", "assistant")
 
@@ -48,3 +49,10 @@ TRANSIENT_HTTP = (408, 429, 500, 502, 503, 504)
 TRANSIENT_CODES = (4, 8, 13, 14)
 TRANSIENT_ERRNO = ("ECONNRESET", "ETIMEDOUT", "EAI_AGAIN")
 TRANSIENT_PHRASES = ("timeout", "temporarily unavailable", "connection reset", "rate limit")
+
+# A step's name, what it waits for, and what it says while it is active, when it failed, and when it is done.
+STEPS = [
+    ("upload", None, "Uploading to storage...", "Upload failed", " pages · "),
+    ("ocr", "Waiting for upload to complete", "Running OCR on document pages...", "OCR failed", " pages processed"),
+    ("embedding", "Waiting for OCR", "Embedding pages...", "Embedding failed", " pages embedded"),
+]

@@ -3,25 +3,31 @@ as embedding, and a first sentence as summary. A real provider replaces the func
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EMBEDDING_BATCH, EMBEDDING_WIDTH, EMPTY_DOCUMENT_SUMMARY, EMPTY_PAGE_SUMMARY, MAX_PAGES
-from .text import embedding_input, is_blank, normalize_whitespace
+from .text import WS_CHARS, embedding_input, is_blank, normalize_whitespace
+
+
+_SPACES = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), WS_CHARS) + "]+")
 
 
 def hashed_embeddings(texts: list[str], width: int = EMBEDDING_WIDTH) -> np.ndarray:
-    """One row for each text: its words counted, with a sign, in places told by their hash, and scaled to length 1."""
-    words = [t.lower().split() for t in texts]
+    """One row for each text: its words (lower-cased) counted in places told by the first 32 bits of their MD5, with a sign by the
+    first of them, and scaled to length 1."""
+    words = [[w for w in _SPACES.split(t.lower()) if w] for t in texts]
     row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    flat = pd.Series([w for ws in words for w in ws], dtype=object)
-    h = pd.util.hash_array(flat.to_numpy(), categorize=True) if len(flat) else np.zeros(0, np.uint64)
+    known, place = np.unique(np.array([w for ws in words for w in ws], dtype=object), return_inverse=True)
+    h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in known], np.int64)[place] if len(known) else np.zeros(0, np.int64)
     out = np.zeros((len(texts), width))
-    np.add.at(out, (row, (h % np.uint64(width)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+    np.add.at(out, (row, h % width), np.where(h >> 31, 1.0, -1.0))
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(n == 0, 1, n)
 
@@ -45,8 +51,14 @@ def embedded(chunks: DataFrame, provider: Callable[[list[str], int], list[list[f
     return chunks.withColumn("embedding", run(embedding_input(F.col("text"), F.col("chunk_index"))))
 
 
-def checked_width(v: Column, width: int) -> Column:
-    return F.when(F.size(v) == width, v).otherwise(F.raise_error(F.lit("embedding of another width")).cast("array<double>"))
+def summarised(texts: list[str]) -> list[str]:
+    """page_summary as a provider: the first sentence of each text, 200 characters at most."""
+    out = []
+    for t in texts:
+        line = _SPACES.sub(" ", t).strip(" ")
+        first = re.match(r"(.{1,200}?)(?:[.!?](?: |$)|$)", line)
+        out.append(first[1] if first else line[:200])
+    return out
 
 
 def page_summary(text: Column) -> Column:
@@ -70,12 +82,14 @@ def page_ranges(pages: Column, each: int = MAX_PAGES) -> Column:
     return F.when(pages > 0, ranges).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
 
 
-def ocr_job(files: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def ocr_job(files: DataFrame, read: Callable[[DataFrame], DataFrame], each: int = MAX_PAGES) -> DataFrame:
     """A batch OCR job over files (document_id, page_count, ...): each document is dealt into shards of pages, ``read`` gives
     (document_id, shard_index, text, pages) for (document_id, shard_index, first, last, ...); a document without any output is
     an error."""
-    asked = files.select("*", F.posexplode(page_ranges(F.col("page_count"))).alias("shard_index", "range")).select("*", "range.first", "range.last").drop("range")
-    got = read(asked)
-    none = files.select("document_id").join(got.select("document_id").distinct().withColumn("_got", F.lit(True)), "document_id", "left")
-    failed = F.when(F.col("_got"), F.col("document_id")).otherwise(F.raise_error(F.concat(F.lit("no OCR output for "), F.col("document_id").cast("string"))).cast(dict(files.dtypes)["document_id"]))
-    return got.join(none.select(failed.alias("document_id")), "document_id")
+    asked = files.select("*", F.posexplode(page_ranges(F.col("page_count"), each)).alias("shard_index", "range")).select("*", "range.first", "range.last").drop("range")
+    got = read(asked).withColumn("_found", F.lit(True))
+    # one row more for each document, so that a document is seen without asking for its output twice
+    every = got.unionByName(files.select("document_id", F.lit(False).alias("_found")), allowMissingColumns=True)
+    some = F.max("_found").over(Window.partitionBy("document_id"))  # as many rows as a document has shards
+    failed = F.raise_error(F.concat(F.lit("no OCR output for "), F.col("document_id").cast("string"))).cast("boolean")
+    return every.withColumn("_some", some).where(F.when(F.col("_some"), F.col("_found")).otherwise(failed)).drop("_found", "_some")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import RECENT_EVENTS
+from ..constants import RECENT_EVENTS, STEPS
 from ..functions.text import file_size, trim
 from .grounding import shown_content
 
@@ -42,14 +42,6 @@ def caption(status: Column, pages: Column) -> Column:
     return F.when(pages.isNotNull(), F.concat(pages.cast("string"), F.lit(" pages"))).when(status == "ready", "Ready").otherwise("Processing")
 
 
-# A step's name, what it waits for, and what it says while it is active, when it failed, and when it is done.
-STEPS = [
-    ("upload", None, "Uploading to storage...", "Upload failed", " pages · "),
-    ("ocr", "Waiting for upload to complete", "Running OCR on document pages...", "OCR failed", " pages processed"),
-    ("embedding", "Waiting for OCR", "Embedding pages...", "Embedding failed", " pages embedded"),
-]
-
-
 def pipeline_steps(status: Column, ocr_at: Column, embedded_at: Column, pages: Column, size: Column, error: Column) -> Column:
     """Array of steps (step, state, detail). A step is done once its mark stands; the first one that isn't is active or failed, by
     the document's status; later ones are pending."""

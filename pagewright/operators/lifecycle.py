@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_ATTEMPTS, MAX_PAGES, RESERVATION_SECONDS, RETRY_SECONDS, TRANSIENT_CODES, TRANSIENT_ERRNO, TRANSIENT_HTTP, TRANSIENT_PHRASES, URL_CACHE_SECONDS, URL_SECONDS
+from .fence import fence  # noqa: F401
+
 
 
 def looks_like_pdf(filename: Column, mime: Column | None = None) -> Column:
@@ -62,35 +64,6 @@ def _sorted_fold(rows: DataFrame, key: str, order: list, fold, schema: str) -> D
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
-def fence(events: DataFrame, key: str, order: str, kind: str, attempt: str) -> DataFrame:
-    """State after all events of a document (begin, ready, failed, retry; in order): a fold with compare-and-set. A begin
-    counts only with a higher attempt and unless ready, the others only with the stored attempt."""
-
-    def fold(batches):
-        now, status, at, applied = None, "uploaded", 0, 0
-        out, first = [], True
-        for pdf in batches:
-            for k, what, n in zip(pdf["key"].tolist(), pdf["kind"].tolist(), pdf["attempt"].tolist()):
-                if first or k != now:
-                    if not first:
-                        out.append((now, status, at, applied))
-                    now, status, at, applied, first = k, "uploaded", 0, 0, False
-                if what == "begin":
-                    if status != "ready" and at < n:
-                        status, at, applied = "processing", n, applied + 1
-                elif n == at and what in ("ready", "failed", "retry"):
-                    status, applied = ("processing" if what == "retry" else what), applied + 1
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=[key, "status", "attempt", "applied"])
-                out = []
-        if not first:
-            out.append((now, status, at, applied))
-        yield pd.DataFrame(out, columns=[key, "status", "attempt", "applied"])
-
-    rows = events.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(kind).alias("kind"), F.col(attempt).cast("long").alias("attempt"))
-    return _sorted_fold(rows, "key", ["order", "kind", "attempt"], fold, f"`{key}` {dict(events.dtypes)[key]}, status string, attempt long, applied long")
-
-
 def expired(created_at: Column, now: Column, status: Column, seconds: int = RESERVATION_SECONDS) -> Column:
     return (status == "uploading") & (created_at + F.make_dt_interval(secs=F.lit(seconds)) <= now)
 

@@ -38,11 +38,7 @@ def lexical_top_k(docs: DataFrame, query: str, k: int = LEXICAL_LIMIT, id_: str
     counted = words.select("id", "dl", *tf).repartition("id")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     joined = counted.join(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        f, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    score = bm25([F.col(f"tf{i}") for i in range(len(wanted))], [F.col(f"df{i}") for i in range(len(wanted))], F.col("dl"), F.col("n"), F.col("avgdl"))
     hit = F.lit(False)
     for i in range(len(wanted)):
         hit = hit | (F.col(f"tf{i}") > 0)
@@ -50,10 +46,13 @@ def lexical_top_k(docs: DataFrame, query: str, k: int = LEXICAL_LIMIT, id_: str
     return ranked(top, F.desc("score"))
 
 
-def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl) for repeated queries; write it bucketed or sorted by term."""
-    w = docs.select(F.col(id_).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    return w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def bm25(tf: list[Column], df: list[Column], dl: Column, n: Column, avgdl: Column) -> Column:
+    """The score of a document: tf and df of each of the query's terms, in their order."""
+    score = F.lit(0.0)
+    for f, d in zip(tf, df):
+        idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
+        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * dl / avgdl))
+    return score
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,36 +122,6 @@ def cleared(df: DataFrame, documents: DataFrame, key: str = "document_id") -> Da
     return df.join(documents.select(key).distinct(), key, "left_anti")
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def publish(df: DataFrame, path: str, key: str = "document_id", buckets: int = 64, documents: DataFrame | None = None) -> None:
-    """Replace the content of documents in a table that is laid out by a hash bucket of the document: their buckets are
-    rewritten, all others stay. documents (key) are those replaced, by default the ones in df; a document without rows
-    in df loses its old ones. Repeating it changes nothing. New buckets are staged beside the table before any file is
-    replaced, so a failure on the way leaves the table as it was, or some buckets old and some new; run it again."""
-    spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    ids = (df if documents is None else documents).select(key).distinct()
-    if not _exists(spark, path):
-        df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return
-    touched = [r.bucket for r in ids.select(bucket.alias("bucket")).distinct().collect()]  # buckets at most
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(ids, key, "left_anti")
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    df.withColumn("bucket", bucket).unionByName(old, allowMissingColumns=True).repartition("bucket").write.partitionBy("bucket").parquet(staged)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = lambda base, b: spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/bucket={b}")
-    for b in touched:
-        fs.delete(at(path, b), True)
-        if fs.exists(at(staged, b)):
-            fs.rename(at(staged, b), at(path, b))
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
-    spark.catalog.refreshByPath(path)
-
-
 def sse(payload: Column) -> Column:
     """A server-sent event of a struct."""
     return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))

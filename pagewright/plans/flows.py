@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LIST_DOCUMENTS, MAX_TERMS, ROUTING_TURNS, STOP_WORDS
-from ..functions.providers import document_summaries, embedded, page_summary
-from ..functions.text import error_message, fallback_route, keyword_terms
+from ..constants import EMBEDDING_BATCH, EMPTY_PAGE_SUMMARY, LIST_DOCUMENTS, MAX_TERMS, ROUTING_TURNS, STOP_WORDS, SUMMARY_BATCH
+from ..functions.providers import document_summaries, embedded, hashed_embeddings, page_summary, summarised
+from ..functions.text import embedding_input, error_message, fallback_route, is_blank, keyword_terms, normalize_summary
 from ..operators import browse, grounding, lifecycle, retrieval, store
 from ..operators.chunking import page_chunks
 from ..operators.pages import extract_pages, with_summaries
+from ..storage.ledger import Ledger
+from ..storage.postings import Index
+from ..storage.snapshots import Table
+from ..storage.vectors import VectorIndex
 
 
 def query_terms(query: str) -> list[str]:
@@ -23,12 +28,44 @@ def query_terms(query: str) -> list[str]:
 
 
 def ingest(shards: DataFrame, expected: DataFrame, width: int = 1536) -> dict[str, DataFrame]:
-    """pages, chunks with vectors, and document summaries of OCR shards."""
+    """pages, chunks with vectors, and document summaries of OCR shards, by the stand-ins and without a store: each is a plan of its
+    own. ingested() does it once, with any provider."""
     extracted = extract_pages(shards, expected)
     pages = with_summaries(extracted, extracted.select("document_id", "page_number", page_summary(F.col("extracted_text")).alias("summary")))
     return {"pages": pages, "chunks": embedded(page_chunks(pages), width=width), "documents": document_summaries(pages)}
 
 
+class Models(NamedTuple):
+    """Providers that ingestion calls: a name, and a function from a batch of texts to their answers."""
+
+    summary_model: str
+    summarise: Callable[[list[str]], list[str]]
+    embedding_model: str
+    embed: Callable[[list[str]], list[list[float]]]
+
+
+def ingested(shards: DataFrame, expected: DataFrame, publish_to: str, models: Models, documents: DataFrame) -> dict[str, DataFrame]:
+    """pages, chunks and document summaries of OCR shards, published for ``documents`` (document_id) in snapshot tables.
+
+    Every step reads what the step before has committed, so shards are read once, and providers are asked through a ledger
+    (summaries in batches of ten, vectors in batches of 64): neither another output nor another attempt asks for a text
+    again. Blank pages aren't sent to a provider. A vector count or width that doesn't fit is an error.
+    """
+    spark = shards.sparkSession
+    ledger = Ledger(spark, f"{publish_to}/ledger")
+    tables = {n: Table(spark, f"{publish_to}/{n}") for n in ("extracted", "pages", "chunks")}
+    mine = lambda name: tables[name].read().join(documents, "document_id", "left_semi")
+    tables["extracted"].publish(extract_pages(shards, expected), documents=documents)
+    text = F.when(~is_blank(F.col("extracted_text")), F.col("extracted_text"))
+    said = ledger.answered(mine("extracted"), text, models.summary_model, models.summarise, batch=SUMMARY_BATCH, to="summary")
+    summary = F.when(text.isNull(), F.lit(EMPTY_PAGE_SUMMARY)).otherwise(normalize_summary(F.col("summary"), EMPTY_PAGE_SUMMARY))
+    tables["pages"].publish(said.withColumn("summary", summary), documents=documents)
+    chunks = page_chunks(mine("pages"))
+    widths = ledger.answered(chunks, embedding_input(F.col("text"), F.col("chunk_index")), models.embedding_model, models.embed, "array<double>", EMBEDDING_BATCH, "embedding")
+    tables["chunks"].publish(widths, documents=documents)
+    return {"pages": mine("pages"), "chunks": mine("chunks"), "documents": document_summaries(mine("pages"))}
+
+
 def retrieve(texts: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], document=None) -> DataFrame:
     """Six best of texts (id, text) for a query: lexical and vector top-12, fused and reranked. With a document, both searches
     see its rows (document_id) only; the filter reaches both scans."""
@@ -40,6 +77,15 @@ def retrieve(texts: DataFrame, vectors: DataFrame, query: str, query_vector: lis
     return retrieval.rerank(retrieval.fuse(lexical, vector), texts, terms)
 
 
+def retrieve_indexed(texts: DataFrame, lexical: Index, vector: VectorIndex, query: str, query_vector: list[float], document=None, exact: bool = False) -> DataFrame:
+    """The same from stored indexes, which a document is the key of if one is given. Of texts (id, text) only those of the
+    candidates, 24 at most, are read."""
+    terms = query_terms(query)
+    found = lexical.top_k(" ".join(terms) or query.strip(), key=document)
+    near = vector.search(query_vector, key=document, exact=exact)
+    return retrieval.rerank(retrieval.fuse(found, near), texts, terms)
+
+
 def chat_turn(
     tables: dict[str, DataFrame],
     document,
@@ -114,24 +160,27 @@ def chat_turn(
 _SOURCES = "source_id string, final_rank long, chunk_id string, text string, start_page_number int, end_page_number int, page_spans array<struct<page_number:int,start_offset:int,end_offset:int>>"
 
 
-def ingestion_attempt(documents: DataFrame, document, attempt: int, read: Callable[[], tuple[DataFrame, DataFrame]], publish_to: str, now: Column, error_facts: Callable[[Exception], dict] | None = None, width: int = 1536) -> dict:
+def stand_ins(width: int = 1536) -> Models:
+    """Providers that work offline: a first sentence, and a hashed bag of words."""
+    return Models("first-sentence", summarised, f"hashed-{width}", lambda texts: hashed_embeddings(texts, width).tolist())
+
+
+def ingestion_attempt(documents: DataFrame, document, attempt: int, read: Callable[[], tuple[DataFrame, DataFrame]], publish_to: str, now: Column, error_facts: Callable[[Exception], dict] | None = None, width: int = 1536, models: Models | None = None) -> dict:
     """One attempt to process a document: (status, attempt, next_at, error, pages, chunks). documents: id, status, attempt.
 
     It begins only with a higher attempt than the stored one and unless the document is ready. read gives OCR shards and
-    expected pages (see ingest). Pages and chunks replace those of earlier attempts. A transient error (error_facts: http,
-    code, errno) makes another attempt after 15 s, then 60 s; after three attempts, and for other errors, it has failed.
+    expected pages (see ingested). Pages and chunks replace those of earlier attempts, each by one commit. A transient error
+    (error_facts: http, code, errno) makes another attempt after 15 s, then 60 s; after three attempts, and for other errors,
+    it has failed. What providers answered in a failed attempt isn't asked for again.
     """
     spark = documents.sparkSession
     row = store.point(documents, "id", document).select("status", "attempt").first()
     if row is None or row.status == "ready" or (row.attempt or 0) >= attempt:
         return {"status": "skipped", "attempt": attempt}
     try:
-        out = ingest(*read(), width=width)
         ids = spark.createDataFrame([(document,)], f"document_id {dict(documents.dtypes)['id']}")
-        for name in ("pages", "chunks"):
-            store.publish(out[name], f"{publish_to}/{name}", documents=ids)
-        done = {n: spark.read.parquet(f"{publish_to}/{n}").where(F.col("document_id") == F.lit(document)).count() for n in ("pages", "chunks")}
-        return {"status": "ready", "attempt": attempt, **done, "summary": out["documents"].first().summary}
+        out = ingested(*read(), publish_to, models or stand_ins(width), ids)
+        return {"status": "ready", "attempt": attempt, "pages": out["pages"].count(), "chunks": out["chunks"].count(), "summary": out["documents"].first().summary}
     except Exception as e:  # every error is classified: it is retried or it is final
         facts = {"http": None, "code": None, "errno": None} | (error_facts(e) if error_facts else {})
         again = lifecycle.transient(F.lit(facts["http"]).cast("int"), F.lit(facts["code"]).cast("int"), F.lit(facts["errno"]).cast("string"), F.lit(str(e)))

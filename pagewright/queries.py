@@ -357,10 +357,11 @@ def list_filter(s, d):
     return browse.text_filter(parquet(s, d, "part"), " Brand#1", "p_name", "p_brand").select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS n FROM part QUALIFY n <= 50")
+@query("SELECT p_partkey, name, row_number() OVER (ORDER BY lower(strip_accents(name)), p_partkey) AS n FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, 'aeou', 'áèöÛ') WHEN 1 THEN upper(p_name) ELSE p_name END AS name FROM part) QUALIFY n <= 50")
 def list_alpha_sort(s, d):
-    top = parquet(s, d, "part").select("p_partkey", "p_name", browse.alphabetical(F.col("p_name")).alias("k")).orderBy("k", "p_partkey").limit(50)
-    return top.withColumn("n", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long")).select("p_partkey", "p_name", "n")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "aeou", "áèöÛ")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.col("p_name"))
+    top = parquet(s, d, "part").select("p_partkey", name.alias("name")).withColumn("k", browse.alphabetical(F.col("name"))).orderBy("k", "p_partkey").limit(50)
+    return top.withColumn("n", F.row_number().over(Window.orderBy("k", "p_partkey")).cast("long")).select("p_partkey", "name", "n")
 
 
 @query(f"SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN o_orderdate >= date_trunc('day', TIMESTAMP '{NOW}') THEN 'today' WHEN o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 7 DAYS THEN 'week' ELSE 'earlier' END AS bucket FROM orders) GROUP BY 1")
@@ -541,4 +542,4 @@ def event_fold(s, d):
     return folded_events(c)
 
 
-from . import queries_app  # noqa: E402, F401  (registers its own)
+from . import queries_app, queries_storage  # noqa: E402, F401  (they register their own)

@@ -10,6 +10,7 @@ from .functions import providers
 from .functions import text as T
 from .operators import browse, chunking, grounding, lifecycle, pages, records, store
 from .plans import flows
+from .queries import _CHUNKS
 from .registry import query
 from .sources.tables import list_items, parquet, payload_json, spread, without_internal
 from .streaming import answers
@@ -208,11 +209,16 @@ def pages_with_summaries(s, d):
     return pages.with_summaries(p, cut).select("document_id", "page_number", "summary", browse.source_label("P", F.col("page_number")).alias("source_id"))
 
 
-@query("SELECT doc_id, chunk_index, CAST(64 AS INTEGER) AS width, true AS unit FROM (SELECT doc_id, CAST(unnest(range(0, CASE WHEN n = 0 THEN 0 WHEN n <= 450 THEN 1 ELSE CAST(ceil((n - 450) / 375.0) AS BIGINT) + 1 END)) AS INTEGER) AS chunk_index FROM (SELECT doc_id, len(regexp_extract_all(text, '[^" + WS + "]+')) AS n FROM documents))")
+@query(f"""WITH c AS (SELECT doc_id, i, CASE WHEN len(w) = 0 THEN 0 ELSE len(w) END AS n, w FROM ({_CHUNKS})),
+h AS (SELECT doc_id, i, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, i, unnest(list_transform(w, lambda t: lower(t))) AS x FROM c)),
+p AS (SELECT doc_id, i, h % 64 AS place, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM h GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, i, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, place, round(v / norm, 9) AS value FROM p JOIN s USING (doc_id, i) WHERE v <> 0""")
 def chunk_embeddings(s, d):
+    """Every component that isn't zero."""
     e = providers.embedded(chunking.text_chunks(wordy(s, d), "doc_id"), width=64)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return e.select("doc_id", "chunk_index", F.size("embedding").alias("width"), ((F.abs(norm - 1) < 1e-9) | (norm == 0)).alias("unit"))
+    out = e.select("doc_id", "chunk_index", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return out.select("doc_id", "chunk_index", F.col("place").cast("long").alias("place"), F.round("value", 9).alias("value"))
 
 
 @query("SELECT doc_id, 'page ' || a AS one, CASE WHEN a = b THEN 'page ' || a ELSE 'pages ' || a || '-' || b END AS many, least(greatest(doc_id - 50, 1), 100) AS page, TRY_CAST(regexp_replace(source || doc_id, '[^0-9]', '', 'g') AS INTEGER) AS number, substr(lang || source, 1, 4) AS prefix FROM (SELECT *, doc_id % 7 AS a, doc_id % 7 + doc_id % 2 AS b FROM documents)")
@@ -341,11 +347,14 @@ def step_details(s, d):
     return docs(s, d).select("doc_id", F.inline(steps)).select("doc_id", "step", "detail")
 
 
-@query("SELECT conv_id, turn, CASE k WHEN 0 THEN 'said' WHEN 1 THEN text || chr(10) WHEN 2 THEN regexp_replace(text, '^[" + WS + "]+|[" + WS + "]+$', '', 'g') END AS shown FROM (SELECT *, turn % 3 AS k FROM conversations) WHERE NOT contains(text, '\"') AND NOT contains(text, chr(92))")
+@query("SELECT conv_id, turn, CASE k WHEN 0 THEN 'said' WHEN 1 THEN text || chr(10) WHEN 2 THEN regexp_replace(text, '^[" + WS + "]+|[" + WS + "]+$', '', 'g') END AS shown FROM (SELECT conv_id, turn, turn % 3 AS k, text || CASE WHEN conv_id % 2 = 0 THEN ' \"' || role || '\" ' || chr(92) || ' end' ELSE '' END AS text FROM conversations)")
 def shown_contents(s, d):
+    """Texts with quotes and backslashes in them as well; an answer's field is escaped and cut off, other texts aren't."""
     k = F.col("turn") % 3
-    content = F.when(k == 0, F.lit(' {"answer":" said ","citations":[]}')).when(k == 1, F.concat(F.lit('x {"answer": "'), F.col("text"), F.lit('\\n", '))).otherwise(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))
-    c = talk(s, d).where(~F.col("text").contains('"') & ~F.col("text").contains("\\"))
+    t = F.concat("text", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(' "'), F.col("role"), F.lit('" \\ end'))).otherwise(F.lit("")))
+    c = talk(s, d).withColumn("text", t)
+    field = F.regexp_replace(F.to_json(F.struct(F.concat("text", F.lit("\n")).alias("answer"))), r"^\{|\}$", "")
+    content = F.when(k == 0, F.lit(' {"answer":" said ","citations":[]}')).when(k == 1, F.concat(F.lit("x {"), field, F.lit(", "))).otherwise(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))
     return c.select("conv_id", "turn", grounding.shown_content(content).alias("shown"))
 
 
@@ -369,14 +378,14 @@ def settings(s, d):
 # summaries, prompts, turns
 
 
-@query("SELECT conv_id, turn, CASE k WHEN 0 THEN 'What of ' || turn WHEN 1 THEN n ELSE n END AS standalone_query, CASE WHEN k = 0 THEN 'summaries' ELSE 'chunks' END AS mode FROM (SELECT conv_id, turn, turn % 4 AS k, " + _normal("text") + " AS n FROM conversations) WHERE length(n) > 0 AND NOT regexp_matches(lower(n), 'summar|overview|key findings|takeaway|main point|what is this document')")
+@query("SELECT conv_id, turn, CASE WHEN k = 0 THEN 'What of ' || turn WHEN length(n) > 0 THEN n ELSE text END AS standalone_query, CASE WHEN k = 0 OR regexp_matches(lower(text), '(^|[^a-z0-9_])(summar(ize|y)|overview|key findings|takeaways?|main points?|what is this document about)([^a-z0-9_]|$)') THEN 'summaries' ELSE 'chunks' END AS mode FROM (SELECT conv_id, turn, turn % 4 AS k, text, " + _normal("text") + " AS n FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'The key findings of ' || text WHEN 1 THEN text ELSE '  ' END AS text FROM conversations))")
 def route_validation(s, d):
+    """Decisions that hold and that don't; without one, all texts are routed by their words, also blank ones."""
     k = F.col("turn") % 4
     decision = F.when(k == 0, F.concat(F.lit('{"standaloneQuery":" What  of '), F.col("turn").cast("string"), F.lit('","retrievalMode":"summaries"}'))).when(k == 1, F.lit('{"standaloneQuery":7,"retrievalMode":"summaries"}')).when(k == 2, F.lit('{"standaloneQuery":"q","retrievalMode":"all"}')).otherwise(F.lit("no json"))
-    n = T.normalize_whitespace(F.col("text"))
-    plain = talk(s, d).where((n != "") & ~F.lower(n).rlike("summar|overview|key findings|takeaway|main point|what is this document"))
+    said = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("The key findings of "), F.col("text"))).when(F.col("conv_id") % 3 == 1, F.col("text")).otherwise(F.lit("  "))
     r = grounding.routed(decision, F.col("text"))
-    return plain.select("conv_id", "turn", r["standalone_query"].alias("standalone_query"), r["retrieval_mode"].alias("mode"))
+    return talk(s, d).withColumn("text", said).select("conv_id", "turn", r["standalone_query"].alias("standalone_query"), r["retrieval_mode"].alias("mode"))
 
 
 @query("""WITH p AS (SELECT document_id, page_number, length(extracted_text) || ' chars' AS s FROM (""" + LINES + """)), c AS (SELECT document_id, string_agg('[P' || page_number || '] page ' || page_number || chr(10) || s, chr(10) || chr(10) ORDER BY page_number) AS blocks, count(*) AS n FROM p GROUP BY 1)

@@ -1,4 +1,4 @@
-"""Schemas of the store's tables, and readers of Parquet, OCR shards, and PDF bytes."""
+"""Schemas of the store's tables, and readers of Parquet and OCR shards."""
 
 from __future__ import annotations
 
@@ -58,12 +58,6 @@ def ocr_shards(spark: SparkSession, path: str, document_id: str) -> DataFrame:
     return named.withColumn("shard_index", order).withColumn("document_id", F.lit(document_id)).drop("_file")
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256, has_magic) of binary files; contents stay on the executors."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("has_magic"))
-
-
 def payload_json(payload: DataFrame) -> DataFrame:
     """Each row as an indented JSON text (value)."""
     return payload.select(F.to_json(F.struct(*payload.columns), {"pretty": "true"}).alias("value"))

@@ -6,10 +6,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import constants as K
 from pagewright.functions import providers
-from pagewright.operators import pages, store
+from pagewright.operators import pages
 from pagewright.plans import flows
 from pagewright.sources.tables import ocr_shards, write_payload
+from pagewright.storage.snapshots import Table
 from pagewright.streaming import answers
 
 NOW = datetime.datetime(2024, 5, 1, 12, 0)
@@ -36,18 +38,55 @@ def test_ingestion_attempts(spark, shards, tmp_path):
     for text, n in (("Grain rose. Then fell.", 1), ("Other words.", 1)):
         out = run("d", 1, lambda text=text: shards(text))
         assert (out["status"], out["pages"], out["chunks"]) == ("ready", 2, n)
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "chunks")).collect()] == ["Other words."]
+    assert [r.text for r in Table(spark, str(tmp_path / "chunks")).read().collect()] == ["Other words."]
     assert run("r", 2, fails) == {"status": "skipped", "attempt": 2} == run("none", 2, fails)
 
 
-def test_publish_replaces_and_removes(spark, tmp_path):
-    path = str(tmp_path / "t")
-    rows = lambda *x: spark.createDataFrame(list(x), "document_id long, text string")
-    store.publish(rows((1, "a"), (1, "b"), (2, "c")), path, buckets=2)
-    store.publish(rows((1, "new")), path, buckets=2)
-    store.publish(rows((2, "x")).limit(0), path, buckets=2, documents=rows((2, "")))
-    assert [tuple(r) for r in spark.read.parquet(path).select("document_id", "text").collect()] == [(1, "new")]
-    assert not list(tmp_path.glob("*staged*"))
+def test_providers_are_asked_once(spark, shards, tmp_path):
+    """Over a failed attempt, a repeated one and all outputs: summaries in batches of ten, vectors of 64."""
+    calls, down = tmp_path / "calls", tmp_path / "down"
+    calls.mkdir()
+    down.touch()
+    folder, flag = str(calls), str(down)
+
+    def note(kind, texts, most):
+        import os
+        import uuid
+
+        assert 0 < len(texts) <= most and all(t.strip() for t in texts)
+        if kind == "vector" and os.path.exists(flag):
+            raise OSError("connection reset by peer")
+        for t in texts:
+            open(f"{folder}/{uuid.uuid4().hex}", "w").write(f"{kind} {t}")
+
+    def summarise(texts):
+        note("summary", texts, 10)
+        return [f" on  {t[:9]} " for t in texts]
+
+    def embed(texts):
+        note("vector", texts, 64)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    words = "|".join(f"page {n} has words" if n % 5 else " " for n in range(1, 31))
+    ends = [0]
+    for t in words.split("|"):
+        ends.append(ends[-1] + len(t) + 1)
+    payload = [{"pageNumber": i + 1, "layout": {"textAnchor": {"textSegments": [{"startIndex": str(ends[i]), "endIndex": str(ends[i + 1] - 1)}]}}} for i in range(30)]
+    schema = f"document_id string, shard_index int, {pages.SHARD_SCHEMA}"
+    read = lambda: (spark.createDataFrame([("d", 0, words, payload)], schema), spark.createDataFrame([("d", 31)], "document_id string, page_count int"))
+    documents = spark.createDataFrame([("d", "uploaded", 0)], "id string, status string, attempt int")
+    models = flows.Models("s", summarise, "v", embed)
+    run = lambda n: flows.ingestion_attempt(documents, "d", n, read, str(tmp_path / "store"), F.lit(NOW), models=models)
+    first = run(1)
+    assert first["status"] == "processing" and "connection reset" in first["error"]
+    down.unlink()
+    for n in (2, 3):
+        out = run(n)
+        assert (out["status"], out["pages"], out["chunks"]) == ("ready", 31, 1) and out["summary"].startswith("on page 1 ha on page 2 ha on")
+    said = [p.read_text() for p in calls.iterdir()]
+    assert len(said) == len(set(said)) and sum(t.startswith("summary") for t in said) == 24 and sum(t.startswith("vector") for t in said) == 1
+    rows = Table(spark, str(tmp_path / "store" / "pages")).read().orderBy("page_number").collect()
+    assert [r.summary for r in rows[3:6]] == ["on page 4 ha", K.EMPTY_PAGE_SUMMARY, "on page 6 ha"]
 
 
 def test_chat_turns(spark):
