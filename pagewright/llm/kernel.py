@@ -26,6 +26,22 @@ def trim() -> None:
         pass
 
 
+def given_back(run):
+    """A function of one table or two whose memory goes back to the machine when it is done, not when the next one comes."""
+
+    def one(table):
+        out = run(table)
+        trim()
+        return out
+
+    def two(left, right):
+        out = run(left, right)
+        trim()
+        return out
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: a permutation of the 64-bit integers."""
     x = x ^ (x >> _U(30))
@@ -178,10 +194,6 @@ def sort_within(v: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return v
 
 
-def binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
-
-
 def grouped(batches, column: str) -> Iterator[pa.Table]:
     """The rows of each value of a column by which the batches are sorted; one group is held at a time."""
     held: list[pa.RecordBatch] = []

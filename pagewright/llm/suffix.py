@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import columns, mix, runs, seeds, trim
+from .kernel import columns, given_back, mix, runs, seeds, trim
 from .store import pieces, text_bytes
 
 WIDTH, GRAM = 50, 20
@@ -173,6 +173,7 @@ def _pack(batches):
             cols.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), b.column("rest").take(pa.array(order))))
             names.append("rest")
         yield pa.RecordBatch.from_arrays(cols, names=names)
+    trim()
 
 
 class Group:
@@ -596,11 +597,11 @@ def _run(docs: DataFrame, output, schema: str, keep: list[str]) -> DataFrame:
     grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(groups)).cast("int")
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), grp.alias("grp"), *rest)
     grouped = flat.mapInArrow(_pack, packed).repartition(min(groups, TASKS), "grp")
-    posts = grouped.drop("rest").groupBy("grp").applyInArrow(_post(buckets), _POST).repartition(min(buckets, TASKS), "bucket")
-    codes = posts.groupBy("bucket").applyInArrow(_meet, _TOLD)
-    sent = grouped.drop("rest").groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(_send(buckets), _SENT).repartition(min(buckets, TASKS), "bucket")
-    masks = sent.groupBy("bucket").applyInArrow(_sort, _TOLD)
-    return grouped.groupBy("grp").cogroup(codes.union(masks).groupBy("grp")).applyInArrow(_cut(buckets, output), schema)
+    posts = grouped.drop("rest").groupBy("grp").applyInArrow(given_back(_post(buckets)), _POST).repartition(min(buckets, TASKS), "bucket")
+    codes = posts.groupBy("bucket").applyInArrow(given_back(_meet), _TOLD)
+    sent = grouped.drop("rest").groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(given_back(_send(buckets)), _SENT).repartition(min(buckets, TASKS), "bucket")
+    masks = sent.groupBy("bucket").applyInArrow(given_back(_sort), _TOLD)
+    return grouped.groupBy("grp").cogroup(codes.union(masks).groupBy("grp")).applyInArrow(given_back(_cut(buckets, output)), schema)
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:

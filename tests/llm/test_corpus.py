@@ -713,3 +713,53 @@ def test_very_long_texts_in_the_pipeline(spark, long_rows, tmp_path):
     long_rows.select("*", long_rows.text.substr(1, 5).alias("extra")).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def test_base_columns_of_rules(spark, odd):
+    """What the quality rules count, against a count by hand, on the small table and on odd rows."""
+
+    def counted(text):
+        text = text or ""
+        w = re.findall(WORD, text)
+        five = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        often = collections.Counter(five)
+        held = {i + k for i, x in enumerate(five) if often[x] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if re.search(WORD, x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(held)
+
+    for docs in (documents(spark, SMALL), odd):
+        want = sorted((r.doc_id is None, r.doc_id or 0, *counted(r.text)) for r in docs.select("doc_id", "text").collect())
+        rows = rules.checked(docs).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+        assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in rows)
+
+
+def test_base_columns_of_licenses(spark, odd):
+    """Words and places of the fixed phrases, against a search by hand."""
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+    def scan(text):
+        t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        at = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        return len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))
+
+    more = spark.createDataFrame([(1, "MIT License, the Apache-License; cc by cc by\nGNU general public LICENSE mit licenses"), (2, "cc\u00e9 by cc\x00by"), (3, None)], "doc_id long, text string")
+    for docs in (documents(spark, SMALL), odd, more):
+        want = sorted(((r.doc_id, *scan(r.text)) for r in docs.select("doc_id", "text").collect()), key=str)
+        got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scanned(docs).collect()), key=str)
+        assert got == want
+
+
+def test_sharding_against_the_texts(spark):
+    """Sizes and checksums by hand, slots without gaps, sizes of shards near equal."""
+    rows = {r.doc_id: r.text for r in documents(spark, SMALL).collect()}
+    got = sharding.sharded(documents(spark, SMALL)).toPandas()
+    assert {r.doc_id: (r["size"], r.text_crc32) for _, r in got.iterrows()} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows.items()}
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard")) and set(got.shard) == set(range(16))
+    total = got.groupby("shard")["size"].sum()
+    assert total.max() - total.min() <= 2 * got["size"].max()
