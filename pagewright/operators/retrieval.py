@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FINAL_LIMIT, FUSION_K, KEYWORD_BONUS, LEXICAL_LIMIT, LEXICAL_WEIGHT, VECTOR_LIMIT, VECTOR_WEIGHT
+from ..functions.text import keyword_terms, lexical_query
 
 K1, B = 1.2, 0.75
 
@@ -103,3 +104,44 @@ def rerank(candidates: DataFrame, texts: DataFrame, wanted: list[str], k: int =
     top = joined.withColumn("hybrid_score", score).orderBy(F.desc("hybrid_score"), "cand_pos").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("hybrid_score"), "cand_pos")).cast("long")
     return top.withColumn("final_rank", rank).withColumn("source_id", F.concat(F.lit("S"), F.col("final_rank").cast("string")))
+
+
+def retrieve_many(questions: DataFrame, chunks: DataFrame, k: int = FINAL_LIMIT) -> DataFrame:
+    """(question_id, source_id, final_rank, hybrid_score, id) for many questions (question_id, document_id, query, vector), each
+    about the chunks (document_id, id, text, embedding) of its document: what retrieve gives for one.
+
+    All questions share one pass over the texts. Terms are counted inside each chunk, so what is dealt by (document, term) is
+    one row for each term of a chunk; a hot document's rows are spread over its terms. Scores are numbers by question and
+    chunk, and texts are read again for the candidates only, 24 of a question.
+    """
+    words = chunks.select("document_id", "id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    stats = words.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = words.select("document_id", "id", "dl", F.explode("w").alias("term")).groupBy("document_id", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = questions.select("question_id", "document_id", F.explode(F.array_distinct(terms(lexical_query(F.col("query"))))).alias("term"))
+    holds = tf.join(asked.select("document_id", "term").distinct(), ["document_id", "term"], "left_semi")
+    df = holds.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    met = asked.join(holds, ["document_id", "term"]).join(df, ["document_id", "term"]).join(stats, "document_id")
+    part = bm25([F.col("tf")], [F.col("df")], F.col("dl"), F.col("n"), F.col("avgdl"))
+    lexical = met.groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+    v, q = F.col("embedding"), F.col("vector")
+    size = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
+    cosine = F.when(size > 0, dot(q, v) / size).otherwise(0.0)
+    pairs = questions.select("question_id", "document_id", "vector").join(chunks.select("document_id", "id", "embedding"), "document_id")
+    vector = pairs.where(F.size(v) == F.size(q)).select("question_id", "id", F.round(cosine, 9).alias("score"))
+
+    def best(scores: DataFrame, n: int, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
+        return scores.withColumn(name, place.cast("long")).where(F.col(name) <= n).select("question_id", "id", name)
+
+    both = best(vector, VECTOR_LIMIT, "rv").join(best(lexical, LEXICAL_LIMIT, "rl"), ["question_id", "id"], "full_outer")
+    score = F.coalesce(F.lit(VECTOR_WEIGHT) / (FUSION_K + F.col("rv")), F.lit(0.0)) + F.coalesce(F.lit(LEXICAL_WEIGHT) / (FUSION_K + F.col("rl")), F.lit(0.0))
+    pos = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("rv").asc_nulls_last(), F.col("rl").asc_nulls_last()))
+    fused = both.select("question_id", "id", score.alias("fused"), pos.alias("cand_pos"))
+    wanted = questions.select("question_id", "document_id", keyword_terms(F.col("query")).alias("wanted"))
+    text = fused.join(wanted, "question_id").join(chunks.select("document_id", "id", F.lower("text").alias("text")), ["document_id", "id"])
+    share = F.when(F.size("wanted") > 0, F.size(F.filter("wanted", lambda t: F.contains(F.col("text"), t))) / F.size("wanted").cast("double")).otherwise(0.0)
+    ranked_ = text.withColumn("hybrid_score", F.col("fused") + share * KEYWORD_BONUS)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("hybrid_score"), "cand_pos")).cast("long")
+    top = ranked_.withColumn("final_rank", rank).where(F.col("final_rank") <= k)
+    return top.select("question_id", F.concat(F.lit("S"), F.col("final_rank").cast("string")).alias("source_id"), "final_rank", "hybrid_score", "id")

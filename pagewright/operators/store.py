@@ -34,8 +34,9 @@ def multi_get(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
 
 
 def multi_get_of(df: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
-    """The same for many requests at once: asked (request, position, key)."""
-    return asked.join(df, key).orderBy("request", "position")
+    """The same for many requests at once: asked (request, position, key). A request's rows come together and in order; requests
+    aren't sorted among each other."""
+    return asked.join(df, key).repartition("request").sortWithinPartitions("request", "position")
 
 
 def newest(df: DataFrame, n: int, order: str, tie: str | None = None) -> DataFrame:

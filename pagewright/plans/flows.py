@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -157,6 +158,85 @@ def chat_turn(
     return outcome | {"citations": [r.asDict() for r in valid.orderBy("citation").collect()]}, messages
 
 
+class Assistant(NamedTuple):
+    """Providers that answer questions: a name, and a function from a batch of texts to one answer for each. route (JSON of history
+    and question to a decision) may be left out."""
+
+    embedding_model: str
+    embed: Callable[[list[str]], list[list[float]]]
+    answer_model: str
+    answer: Callable[[list[str]], list[str]]
+    route_model: str = ""
+    route: Callable[[list[str]], list[str]] | None = None
+
+
+def chat_turns(tables: dict[str, DataFrame], asked: DataFrame, at: str, assistant: Assistant, now: Column) -> dict[str, DataFrame]:
+    """Many chat turns at once: asked (turn_id, document_id, conversation_id, owner, question), and tables as for chat_turn.
+
+    outcomes (turn_id, status, reason, mode, query, answer): each request is checked in the fixed order, routed, given its
+    sources, answered and read, as chat_turn does with one. citations (turn_id, citation, source_id, chunk_id, quote,
+    start_offset, page_number, snippet). messages: both of each answered turn, to be appended.
+
+    Every step is a join or an aggregation over all turns; the driver holds none. Providers are asked through a ledger in the
+    folder ``at``; sources are written there once, since prompts and citations both read them.
+    """
+    spark = asked.sparkSession
+    ledger, scratch = Ledger(spark, f"{at}/ledger"), f"{at}/turns/{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{scratch}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{scratch}/{name}")
+
+    yes = F.lit(True)
+    own = tables["documents"].select(F.col("id").alias("document_id"), "owner", "title", F.col("status").alias("state"), "summary", yes.alias("_owned"))
+    talks = tables["conversations"].select(F.col("id").alias("conversation_id"), "owner", "document_id", yes.alias("_talk"))
+    full = tables["chunks"].select("document_id").distinct().withColumn("_chunks", yes)
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    known = asked.join(own, ["document_id", "owner"], "left").join(talks, ["conversation_id", "owner", "document_id"], "left").join(full, "document_id", "left")
+    said = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    ladder = {"authenticated": F.col("owner").isNotNull(), "parsed": yes, "complete": said("question"), "owned": has("_owned"), "ready": F.coalesce(F.col("state") == "ready", F.lit(False)), "summarised": said("summary"), "conversation": has("_talk"), "chunked": has("_chunks")}
+    checked = known.withColumn("check", lifecycle.request_status(ladder)).select(*asked.columns, "title", "check.status", "check.reason")
+    good = checked.where("status = 200").drop("status", "reason")
+
+    decision = F.lit(None).cast("string")
+    if assistant.route:
+        last = store.last_n(tables["messages"], ROUTING_TURNS, ["conversation_id"], "created_at")
+        line = F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+        good = good.join(last.groupBy("conversation_id").agg(line.alias("history")), "conversation_id", "left")
+        to_route = F.to_json(F.struct(F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")).alias("history"), "question"))
+        good = ledger.answered(good, to_route, assistant.route_model, assistant.route, to="decision").drop("history")
+        decision = F.col("decision")
+    r = grounding.routed(decision, F.col("question"))
+    turns = written(good.withColumn("r", r).select(*asked.columns, "title", F.col("r.standalone_query").alias("query"), F.col("r.retrieval_mode").alias("mode")), "turns")
+
+    by_chunk = ledger.answered(turns.where("mode = 'chunks'"), F.col("query"), assistant.embedding_model, assistant.embed, "array<double>", EMBEDDING_BATCH, "vector")
+    found = retrieval.retrieve_many(by_chunk.withColumnRenamed("turn_id", "question_id"), tables["chunks"]).withColumnRenamed("question_id", "turn_id")
+    shown = tables["chunks"].select(F.col("id").alias("chunk_id"), "text", "start_page_number", "end_page_number", "page_spans")
+    sources = written(found.withColumnRenamed("id", "chunk_id").join(shown, "chunk_id"), "sources")
+    pages = tables["pages"].select("document_id", "page_number", "summary")
+    about = turns.where("mode = 'summaries'").select("turn_id", "document_id")
+    whole = grounding.summary_context(tables["documents"].select(F.col("id").alias("document_id"), "summary"), pages)
+    context = grounding.chunk_context(sources, ["turn_id"]).unionByName(about.join(whole, "document_id").select("turn_id", "context"))
+
+    text = grounding.prompt(F.col("title"), F.col("context"), F.col("question"))
+    answered = ledger.answered(turns.join(context, "turn_id", "left").withColumn("prompt", text), F.col("prompt"), assistant.answer_model, assistant.answer, to="content")
+    parsed = F.when(F.col("mode") == "chunks", grounding.parse_answer(F.col("content"), True)["citations"])
+    named = F.when(F.col("mode") == "summaries", grounding.parse_answer(F.col("content"), False)["citations"])
+    answered = written(answered.select("turn_id", "conversation_id", "document_id", "question", "mode", "query", grounding.tolerant_answer(F.col("content")).alias("answer"), parsed.alias("quoted"), named.alias("named")), "answers").where("answer is not null")
+    quotes = grounding.validated_citations(answered.select("turn_id", F.posexplode("quoted").alias("pos", "c")).select("turn_id", "pos", "c.*"), sources, ["turn_id"])
+    cited = answered.select("turn_id", "document_id", F.posexplode("named").alias("pos", "c")).select("turn_id", "pos", "c.source_id")
+    paged = about.join(pages, "document_id").select("turn_id", browse.source_label("P", F.col("page_number")).alias("source_id"), F.col("page_number").cast("long").alias("page_number"))
+    citations = quotes.unionByName(grounding.summary_citations(cited, paged, ["turn_id"]).select("turn_id", "citation", "source_id", "page_number"), allowMissingColumns=True)
+
+    done = answered.select("turn_id", "mode", "query", "answer")
+    lost = (F.col("status") == 200) & F.col("answer").isNull()
+    outcomes = checked.select("turn_id", "status", "reason").join(done, "turn_id", "left")
+    outcomes = outcomes.select("turn_id", F.when(lost, 502).otherwise(F.col("status")).alias("status"), F.when(lost, "no_answer").otherwise(F.col("reason")).alias("reason"), "mode", "query", "answer")
+    both = F.array(F.struct(F.lit(0).alias("n"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("n"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    messages = answered.select("conversation_id", F.inline(both)).select("conversation_id", "role", "content", (now + F.make_dt_interval(secs=F.col("n") / 1000)).alias("created_at"))
+    return {"outcomes": outcomes, "citations": citations, "messages": messages}
+
+
 _SOURCES = "source_id string, final_rank long, chunk_id string, text string, start_page_number int, end_page_number int, page_spans array<struct<page_number:int,start_offset:int,end_offset:int>>"
 
 

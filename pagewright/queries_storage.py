@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .operators import records, store
+from .functions import providers
+from .functions import text as T
+from .operators import chunking, records, retrieval, store
 from .plans import flows
-from .queries import LINES, QUERY, SQL, VEC, WS, _CHUNKS, _vector, _vectors, _WANTED, docs, lines, texts
+from .queries import _CHUNKS, _WANTED, LINES, QUERY, SQL, STATUS, WS, _vector, _vectors, docs, lines, texts, wordy
 from .registry import query
 from .sources.tables import parquet
 from .storage.feed import Feed
@@ -210,3 +212,95 @@ def ingested_documents(s, d):
     c = out["chunks"].where(F.size("embedding") == 16).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     return n.join(c, "document_id").join(out["documents"], "document_id")
 
+
+# many questions at once
+
+_STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+_MANY = f"""WITH c AS (SELECT doc_id, doc_id * 100000 + i AS id, i, w, array_to_string(w, ' ') AS text FROM ({_CHUNKS})),
+q AS (SELECT doc_id, array_to_string(w[1:6], ' ') AS q, lower(array_to_string(w[1:6], ' ')) AS lq FROM c WHERE i = 0),
+k AS (SELECT doc_id, q, list_filter(l, lambda x, i: list_position(l, x) = i)[1:12] AS terms FROM (SELECT doc_id, q, list_filter(regexp_extract_all(lq, '[a-z0-9][a-z0-9._/-]*'), lambda t: (length(t) >= 3 OR regexp_matches(t, '[0-9]')) AND t NOT IN ({_STOP})) AS l FROM q)),
+a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(CASE WHEN len(terms) > 0 THEN array_to_string(terms, ' ') ELSE q END), '[a-z0-9]+')) AS term FROM k),
+b AS (SELECT doc_id, id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM c),
+s AS (SELECT doc_id, count(*) AS n, avg(len(w)) AS avgdl FROM b GROUP BY 1),
+tf AS (SELECT doc_id, id, any_value(dl) AS dl, term, count(*) AS tf FROM (SELECT doc_id, id, len(w) AS dl, unnest(w) AS term FROM b) JOIN a USING (doc_id, term) GROUP BY doc_id, id, term),
+df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2),
+lx AS (SELECT doc_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (doc_id, term) JOIN s USING (doc_id) GROUP BY 1, 2),
+lex AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, id) AS rank FROM lx QUALIFY rank <= 12),
+h AS (SELECT doc_id, id, h % 64 AS place, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM (
+  SELECT doc_id, id, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, id, unnest(list_transform(w, lambda t: lower(t))) AS x FROM c)) GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, h % 64 AS place, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM (
+  SELECT doc_id, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(list_transform(w[1:6], lambda t: lower(t))) AS x FROM c WHERE i = 0)) GROUP BY 1, 2),
+hn AS (SELECT doc_id, id, sqrt(sum(v * v)) AS norm FROM h GROUP BY 1, 2), gn AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM g GROUP BY 1),
+d AS (SELECT h.doc_id, id, sum(h.v * g.v) AS dot FROM h JOIN g USING (doc_id, place) GROUP BY 1, 2),
+vx AS (SELECT doc_id, id, round(CASE WHEN hn.norm * gn.norm > 0 THEN coalesce(dot, 0) / (hn.norm * gn.norm) ELSE 0 END, 9) AS score FROM hn JOIN gn USING (doc_id) LEFT JOIN d USING (doc_id, id)),
+vec AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, id) AS rank FROM vx QUALIFY rank <= 12),
+f AS (SELECT doc_id, id, coalesce(0.65::DOUBLE / (60 + vec.rank), 0) + coalesce(0.35::DOUBLE / (60 + lex.rank), 0) AS fused, row_number() OVER (PARTITION BY doc_id ORDER BY vec.rank NULLS LAST, lex.rank NULLS LAST) AS pos FROM vec FULL JOIN lex USING (doc_id, id)),
+m AS (SELECT f.doc_id, f.id, c.text, pos, fused + CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(c.text), t))) / CAST(len(terms) AS DOUBLE) ELSE 0 END * 0.1 AS score FROM f JOIN k USING (doc_id) JOIN c ON c.id = f.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM m QUALIFY rank <= 6)"""
+
+
+def _chunk_table(s, d) -> DataFrame:
+    c = chunking.text_chunks(wordy(s, d), "doc_id")
+    n = F.length("text")
+    span = F.array(F.struct(F.lit(1).alias("page_number"), F.lit(0).alias("start_offset"), n.alias("end_offset")))
+    c = c.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("id"), "chunk_index", "text", F.lit(1).alias("start_page_number"), F.lit(1).alias("end_page_number"), span.alias("page_spans"))
+    return providers.embedded(c, width=64)
+
+
+def _first_words(s, d) -> DataFrame:
+    w = wordy(s, d).select(F.col("doc_id").alias("document_id"), T.tokens(F.coalesce(F.col("text"), F.lit(""))).alias("w")).where(F.size("w") > 0)
+    return w.select("document_id", F.array_join(F.slice("w", 1, 6), " ").alias("query"))
+
+
+@query(_MANY + " SELECT doc_id, 'S' || rank AS source_id, id, round(score, 12) AS hybrid_score FROM best")
+def hybrid_retrieve_many(s, d):
+    """Every document is asked for its first six words."""
+    q = providers.embedded(_first_words(s, d).select("document_id", "query", F.col("query").alias("text"), F.lit(0).alias("chunk_index")), width=64)
+    q = q.select(F.col("document_id").alias("question_id"), "document_id", "query", F.col("embedding").alias("vector"))
+    out = retrieval.retrieve_many(q, _chunk_table(s, d))
+    return out.select(F.col("question_id").alias("doc_id"), "source_id", "id", F.round("hybrid_score", 12).alias("hybrid_score"))
+
+
+def _model(prompts: list[str]) -> list[str]:
+    """Cites the first word of its first source, an unknown source, and the last word of its last one."""
+    import json
+
+    out = []
+    for p in prompts:
+        blocks = p.split("Sources:\n", 1)[1].rsplit("\n\nQuestion: ", 1)[0].split("\n\n[")
+        bodies = [b.split("\n", 1) for b in blocks]
+        label = lambda b: b[0].lstrip("[").split("]")[0]
+        quotes = [(label(bodies[0]), bodies[0][1].split(" ")[0]), ("S9", "x"), (label(bodies[-1]), bodies[-1][1].split(" ")[-1])]
+        out.append(json.dumps({"answer": f" from {len(blocks)} sources ", "citations": [{"sourceId": a, "quote": b} for a, b in quotes]}))
+    return out
+
+
+@query(_MANY + f""", st AS (SELECT doc_id, {STATUS} AS status, source FROM documents),
+o AS (SELECT st.doc_id, CASE WHEN doc_id % 7 = 6 THEN 'not_found' WHEN status <> 'ready' THEN 'not_ready' WHEN doc_id % 11 = 10 THEN 'no_conversation' WHEN doc_id NOT IN (SELECT doc_id FROM c) THEN 'no_chunks' ELSE 'ok' END AS reason FROM st),
+n AS (SELECT doc_id, count(*) AS n, max(rank) AS last FROM best GROUP BY 1),
+x AS (SELECT doc_id, id, rank, text, string_split(text, ' ') AS w FROM best),
+u AS (SELECT x.doc_id, 0 AS pos, id, text, w[1] AS quote FROM x WHERE rank = 1 UNION ALL SELECT x.doc_id, 2, id, text, w[-1] FROM x JOIN n ON n.doc_id = x.doc_id AND rank = last),
+v AS (SELECT doc_id, id, min(pos) AS pos, instr(text, quote) - 1 AS begins, any_value(quote) AS quote FROM u GROUP BY doc_id, id, instr(text, quote) - 1, length(quote)),
+z AS (SELECT doc_id, string_agg(id || ':' || begins || ':' || quote, ' | ' ORDER BY pos) AS citations FROM v GROUP BY 1)
+SELECT o.doc_id, o.reason, CASE WHEN o.reason = 'ok' THEN 'from ' || n || ' sources' END AS answer, CASE WHEN o.reason = 'ok' THEN citations END AS citations, CASE WHEN o.reason = 'ok' THEN 2 ELSE 0 END AS n_messages
+FROM o LEFT JOIN n ON n.doc_id = o.doc_id LEFT JOIN z ON z.doc_id = o.doc_id""")
+def chat_turns_in_bulk(s, d):
+    """A whole turn about every document, most of which can't be asked: asked for its first six words, with a model that quotes
+    from its sources."""
+    owner = F.when(F.col("document_id") % 7 == 6, F.lit("someone else")).otherwise(F.lit("o"))
+    t = docs(s, d).select(F.col("doc_id").alias("document_id"), F.expr(STATUS).alias("status"))
+    documents = t.select(F.col("document_id").alias("id"), F.lit("o").alias("owner"), F.concat(F.lit("T"), F.col("document_id").cast("string")).alias("title"), "status", F.lit("all of it").alias("summary"))
+    talks = t.where("document_id % 11 <> 10").select(F.col("document_id").alias("id"), F.lit("o").alias("owner"), "document_id")
+    pages_ = s.createDataFrame([], "document_id long, page_number int, summary string")
+    said = s.createDataFrame([], "conversation_id long, role string, content string, created_at timestamp")
+    asked = t.join(_first_words(s, d), "document_id", "left").select(F.col("document_id").alias("turn_id"), "document_id", F.col("document_id").alias("conversation_id"), owner.alias("owner"), F.coalesce("query", F.lit("nothing")).alias("question"))
+    at = place(s, "turns")
+    _chunk_table(s, d).write.parquet(f"{at}/chunks")
+    tables = {"documents": documents, "pages": pages_, "chunks": s.read.parquet(f"{at}/chunks"), "conversations": talks, "messages": said}
+    assistant = flows.Assistant("hashed-64", lambda texts: providers.hashed_embeddings(texts, 64).tolist(), "quoting", _model)
+    out = flows.chat_turns(tables, asked, at, assistant, F.lit("2024-05-01 12:00:00").cast("timestamp"))
+    line = F.concat_ws(":", F.col("chunk_id").cast("string"), F.col("start_offset").cast("string"), "quote")
+    cited = out["citations"].groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", line.alias("t")))), lambda x: x["t"]), " | ").alias("citations"))
+    n = out["messages"].groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    whole = out["outcomes"].join(cited, "turn_id", "left").join(n.withColumnRenamed("conversation_id", "turn_id"), "turn_id", "left")
+    return whole.select(F.col("turn_id").alias("doc_id"), "reason", "answer", "citations", F.coalesce("n_messages", F.lit(0)).alias("n_messages"))

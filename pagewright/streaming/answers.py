@@ -49,35 +49,17 @@ class AnswerExtractor:
         return "".join(out)
 
 
-class LineFramer:
-    """Whole lines of a byte stream that is cut anywhere; the rest is kept for the next piece."""
-
-    def __init__(self, rest: str = "") -> None:
-        self.rest = rest
-
-    def feed(self, piece: str) -> list[str]:
-        *lines, self.rest = (self.rest + piece).split("\n")
-        return lines
-
-
 def framed(pieces: DataFrame, by: list[str], order: str, piece: str = "piece") -> DataFrame:
-    """(by..., line_no, line) of byte or text pieces that are cut anywhere: each line that was ended. A line may span pieces; a
-    stream's pieces are read in order, one batch at a time."""
-    kinds = dict(pieces.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, framer, n = None, LineFramer(), 0
-        for pdf in batches:
-            rows = []
-            for *key, text in pdf[[*by, piece]].itertuples(index=False):
-                if key != now:
-                    now, framer, n = key, LineFramer(), 0
-                for line in framer.feed(text or ""):
-                    rows.append((*key, n, line))
-                    n += 1
-            yield pd.DataFrame(rows, columns=[*by, "line_no", "line"])
-
-    return pieces.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", line_no long, line string")
+    """(by..., line_no, line) of texts that are cut anywhere: each line that was ended. A line may span pieces. What is put in a
+    stream's order are the counts of line ends; texts come together by line."""
+    ends = F.split(F.coalesce(F.col(piece), F.lit("")), "\n")
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.select(*by, F.col(order).alias("_at"), ends.alias("_parts"), (F.size(ends) - 1).alias("_n"), F.col(order))
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(whole))
+    parts = counted.select(*by, "_at", "_before", "_all", F.posexplode("_parts").alias("_pos", "_part")).withColumn("line_no", F.col("_before") + F.col("_pos")).where(F.col("line_no") < F.col("_all"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_pos", "_part"))), lambda p: p["_part"]), "")
+    return parts.groupBy(*by, "line_no").agg(text.alias("line"))
 
 
 def sse_deltas(lines: DataFrame, line: str = "line", by: list[str] | None = None, order: str | None = None) -> DataFrame:

@@ -123,6 +123,59 @@ def test_chat_turns(spark):
     assert turn("d", "o", "q", "not json")[0]["reason"] == "no_answer"
 
 
+def test_many_turns_are_each_like_one(spark, tmp_path):
+    """Requests that fail each check, both modes, history for the routing, and answers that can't be read."""
+    import collections
+
+    documents = spark.createDataFrame([("d", "o", "T", "ready", "all"), ("e", "o", "E", "failed", "x"), ("f", "o", "F", "ready", " "), ("g", "o", "G", "ready", "s"), ("h", "o", "H", "ready", "s")], "id string, owner string, title string, status string, summary string")
+    p = spark.createDataFrame([("d", 1, "alpha beta gamma"), ("d", 2, "delta epsilon"), ("h", 1, "other words here")], "document_id string, page_number int, extracted_text string")
+    chunks = providers.embedded(flows.page_chunks(p), width=16).withColumn("id", F.concat(F.col("document_id"), F.lit(":0")))
+    tables = {
+        "documents": documents,
+        "pages": p.withColumn("summary", F.concat(F.lit("on "), F.col("extracted_text"))),
+        "chunks": chunks,
+        "conversations": spark.createDataFrame([("c", "o", "d"), ("ch", "o", "h"), ("cg", "o", "g"), ("ce", "o", "e"), ("cf", "o", "f")], "id string, owner string, document_id string"),
+        "messages": spark.createDataFrame([("c", "user", "before", NOW)], "conversation_id string, role string, content string, created_at timestamp"),
+    }
+    replies = {
+        "what is delta": {"answer": " yes ", "citations": [{"sourceId": "S1", "quote": "gamma  delta"}, {"sourceId": "S1", "quote": "nope"}]},
+        "go on": {"answer": "both", "citations": [{"sourceId": "P2"}, {"sourceId": "P2"}, {"sourceId": "P9"}]},
+        "say other": {"answer": "it does", "citations": []},
+        "unread": None,
+    }
+    rows = [(i, *r) for i, r in enumerate([("d", "c", "o", "what is delta"), ("d", "c", "o", "go on"), ("d", "c", "x", "q"), ("d", "c", None, "q"), ("d", "c", "o", "  "), ("e", "ce", "o", "q"), ("f", "cf", "o", "q"), ("d", "ch", "o", "q"), ("g", "cg", "o", "q"), ("h", "ch", "o", "say other"), ("h", "ch", "o", "unread"), ("z", "c", "o", "q")])]
+    asked = spark.createDataFrame(rows, "turn_id long, document_id string, conversation_id string, owner string, question string")
+
+    def answer(prompts):
+        out = []
+        for t in prompts:
+            said = replies[t.rsplit("Question: ", 1)[1]]
+            out.append("not json" if said is None else json.dumps(said))
+        return out
+
+    def route(texts):
+        asked = [json.loads(t) for t in texts]
+        return [json.dumps({"standaloneQuery": "overview", "retrievalMode": "summaries"}) if t["question"] == "go on" and t["history"] == [{"role": "user", "content": "before"}] else "{}" for t in asked]
+
+    assistant = flows.Assistant("h", lambda texts: providers.hashed_embeddings(texts, 16).tolist(), "m", answer, "r", route)
+    out = flows.chat_turns(tables, asked, str(tmp_path), assistant, F.lit(NOW))
+    got = {r.turn_id: r for r in out["outcomes"].collect()}
+    cited, written = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out["citations"].orderBy("citation").collect():
+        cited[r.turn_id].append((r.source_id, r.quote, r.start_offset, r.page_number))
+    for r in out["messages"].collect():
+        written[r.conversation_id].append((r.created_at, r.role, r.content))
+    assert [(got[i].status, got[i].reason) for i in range(12)] == [(200, "ok"), (200, "ok"), (404, "not_found"), (401, "unauthorized"), (400, "missing_fields"), (400, "not_ready"), (400, "no_summary"), (404, "no_conversation"), (500, "no_chunks"), (200, "ok"), (502, "no_answer"), (404, "not_found")]
+    assert [(got[i].mode, got[i].answer) for i in (0, 1, 9)] == [("chunks", "yes"), ("summaries", "both"), ("chunks", "it does")]
+    assert cited == {0: [("S1", "gamma delta", 11, 1)], 1: [("P2", None, None, 2)]}
+    assert len(written["c"]) == 4 and [r[1:] for r in sorted(written["ch"])] == [("user", "say other"), ("assistant", "it does")]
+
+    for turn, (document, conversation, owner, question) in enumerate(r[1:] for r in rows):
+        one, _ = flows.chat_turn(tables, document, conversation, owner, question, lambda q: providers.hashed_embeddings([q], 16)[0].tolist(), lambda h, q: route([json.dumps({"history": [{"role": a, "content": b} for a, b in h], "question": q})])[0], lambda t: answer([t])[0], F.lit(NOW))
+        assert (one["status"], one["reason"], one.get("mode"), one.get("answer")) == (got[turn].status, got[turn].reason, got[turn].mode, got[turn].answer)
+        assert [(c["source_id"], c["page_number"]) for c in one.get("citations", [])] == [(c[0], c[3]) for c in cited[turn]]
+
+
 def test_payloads_are_read_back_in_order(spark, tmp_path):
     for name, text in (("b.json", "two"), ("a.json", "one"), ("c.txt", "no")):
         (tmp_path / name).write_text(json.dumps({"text": text, "pages": []}, indent=2))

@@ -9,7 +9,7 @@ from pagewright.functions import providers
 from pagewright.functions import text as T
 from pagewright.operators import chunking, grounding, lifecycle, pages, records, retrieval, store
 from pagewright.plans import flows
-from pagewright.streaming.answers import AnswerExtractor, LineFramer
+from pagewright.streaming.answers import AnswerExtractor, framed
 
 
 def one(spark, expr):
@@ -112,9 +112,10 @@ def test_extractor_does_not_depend_on_cuts(cuts):
     assert "".join(x.feed(ANSWER[i:j]) for i, j in zip(at, at[1:])) == 'a "q" \n u00e9 \\ end'
 
 
-def test_framer():
-    f = LineFramer()
-    assert [f.feed(p) for p in ("a\nb", "c\n", "", "d")] == [["a"], ["bc"], [], []] and f.rest == "d"
+def test_framer(spark):
+    rows = [(1, 3, "d"), (1, 0, "a\nb"), (1, 1, "c\n"), (1, 2, None), (2, 0, "x"), (2, 1, "\n\ny\n"), (3, 0, "no end")]
+    got = framed(spark.createDataFrame(rows, "s long, n long, piece string"), ["s"], "n").collect()
+    assert sorted((r.s, r.line_no, r.line) for r in got) == [(1, 0, "a"), (1, 1, "bc"), (2, 0, "x"), (2, 1, ""), (2, 2, "y")]
 
 
 def test_fusion(spark):
@@ -132,7 +133,7 @@ def test_lexical_without_terms(spark):
     assert retrieval.lexical_top_k(t, " ?! ").count() == 0
 
 
-def test_store(spark, tmp_path):
+def test_store(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "z")], "id long, name string, note string")
     assert [r.name for r in store.multi_get(df, [3, 9, 1, 3]).collect()] == ["c", "a", "c"]
     change = spark.createDataFrame([(2, "B", None)], "id long, name string, note string")
@@ -140,11 +141,6 @@ def test_store(spark, tmp_path):
     assert store.deleted(df, df.where("id < 3"), guard=F.col("name") == "a").count() == 2
     with pytest.raises(Exception, match="no parent"):
         store.append_checked(df, spark.createDataFrame([(7, "m")], "id long, m string"), "id").collect()
-    path = str(tmp_path / "t")
-    doc = lambda i, t: spark.createDataFrame([(i, t)], "document_id long, text string")
-    for i, t in ((1, "old"), (2, "two"), (1, "new"), (1, "new")):
-        store.publish(doc(i, t), path, buckets=1)
-    assert sorted((r.document_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "two")]
 
 
 def test_records(spark):
