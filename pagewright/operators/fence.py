@@ -135,36 +135,35 @@ def effects(kind: np.ndarray, attempt: np.ndarray, size: np.ndarray) -> list[Eff
     return out
 
 
+def _rows(part: int, keys: pa.Array, found: list[Effect]) -> pa.RecordBatch:
+    first = [apply(e, 0, 0) for e in found]
+    lists = [pa.array([x.tolist() for x in column], pa.list_(pa.int64())) for column in zip(*found)]
+    ends = [pa.array(column, t) for column, t in zip(zip(*first), (pa.int32(), pa.int64(), pa.int64()))]
+    names = ["key", "part", "cuts", "to", "counted", "status", "attempt", "applied"]
+    return pa.RecordBatch.from_arrays([keys, pa.array([part] * len(keys), pa.int32()), *lists, *ends], names=names)
+
+
 def _pieces(batches):
     """Rows (part, key, kind, attempt) in order to one row for each key: its effect in this task, and what it makes of the first
     state."""
-    now: list = []  # the key that a batch ended with, and its effect
-
-    def rows(found: list) -> pa.RecordBatch:
-        first = [apply(e, 0, 0) for *_, e in found]
-        cols = [[f[0] for f in found], [f[1] for f in found], [e.cuts.tolist() for *_, e in found], [e.to.tolist() for *_, e in found], [e.counted.tolist() for *_, e in found], *zip(*first)]
-        kinds = [kind_of[0], pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "part", "cuts", "to", "counted", "status", "attempt", "applied"])
-
-    kind_of: list = []
+    last = None  # the key that a batch ended with, and its effect so far
+    part = 0
     for b in batches:
         if not len(b):
             continue
-        kind_of[:] = [b.schema.field("key").type]
-        key = pc.run_end_encode(b.column("key"))
-        ends = key.run_ends.to_numpy()
-        got = effects(b.column("kind").to_numpy().astype(np.int64), b.column("attempt").to_numpy(), np.diff(np.r_[0, ends]))
         part = b.column("part")[0].as_py()
-        found = [[k, part, e] for k, e in zip(key.values.to_pylist(), got)]
-        if now and now[0][0] == found[0][0]:
-            found[0][2] = compose(now[0][2], found[0][2])
-        else:
-            found = now + found
-        now = found[-1:]
+        runs = pc.run_end_encode(b.column("key"))
+        size = np.diff(np.r_[0, runs.run_ends.to_numpy()])
+        keys, found = runs.values, effects(b.column("kind").to_numpy().astype(np.int64), b.column("attempt").to_numpy(), size)
+        if last and last[0].equals(keys.slice(0, 1)):
+            found[0] = compose(last[1], found[0])
+        elif last:
+            yield _rows(part, last[0], [last[1]])
         if len(found) > 1:
-            yield rows(found[:-1])
-    if now:
-        yield rows(now)
+            yield _rows(part, keys.slice(0, len(keys) - 1), found[:-1])
+        last = keys.slice(len(keys) - 1), found[-1]
+    if last:
+        yield _rows(part, last[0], [last[1]])
 
 
 def fence(events: DataFrame, key: str, order: str, kind: str, attempt: str) -> DataFrame:
