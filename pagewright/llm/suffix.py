@@ -36,7 +36,7 @@ REACH = BACK + WIDTH
 HALF = BACK // 2
 SHALLOW, SMALL = 40, 64  # bytes; groups of SMALL rows are sorted at once
 SPLIT = 1 << 16
-GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 12 << 20, 12 << 20, 1 << 18, 1 << 14
+GROUP_BYTES, BUCKET_BYTES, RUN_BYTES, TASKS = 6 << 20, 12 << 20, 1 << 18, 1 << 14
 PART, TURN = 1 << 16, 6000  # contexts that are sorted together, and whose strings are; more, if one gram has more
 _U, _W = np.uint64, np.uint32
 _BYTE32 = (seeds(11, 256) >> _U(16)).astype(_W)
