@@ -701,7 +701,8 @@ def test_very_long_texts(spark, long_rows):
     got = {r.doc_id: r for r in minhash.near_duplicates(long_rows).collect()}
     assert got[101].component_id == 100 and got[100].n_shingles == len(shingles(LONG)) and got[103].n_shingles == 0
     cuts = {r.doc_id: r for r in suffix.repeated_strings(long_rows).collect()}
-    assert cuts[100].n_removed == 0 and cuts[101].n_removed == len(LONG) and cuts[102].n_bytes == 1_200_000
+    # the words repeat within the text, so its last ones stand before a space there as well
+    assert cuts[100].n_removed == 0 and cuts[101].n_removed == len(LONG) + 1 and cuts[102].n_bytes == 1_200_000
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (*range(40), 100, 101, 102, 103)], "doc_id long, quality int, toxic int")
     for out in (quality.scored(long_rows, labels), toxicity.scored(long_rows, labels)):
         assert {r.doc_id for r in out.collect()} == set(rows) and out.where("score < 0 or score > 1 or score is null").count() == 0
