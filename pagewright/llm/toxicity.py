@@ -193,6 +193,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
                 break
             last = r.h
         got = rows.where(F.col("h") <= (last or 0)).drop("h").toArrow().to_pydict() if last is not None else {"y": [], "x": [], "twin": []}
+    out = _fitted(got)
+    del got
+    trim()  # the sample's rows: the driver keeps none of them
+    return out
+
+
+def _fitted(got: dict) -> tuple[np.ndarray, float]:
     order = sorted(range(len(got["y"])), key=lambda i: (got["x"][i], got["y"][i]))
     return fit(np.array([got["y"][i] for i in order]), [got["x"][i] for i in order], [got["twin"][i] for i in order])
 
