@@ -109,9 +109,10 @@ class VectorIndex(Segmented):
         segment = f"segments/{uuid.uuid4().hex}"
         to = self.files.full(f"{segment}/vectors")
         self._listed(usable, centroids).hint("rebalance", "list").sortWithinPartitions("list", "key").write.partitionBy("list").parquet(to)
-        stored = self._table(f"{segment}/vectors") if self.files.exists(f"{segment}/vectors/_SUCCESS") and any(n.startswith("list=") for n, _ in self.files.names(f"{segment}/vectors")) else None
-        if stored is None:
-            return self.log.latest()[0]
+        if not any(n.startswith("list=") for n, _ in self.files.names(f"{segment}/vectors")):  # nothing to be indexed
+            self.files.delete(segment)
+            return self._commit(vectors.select("id"), None)
+        stored = self._table(f"{segment}/vectors")
         homes = stored.where("not copy")
         homes.select("id").write.parquet(self.files.full(f"{segment}/members"))
         radius = {str(r["list"]): r.a for r in homes.groupBy("list").agg(F.max("angle").alias("a")).collect()}  # LISTS rows
