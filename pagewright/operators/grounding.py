@@ -25,7 +25,10 @@ def parse_answer(content: Column, quotes: bool = True) -> Column:
     return F.when(ok, F.struct(F.try_variant_get(v, "$.answer", "string").alias("answer"), cites.alias("citations")))
 
 
-_ANSWER = r'"answer"\s*:\s*"((?:\\[\s\S]|[^"\\])*)'
+# possessive loops: Java's engine walks them, while it calls itself for every turn of a loop over alternatives, and a text of some
+# thousands of characters takes the whole stack and the executor with it
+_ANSWER = r'"answer"\s*:\s*"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)'
+_CLOSED = r'"answer"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
 def decode_escapes(raw: Column) -> Column:
@@ -52,10 +55,9 @@ def shown_content(content: Column) -> Column:
     t = trim(content)
     v = F.try_parse_json(t)
     answer = F.when(kind(v, "$.answer") == "STRING", F.nullif(trim(F.try_variant_get(v, "$.answer", "string")), F.lit("")))
-    closed = r'"answer"\s*:\s*"((?:\\.|[^"\\])*)"'
-    inner = F.regexp_extract(t, closed, 1)
+    inner = F.regexp_extract(t, _CLOSED, 1)
     as_json = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), inner, F.lit('"'))), "$", "string")
-    return F.coalesce(answer, F.when(t.rlike(closed), F.coalesce(as_json, decode_escapes(inner))), t)
+    return F.coalesce(answer, F.when(t.rlike(_CLOSED), F.coalesce(as_json, decode_escapes(inner))), t)
 
 
 def validated_citations(raw: DataFrame, chunks: DataFrame, by: list[str] | None = None, most: int = MAX_CITATIONS) -> DataFrame:

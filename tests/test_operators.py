@@ -102,6 +102,13 @@ def test_shown_content(spark):
     assert f(" plain ") == "plain"
 
 
+def test_long_answers_take_no_stack(spark):
+    body = F.repeat(F.lit('ab \\" c'), 40_000)  # 280,000 characters, a loop's turn for most of them
+    cut = F.concat(F.lit('x {"answer":"'), body)
+    got = spark.range(1).select(F.length(grounding.tolerant_answer(cut)).alias("a"), F.length(grounding.shown_content(F.concat(cut, F.lit('", ')))).alias("b")).first()
+    assert (got.a, got.b) == (240_000, 240_000)
+
+
 ANSWER = '{"answer":"a \\"q\\" \\n \\u00e9 \\\\ end","citations":[]}'
 
 
