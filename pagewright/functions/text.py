@@ -10,14 +10,15 @@ from ..constants import EMPTY_PAGE_SUMMARY, MAX_TERMS, SNIPPET_MARGIN, STOP_WORD
 
 WS_CHARS = r"\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 WS, NOT_WS = f"[{WS_CHARS}]", f"[^{WS_CHARS}]"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # WS, one by one
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.array_join(tokens(c), " ")
 
 
 def is_blank(c: Column) -> Column:
@@ -30,11 +31,13 @@ def normalize_summary(c: Column, fallback: str = EMPTY_PAGE_SUMMARY) -> Column:
 
 def normalize_extracted(c: Column) -> Column:
     """Without NUL characters, trimmed."""
-    return trim(F.regexp_replace(c, r"\x00", ""))
+    return trim(F.replace(c, F.lit("\x00"), F.lit("")))
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({NOT_WS}+)"), F.lit(1))
+    """Words between whitespace. Spaces are made alike and cut at: a class of so many ranges costs a regular expression several
+    times as much."""
+    return F.array_remove(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), "")
 
 
 def keyword_terms(c: Column) -> Column:
@@ -72,15 +75,11 @@ def leading_integer(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, rf"^{WS}*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
 
 
-def anchored_text(text: Column, segments: Column) -> Column:
-    """Half-open slices of a text, end to end. Indices may be text, empty or missing (0); a slice whose end lies before its
-    start is empty; negative indices count as 0."""
-    def one(s: Column) -> Column:
-        a = F.greatest(leading_integer(s["startIndex"]), F.lit(0))
-        b = F.greatest(leading_integer(s["endIndex"]), F.lit(0))
-        return F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
-
-    return F.coalesce(F.array_join(F.transform(segments, one), ""), F.lit(""))
+def anchor_places(segments: Column) -> Column:
+    """Begin and end of half-open slices of a text, one after the other. Indices may be text, empty or missing (0); a slice whose
+    end lies before its start is empty; negative indices count as 0."""
+    at = lambda s, name: F.greatest(leading_integer(s[name]), F.lit(0))
+    return F.coalesce(F.flatten(F.transform(segments, lambda s: F.array(at(s, "startIndex"), at(s, "endIndex")))), F.array().cast("array<int>"))
 
 
 def locate(needle: Column, hay: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_WORDS
-from ..functions.text import NOT_WS, normalize_extracted, tokens
+from ..functions.text import WS_CHARS, normalize_whitespace, tokens
 
+WORDED = rf"[^{WS_CHARS}\x00]"
 NO_TEXT = "[No extractable text found in this PDF.]"  # fixed value
 
 
@@ -34,21 +35,25 @@ def page_pieces(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_
     """document_id, chunk_index, page_number, piece, n_words, start_offset, end_offset: what each chunk holds of each page.
 
     A document's words in page order are one stream; a page's place in it is the sum of the words before it. Offsets count code
-    points of the chunk's text, with one space between words. Pages come together by document once, as words; nothing
-    holds a document as a whole.
+    points of the chunk's text, with one space between words. Pages come together by document once, as texts of words with one
+    space between them; nothing holds a document as a whole. Whether a page has words is asked of its first one, so that no page
+    is cut into words twice.
     """
     step = size - overlap
-    words = tokens(normalize_extracted(F.coalesce("extracted_text", F.lit(""))))
-    page = pages.select("document_id", "page_number", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    words = normalize_whitespace(F.replace("extracted_text", F.lit("\x00"), F.lit("")))
+    page = pages.where(F.col("extracted_text").rlike(WORDED)).select("document_id", "page_number", words.alias("t"))
+    page = page.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     whole = Window.partitionBy("document_id")
     upto = whole.orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     page = page.withColumn("at", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("int")).withColumn("chunks", chunk_count(F.sum("n").over(whole), size, overlap))
     low = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / step)).cast("int")
     high = F.least(F.col("chunks") - 1, F.floor((F.col("at") + F.col("n") - 1) / step)).cast("int")
-    page = page.select("document_id", "page_number", "w", "n", "at", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).alias("chunk_index"))
+    page = page.select("document_id", "page_number", "t", "n", "at", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))).alias("chunk_index"))
     first = F.greatest(F.col("chunk_index") * step - F.col("at"), F.lit(0))
     last = F.least(F.col("chunk_index") * step + size - F.col("at"), F.col("n"))
-    piece = page.where(first < last).select("document_id", "chunk_index", "page_number", F.array_join(F.slice("w", first + 1, last - first), " ").alias("piece"), (last - first).alias("n_words"))
+    cut = F.array_join(F.slice(F.split("t", " "), first + 1, last - first), " ")
+    part = F.when((first == 0) & (last == F.col("n")), F.col("t")).otherwise(cut)
+    piece = page.where(first < last).select("document_id", "chunk_index", "page_number", part.alias("piece"), (last - first).alias("n_words"))
     before = Window.partitionBy("document_id", "chunk_index").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)).cast("int")
     return piece.withColumn("start_offset", start).withColumn("end_offset", (F.col("start_offset") + F.length("piece")).cast("int"))
@@ -73,7 +78,7 @@ def page_chunks(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_
         "token_count",
         spans.alias("page_spans"),
     )
-    wordless = ~F.bool_or(normalize_extracted(F.coalesce("extracted_text", F.lit(""))).rlike(NOT_WS))
+    wordless = ~F.bool_or(F.coalesce(F.col("extracted_text").rlike(WORDED), F.lit(False)))
     empty = pages.groupBy("document_id").agg(F.min("page_number").cast("int").alias("first"), F.max("page_number").cast("int").alias("last"), wordless.alias("wordless")).where("wordless")
     span = F.array(F.struct(F.col("first").alias("page_number"), F.lit(0).alias("start_offset"), F.lit(len(NO_TEXT)).alias("end_offset")))
     said = empty.select("document_id", F.lit(0).alias("chunk_index"), F.col("first").alias("start_page_number"), F.col("last").alias("end_page_number"), F.lit(NO_TEXT).alias("text"), F.lit(len(NO_TEXT.split())).alias("token_count"), span.alias("page_spans"))

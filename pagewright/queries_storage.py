@@ -15,7 +15,7 @@ from .functions import providers
 from .functions import text as T
 from .operators import chunking, records, retrieval, store
 from .plans import flows
-from .queries import _CHUNKS, _WANTED, LINES, QUERY, SQL, STATUS, WS, _vector, _vectors, docs, lines, texts, wordy
+from .queries import _CHUNKS, _WANTED, LINES, QUERY, SQL, STATUS, WS, _vector, _vectors, docs, lines, running, texts, wordy
 from .registry import query
 from .sources.tables import parquet
 from .storage.feed import Feed
@@ -202,8 +202,8 @@ def ingested_documents(s, d):
     at = place(s, "ingested")
     t = docs(s, d).select(F.col("doc_id").alias("document_id"), F.split("text", "\n").alias("w"))
     each = t.select("document_id", F.lit(0).alias("shard_index"), F.array_join("w", "").alias("text"), F.col("w"))
-    ends = F.aggregate("w", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    segment = lambda i: F.struct(F.get("ends", i).cast("string").alias("startIndex"), F.get("ends", i + 1).cast("string").alias("endIndex"))
+    ends = running(F.transform("w", F.length))
+    segment = lambda i: F.struct(F.when(i > 0, F.get("ends", i - 1)).cast("string").alias("startIndex"), F.get("ends", i).cast("string").alias("endIndex"))
     page = lambda x, i: F.struct((i + 1).cast("int").alias("pageNumber"), F.struct(F.struct(F.array(segment(i)).alias("textSegments")).alias("textAnchor")).alias("layout"))
     shards = each.withColumn("ends", ends).select("document_id", "shard_index", "text", F.transform("w", page).alias("pages"))
     expected = t.select("document_id", F.size("w").alias("page_count"))

@@ -177,3 +177,37 @@ def test_ingest_and_retrieve(spark):
     texts = out["chunks"].selectExpr("0L as id", "text")
     best = flows.retrieve(texts, out["chunks"].selectExpr("0L as id", "embedding"), "grain prices", providers.hashed_embeddings(["grain prices"], 32)[0]).first()
     assert best.source_id == "S1" and best.hybrid_score > 0.1
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whitespace(spark):
+    t = lambda f, s: one(spark, f(F.lit(s)))
+    every = T.SPACES
+    assert t(T.tokens, f"{every}a{every}b c\x85d") == ["a", "b", "c\x85d"] and t(T.tokens, every) == []
+    assert t(T.trim, f"{every}a b{every}") == "a b" and t(T.trim, "a \x85") == "a \x85"  # no line's end stands before the text's
+    assert t(T.normalize_whitespace, f" a{every}b ") == "a b" and t(T.normalize_extracted, " \x00a\x00b \x00") == "ab"
+
+
+def test_pages_are_cut_into_words_once(spark):
+    p = spark.createDataFrame([(1, 2, "c\x00d \u3000e"), (1, 1, " a b"), (1, 3, " \x00 "), (2, 1, None)], "document_id long, page_number int, extracted_text string")
+    plan = optimized(chunking.page_pieces(p))
+    assert plan.count("translate(") == 1 and "regexp_" not in plan
+    got = {r.document_id: r for r in chunking.page_chunks(p, 3, 1).where("chunk_index = 0").collect()}
+    assert got[1].text == "a b cd" and [tuple(s) for s in got[1].page_spans] == [(1, 0, 3), (2, 4, 6)] and got[2].text == chunking.NO_TEXT
+
+
+def test_shards_are_read_once(spark):
+    page = lambda n, *at: (n, (([{"startIndex": a, "endIndex": b} for a, b in at],),))
+    rows = [("d", 0, "\U0001f600bcdef", [page(7, ("1", "3px")), page(None, (None, "2"), ("4", "9")), page(0, ("5", "2"), ("-3", "1"))]), ("d", 1, " whole ", None), ("d", 2, "  ", []), ("d", 3, None, [page(2)])]
+    shards = spark.createDataFrame(rows, f"document_id string, shard_index int, {pages.SHARD_SCHEMA}")
+    out = pages.shard_pages(shards)
+    assert optimized(out).count("LogicalRDD") == 1
+    got = sorted((tuple(r.ord), r.page_number, r.extracted_text) for r in out.collect())
+    assert got == [((0, 0), 7, "bc"), ((0, 1), 2, "\U0001f600bef"), ((0, 2), 3, "\U0001f600"), ((1, 0), 1, "whole"), ((3, 0), 2, "")]
+    want = spark.createDataFrame([("d", 2), ("e", 1), ("f", 0), ("g", None)], "document_id string, page_count int")
+    full = pages.dense(out.select("document_id", "page_number", "extracted_text").where("page_number in (2, 7) and ord.shard_index < 3"), want)
+    assert optimized(full).count("LogicalRDD") == 2
+    assert sorted(map(tuple, full.collect())) == [("d", n, {2: "\U0001f600bef", 7: "bc"}.get(n, "")) for n in range(1, 8)] + [("e", 1, "")]
