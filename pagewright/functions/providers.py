@@ -23,11 +23,12 @@ def hashed_embeddings(texts: list[str], width: int = EMBEDDING_WIDTH) -> np.ndar
     """One row for each text: its words (lower-cased) counted in places told by the first 32 bits of their MD5, with a sign by the
     first of them, and scaled to length 1."""
     words = [[w for w in _SPACES.split(t.lower()) if w] for t in texts]
+    known: dict[str, int] = {}
+    at = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64)
+    h = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in known), np.int64, len(known))[at]
     row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    known, place = np.unique(np.array([w for ws in words for w in ws], dtype=object), return_inverse=True)
-    h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in known], np.int64)[place] if len(known) else np.zeros(0, np.int64)
-    out = np.zeros((len(texts), width))
-    np.add.at(out, (row, h % width), np.where(h >> 31, 1.0, -1.0))
+    counts = np.bincount(row * width + h % width, np.where(h >> 31, 1.0, -1.0), len(texts) * width)  # whole numbers: exact
+    out = counts.reshape(len(texts), width)
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(n == 0, 1, n)
 
