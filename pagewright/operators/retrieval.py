@@ -110,19 +110,20 @@ def retrieve_many(questions: DataFrame, chunks: DataFrame, k: int = FINAL_LIMIT)
     """(question_id, source_id, final_rank, hybrid_score, id) for many questions (question_id, document_id, query, vector), each
     about the chunks (document_id, id, text, embedding) of its document: what retrieve gives for one.
 
-    All questions share one pass over the texts. Terms are counted inside each chunk, so what is dealt by (document, term) is
-    one row for each term of a chunk; a hot document's rows are spread over its terms. Scores are numbers by question and
-    chunk, and texts are read again for the candidates only, 24 of a question.
+    A chunk's text goes once to the terms that its document is asked for, and only those stay of it, with its length; from there
+    on rows are numbers by question and chunk. Texts are read again for the candidates only, 24 of a question. What follows the
+    join is dealt anew, so that Spark can split a document with very many chunks.
     """
-    words = chunks.select("document_id", "id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    stats = words.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select("document_id", "id", "dl", F.explode("w").alias("term")).groupBy("document_id", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = questions.select("question_id", "document_id", F.explode(F.array_distinct(terms(lexical_query(F.col("query"))))).alias("term"))
-    holds = tf.join(asked.select("document_id", "term").distinct(), ["document_id", "term"], "left_semi")
-    df = holds.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    met = asked.join(holds, ["document_id", "term"]).join(df, ["document_id", "term"]).join(stats, "document_id")
+    wanted = questions.select("document_id").distinct().join(asked.groupBy("document_id").agg(F.collect_set("term").alias("wanted")), "document_id", "left")
+    words = chunks.select("document_id", "id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(wanted, "document_id").withColumn("w", terms(F.col("text")))
+    met = F.array_intersect("w", F.coalesce("wanted", F.array().cast("array<string>")))
+    held = words.select("document_id", "id", F.size("w").alias("dl"), F.transform(met, lambda t: F.struct(t.alias("term"), (F.size("w") - F.size(F.array_remove("w", t))).alias("tf"))).alias("met")).repartition("document_id")
+    whole, same = Window.partitionBy("document_id"), Window.partitionBy("document_id", "term")
+    tf = held.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("avgdl", F.avg("dl").over(whole)).select("document_id", "id", "dl", "n", "avgdl", F.inline("met"))
+    hits = asked.join(tf.withColumn("df", F.count(F.lit(1)).over(same)), ["document_id", "term"])
     part = bm25([F.col("tf")], [F.col("df")], F.col("dl"), F.col("n"), F.col("avgdl"))
-    lexical = met.groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    lexical = hits.groupBy("question_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
     v, q = F.col("embedding"), F.col("vector")
     size = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))

@@ -211,3 +211,11 @@ def test_shards_are_read_once(spark):
     full = pages.dense(out.select("document_id", "page_number", "extracted_text").where("page_number in (2, 7) and ord.shard_index < 3"), want)
     assert optimized(full).count("LogicalRDD") == 2
     assert sorted(map(tuple, full.collect())) == [("d", n, {2: "\U0001f600bef", 7: "bc"}.get(n, "")) for n in range(1, 8)] + [("e", 1, "")]
+
+
+def test_many_questions_explode_no_whole_text(spark):
+    c = spark.createDataFrame([(1, 10, "Grain grain prices", [1.0, 0.0]), (1, 11, "other words", [0.0, 1.0]), (2, 20, None, [1.0, 0.0])], "document_id long, id long, text string, embedding array<double>")
+    q = spark.createDataFrame([(1, 1, "grain prices?", [1.0, 0.0]), (2, 1, "the", [0.0, 1.0]), (3, 2, "grain", [1.0, 0.0])], "question_id long, document_id long, query string, vector array<double>")
+    out = retrieval.retrieve_many(q, c)
+    assert "Aggregate [document_id, id, dl, term" not in optimized(out).replace("#", " ") and "explode(regexp_extract_all(lower(text" not in optimized(out).replace("coalesce(text", "text")
+    assert sorted((r.question_id, r.final_rank, r.id) for r in out.collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 11), (2, 2, 10), (3, 1, 20)]
