@@ -115,7 +115,7 @@ class Table:
                 return base.version
             new = change(None if base.schema is None else self._rows(base, touched))
             schema = self._schema(base.schema, new.schema)
-            made = self._written(new, touched)
+            made = self._written(new, touched if base.schema else self._ahead(new))
             if before_commit:
                 before_commit()
             version = self._commit(base, touched, made, schema, applied)
@@ -133,6 +133,15 @@ class Table:
             out.setdefault(f.name, f)
         return StructType(list(out.values()))
 
+    def _ahead(self, new: DataFrame) -> list[Bucket]:
+        """The buckets of a new table: its keys are counted first, so that rows aren't written as one bucket, read and split."""
+        h = F.xxhash64(self.key)
+        r = new.agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("a"), F.max(h).alias("z")).first()
+        if r.n <= self.bucket_rows or r.a == r.z:
+            return [Bucket(0, 0)]
+        bits = min(SPLIT_BITS, math.ceil(math.log2(1.25 * r.n / self.bucket_rows)))  # no two are equally full
+        return [Bucket(bits, k) for k in range(1 << bits)]
+
     def _written(self, new: DataFrame, touched: list[Bucket]) -> list[Bucket]:
         placed = self._placed(new, touched)
         out_of_place = F.raise_error(F.lit("a row's key isn't one of those to be changed")).cast("int")

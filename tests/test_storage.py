@@ -497,3 +497,10 @@ def test_each_text_is_asked_for_once(spark, tmp_path):
     assert all(r.answer == [1.0, 2.0] for r in more.where("text is not null").collect())
     with pytest.raises(ProviderError, match="1 answers"):
         ledger.answered(df, F.col("text"), "short", lambda texts: texts[:1])
+
+
+def test_a_new_table_is_written_once(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"), bucket_rows=50)
+    t.publish(spark.range(1000).select(F.col("id").alias("document_id"), F.lit("x").alias("text")))
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 1  # rows were put into one bucket, read and split: two folders
+    assert sum(b.rows for b in t.snapshot().buckets) == 1000 and t.read().count() == 1000
