@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType, StringType
 
 from ..constants import LEXICAL_LIMIT
 from ..operators.retrieval import B, K1, bm25, ranked, terms
@@ -38,6 +40,12 @@ def _bound(idf: Column, tf: Column, dl: Column, avgdl: float) -> Column:
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+@F.udf(MapType(StringType(), IntegerType()), useArrow=True)
+def _counted(words: list[str]) -> dict[str, int]:
+    """How often each word occurs: a document's words are all in its row, so nothing is dealt for it."""
+    return Counter(words)
+
+
 class Index(Segmented):
     """Documents (id, text and, if the index has one, its key column) by their terms."""
 
@@ -61,16 +69,16 @@ class Index(Segmented):
             return self.log.latest()[0]
         segment = f"segments/{uuid.uuid4().hex}"
         words.select("key", "id", "dl").repartitionByRange("key", "id").sortWithinPartitions("key", "id").write.parquet(self.files.full(f"{segment}/members"))
-        tf = words.select("key", "id", "dl", F.explode("w").alias("term")).groupBy("key", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        tf = words.select("key", "id", "dl", F.explode(_counted("w")).alias("term", "tf")).select("key", "term", "id", "dl", "tf")
         return self._commit(docs.select("id"), self._stored(segment, tf, n))
 
     def _stored(self, segment: str, tf: DataFrame, n: int) -> dict:
-        """Write postings (key, term, id, dl, tf) as blocks, with their directory."""
+        """Write postings (key, term, id, dl, tf) as blocks, with their directory. Postings are dealt once, by the order in which
+        blocks are written: all of a block meet there."""
         at = F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK))).cast("int")
         posting = F.struct("id", "tf", "dl")
-        blocks = tf.withColumn("window", at).groupBy("key", "term", "window").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.collect_list(posting).alias("postings"))
-        blocks = blocks.repartitionByRange("key", "term", "window").sortWithinPartitions("key", "term", "window")
-        blocks.write.parquet(self.files.full(f"{segment}/postings"))
+        blocks = tf.withColumn("window", at).repartitionByRange("key", "term", "window").groupBy("key", "term", "window").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.collect_list(posting).alias("postings"))
+        blocks.sortWithinPartitions("key", "term", "window").write.parquet(self.files.full(f"{segment}/postings"))
         place = F.struct("key", "term")
         each = self._table(f"{segment}/postings").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
         each.coalesce(1).write.parquet(self.files.full(f"{segment}/directory"))  # a row for each file

@@ -504,3 +504,15 @@ def test_a_new_table_is_written_once(spark, tmp_path):
     t.publish(spark.range(1000).select(F.col("id").alias("document_id"), F.lit("x").alias("text")))
     assert len(list((tmp_path / "t" / "data").iterdir())) == 1  # rows were put into one bucket, read and split: two folders
     assert sum(b.rows for b in t.snapshot().buckets) == 1000 and t.read().count() == 1000
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    from pagewright.storage.postings import Index
+
+    seen, stored = [], Index._stored
+    monkeypatch.setattr(Index, "_stored", lambda self, segment, tf, n: (seen.append(tf), stored(self, segment, tf, n))[1])
+    index = Index(spark, str(tmp_path / "i"))
+    index.add(spark.createDataFrame([(1, "b a B c"), (2, None), (3, "a")], "id long, text string"))
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()  # tf took an exchange of all postings
+    rows = spark.read.parquet(*[str(p) for p in (tmp_path / "i" / "segments").glob("*/postings")]).select("term", F.inline("postings"))
+    assert sorted(map(tuple, rows.collect())) == [("a", 1, 1, 4), ("a", 3, 1, 1), ("b", 1, 2, 4), ("c", 1, 1, 4)]
