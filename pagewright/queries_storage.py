@@ -17,7 +17,7 @@ from .operators import chunking, records, retrieval, store
 from .plans import flows
 from .queries import _CHUNKS, _WANTED, LINES, QUERY, SQL, STATUS, WS, _vector, _vectors, docs, lines, running, texts, wordy
 from .registry import query
-from .sources.tables import parquet
+from .sources.tables import parquet, spread
 from .storage.feed import Feed
 from .storage.log import Files, shared_dir
 from .storage.postings import Index
@@ -174,12 +174,13 @@ UNION ALL SELECT conv_id, turn, 'done', coalesce(nullif({_TRIM}, ''), '{K.NO_ANS
 def wire_events(s, d):
     """Each turn as a structured answer that comes as bytes, in lines of nine characters, cut into pieces of thirteen bytes that
     arrive in the opposite order. Its tokens are put together again."""
-    c = parquet(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.to_json(F.struct(F.col("text").alias("answer"), F.array().cast("array<string>").alias("citations"))).alias("j"))
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.length("j") / 9) - 1), lambda i: F.substring(F.col("j"), (i * 9 + 1).cast("int"), F.lit(9)))
+    c = spread(parquet(s, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), F.to_json(F.struct(F.col("text").alias("answer"), F.array().cast("array<string>").alias("citations"))).alias("j"))
+    parts = F.regexp_extract_all("j", F.lit("(?s).{1,9}"), F.lit(0))
     said = F.transform(parts, lambda p: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n")))
     whole = F.encode(F.concat(F.array_join(said, ""), F.lit("data: [DONE]\n\n")), "UTF-8")
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("b") / 13) - 1), lambda i: F.substring(F.col("b"), (i * 13 + 1).cast("int"), F.lit(13)))
-    pieces = c.select("conv_id", whole.alias("b")).select("conv_id", F.posexplode(F.reverse(cut)).alias("n", "piece"), F.ceil(F.octet_length("b") / 13).alias("all"))
+    counted = c.select("conv_id", whole.alias("b")).select("conv_id", "b", F.ceil(F.octet_length("b") / 13).alias("all"))  # before, so that no piece carries them all
+    pieces = counted.select("conv_id", "all", F.posexplode(F.reverse(cut)).alias("n", "piece"))
     told = answer_events(pieces.select("conv_id", (F.col("all") - 1 - F.col("n")).alias("seq"), "piece", F.lit(None).cast("string").alias("error"), F.lit(False).alias("last")))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "")
     out = told.groupBy("conv_id", "type").agg(line.alias("payload"))

@@ -37,6 +37,9 @@ class AnswerExtractor:
                 self.buffer = rest[0] if rest else ""
                 return ""
             self.inside, text = True, text[field.end() :]
+        if '"' not in text and "\\" not in text:
+            self.buffer = ""
+            return text
         out, end = [], 0
         for token in _TOKEN.finditer(text):
             escaped, plain, quote = token.groups()

@@ -27,17 +27,14 @@ class Timers:
         self.due = handle.getMapState("timers", "name string", "at long")
 
     def set(self, name: str, at: int) -> None:
-        self.drop(name)
-        if not self._others(at):
+        due = self._due()
+        self._drop(due, name)
+        if at not in due.values():
             self.handle.registerTimer(at)
         self.due.updateValue((name,), (at,))
 
     def drop(self, name: str) -> None:
-        if self.due.containsKey((name,)):
-            at = self.due.getValue((name,))[0]
-            self.due.removeKey((name,))
-            if not self._others(at):
-                self.handle.deleteTimer(at)
+        self._drop(self._due(), name)
 
     def fired(self, at: int) -> list[str]:
         """The names that a timer at this time was set for, in the order of their times; they are taken away."""
@@ -46,5 +43,13 @@ class Timers:
             self.due.removeKey((name,))
         return [name for _, name in names]
 
-    def _others(self, at: int) -> bool:
-        return any(due == at for (due,) in self.due.values())
+    def _due(self) -> dict[str, int]:
+        """All at once: each question to the store is a way to another process."""
+        return {name: at for (name,), (at,) in self.due.iterator()}
+
+    def _drop(self, due: dict[str, int], name: str) -> None:
+        at = due.pop(name, None)
+        if at is not None:
+            self.due.removeKey((name,))
+            if at not in due.values():
+                self.handle.deleteTimer(at)

@@ -6,8 +6,9 @@ import codecs
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -52,33 +53,37 @@ class Wire(StatefulProcessor):
         self.early = handle.getMapState("early", "seq long", "piece binary, error string, last boolean")
         self.timers = Timers(handle)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = not self.state.exists()
-        seq, tail, line, buffer, inside, closed, raw, over, n = _NEW if fresh else self.state.get()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = self.state.get()
+        fresh = was is None
+        seq, tail, line, buffer, inside, closed, raw, over, n = _NEW if fresh else was
         known = {}
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                if r.seq >= seq:
-                    known.setdefault(int(r.seq), (bytes(r.piece or b""), r.error, bool(r.last)))
+        for r in rows:
+            at = 0
+            for s, size in zip(r.seqs, r.sizes):
+                if s is not None and s >= seq:
+                    known.setdefault(s, (r.joined[at : at + size], r.error, r.last))
+                at += size
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         decoder.setstate((bytes(tail), 0))
         extractor, out = AnswerExtractor(buffer, inside, closed), []
         if fresh:
             out.append(("meta", json.dumps({"conversationId": str(key[0])})))
-        while not over:
-            if seq in known:
-                piece, error, last = known.pop(seq)
-            elif self.early.containsKey((seq,)):
-                piece, error, last = self.early.getValue((seq,))
-                self.early.removeKey((seq,))
-            else:
-                break
-            seq += 1
-            if error is not None:
-                out.append(("error", error))
-                over = True
-                break
-            *lines, line = (line + decoder.decode(bytes(piece), last)).split("\n")
+        if not over:
+            ready, error, last = [], None, False
+            while error is None and not last:
+                if seq in known:
+                    piece, error, last = known.pop(seq)
+                elif not fresh and self.early.containsKey((seq,)):
+                    piece, error, last = self.early.getValue((seq,))
+                    self.early.removeKey((seq,))
+                else:
+                    break
+                seq += 1
+                if error is None:
+                    ready.append(bytes(piece))
+            last = last and error is None
+            *lines, line = (line + decoder.decode(b"".join(ready), last)).split("\n")
             for whole in lines:
                 said = delta(whole)
                 if said is None:
@@ -93,30 +98,43 @@ class Wire(StatefulProcessor):
                 if not extractor.closed:
                     out.append(("token", content))
                 out.append(("done", content))
-                over = True
+            elif error is not None:
+                out.append(("error", error))
+            over = last or error is not None
         if over:
             known, line, raw = {}, "", ""
-            self.early.clear()
+            if not fresh:
+                self.early.clear()
             extractor = AnswerExtractor(closed=True)
         for s, p in known.items():
             self.early.updateValue((s,), p)
         self.state.update((seq, decoder.getstate()[0], line, extractor.buffer, extractor.inside, extractor.closed, raw, over, n + len(out)))
         self.timers.set("silent", timerValues.getCurrentProcessingTimeInMs() + (CLOSED_MS if over else IDLE_MS))
-        yield self._out(key, n, out)
+        if out:
+            types, payloads = map(list, zip(*out))
+            yield Row(conv_id=key[0], first=n, types=types, payloads=payloads)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.timers.fired(expiredTimerInfo.getExpiryTimeInMs()):
             self.state.clear()
             self.early.clear()
-        yield self._out(key, 0, [])
-
-    def _out(self, key, n: int, rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], n + i, *r) for i, r in enumerate(rows)], columns=["conv_id", "seq", "type", "payload"])
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for those pieces of a batch that have a conversation, an error, and whether it's the last in common: their bytes joined
+    in the order of the batch. Pieces are small, and each row costs a stateful stream more than what is in it."""
+    for batch in batches:
+        piece = pc.fill_null(batch["piece"], b"")
+        t = pa.table({c: batch[c] for c in ("conv_id", "error", "last", "seq")} | {"size": pc.binary_length(piece).cast("int32"), "piece": piece})
+        found = t.group_by(["conv_id", "error", "last"], use_threads=False).aggregate([("seq", "list"), ("size", "list"), ("piece", "list")])
+        out = {"conv_id": found["conv_id"], "seqs": found["seq_list"], "sizes": found["size_list"], "joined": pc.binary_join(found["piece_list"], b"")}
+        yield from pa.table(out | {c: found[c] for c in ("error", "last")}).to_batches()
+
+
 def answer_events(pieces: DataFrame) -> DataFrame:
     """(conv_id, seq, type, payload) of a stream or table of pieces (conv_id, seq from 0, piece binary, error string, last boolean).
 
@@ -127,5 +145,9 @@ def answer_events(pieces: DataFrame) -> DataFrame:
     """
     stateful(pieces.sparkSession)
     rows = pieces.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("piece").cast("binary").alias("piece"), F.col("error").cast("string").alias("error"), F.coalesce("last", F.lit(False)).alias("last"))
-    schema = f"conv_id {type_of(pieces, 'conv_id')}, seq long, type string, payload string"
-    return rows.groupBy("conv_id").transformWithStateInPandas(Wire(), schema, "append", "ProcessingTime")
+    key = type_of(pieces, "conv_id")
+    rows = rows.mapInArrow(side_by_side, f"conv_id {key}, seqs array<long>, sizes array<int>, joined binary, error string, last boolean")
+    schema = f"conv_id {key}, first long, types array<string>, payloads array<string>"
+    told = rows.groupBy("conv_id").transformWithState(Wire(), schema, "append", "ProcessingTime")
+    each = told.select("conv_id", "first", F.posexplode(F.arrays_zip("types", "payloads")).alias("n", "e"))
+    return each.select("conv_id", (F.col("first") + F.col("n")).alias("seq"), F.col("e.types").alias("type"), F.col("e.payloads").alias("payload"))

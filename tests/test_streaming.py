@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -9,12 +10,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pagewright.operators import lifecycle, store
+from pagewright.queries import QUERIES
 from pagewright.streaming import wire
 from pagewright.streaming.answers import folded_answers, sse_deltas, streamed_answers
 from pagewright.streaming.cache import read_through
 from pagewright.streaming.lists import live_lists, replayed
 from pagewright.streaming.timers import supervised
 
+SMALL = "/root/testdata/sf0.001"
+
 
 class Source:
     """A folder that a stream reads, one batch after another, and a query over it that can be stopped and begun again."""
@@ -270,6 +274,29 @@ def test_wire_equals_the_batch_forms(spark):
     assert {r.conv_id: r.answer for r in folded_answers(deltas).collect()} == {c: "".join(p for _, t, p in e if t == "token") for c, e in told.items()}
 
 
+def test_pieces_come_to_a_conversation_side_by_side(spark):
+    """What is shuffled, and asked of the state, are rows of many pieces; pieces without bytes or place are read as before."""
+    answer = json.dumps({"answer": "a line of words " * 40, "citations": []})
+    rows = [(c, i, bytearray(p), None, False) for c in range(8) for i, p in enumerate(cut(sse(answer, 9), random.Random(c), 13))]
+    rows += [(9, 1, None, None, False), (9, None, bytearray(b"x"), None, False), (9, 0, bytearray(sse(answer, 9, done=False)), None, False), (9, 2, None, None, True)]
+    spark.sparkContext.setJobGroup("side by side", "")
+    try:
+        told = events_of(wire.answer_events(spark.createDataFrame(rows, PIECE).coalesce(1)).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [{t: p for _, t, p in told[c] if t == "done"} for c in (*range(8), 9)] == [{"done": json.loads(answer)["answer"].strip()}] * 9
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for j in tracker.getJobIdsForGroup("side by side") for i in tracker.getJobInfo(j).stageIds}
+    assert 0 < max(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages) < 50 < len(rows) / 20
+
+
+def test_no_piece_carries_its_whole_stream(spark):
+    """In wire_events; what a row is made from would else be copied for each of its pieces."""
+    plan = QUERIES["wire_events"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    (kept,) = re.findall(r"Generate posexplode\(reverse.*\), \[([^\]]*)\], false", plan)
+    assert sorted(re.findall(r"[a-z_]+(?=#)", kept)) == ["all", "conv_id"]
+
+
 @pytest.mark.parametrize("line, said", [("data: [DONE]", None), ("data:  [DONE] ", None), ("data: {}", ""), ("data: 7", ""), ("x", ""), ('data: {"choices":[{"delta":{"content":5}}]}', ""), ('data: {"choices":[{"delta":{"content":"a"}}]}\r', "a")])
 def test_lines(line, said):
     assert wire.delta(line) == said
