@@ -58,11 +58,11 @@ class Wire(StatefulProcessor):
         fresh = was is None
         seq, tail, line, buffer, inside, closed, raw, over, n = _NEW if fresh else was
         known = {}
-        for r in rows:
+        for _, seqs, sizes, joined, error, last in rows:
             at = 0
-            for s, size in zip(r.seqs, r.sizes):
+            for s, size in zip(seqs, sizes):
                 if s is not None and s >= seq:
-                    known.setdefault(s, (r.joined[at : at + size], r.error, r.last))
+                    known.setdefault(s, (joined[at : at + size], error, last))
                 at += size
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         decoder.setstate((bytes(tail), 0))
