@@ -11,10 +11,11 @@ from ..constants import EMPTY_PAGE_SUMMARY, MAX_TERMS, SNIPPET_MARGIN, STOP_WORD
 WS_CHARS = r"\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 WS, NOT_WS = f"[{WS_CHARS}]", f"[^{WS_CHARS}]"
 SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # WS, one by one
+SEPARATORS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"  # what trim() of DuckDB takes away: no line ends or tabs
 
 
-def trim(c: Column) -> Column:
-    return F.trim(c, F.lit(SPACES))
+def trim(c: Column, spaces: str = SPACES) -> Column:
+    return F.trim(c, F.lit(spaces))
 
 
 def normalize_whitespace(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MAX_CITATIONS
-from ..functions.text import fallback_route, locate, normalize_whitespace, page_label, snippet, trim
+from ..functions.text import SPACES, fallback_route, locate, normalize_whitespace, page_label, snippet, trim
 
 
 def kind(v: Column, path: str) -> Column:
@@ -44,10 +44,10 @@ def extract_answer(content: Column) -> Column:
     return F.when(content.rlike(_ANSWER), decode_escapes(F.regexp_extract(content, _ANSWER, 1)))
 
 
-def tolerant_answer(content: Column) -> Column:
-    """The answer of a structured answer, else what can be read of it; blank: null."""
+def tolerant_answer(content: Column, spaces: str = SPACES) -> Column:
+    """The answer of a structured answer, else what can be read of it, without spaces around it; blank: null."""
     parsed = parse_answer(content)
-    return F.nullif(trim(F.when(parsed.isNotNull(), parsed["answer"]).otherwise(extract_answer(content))), F.lit(""))
+    return F.nullif(trim(F.when(parsed.isNotNull(), parsed["answer"]).otherwise(extract_answer(content)), spaces), F.lit(""))
 
 
 def shown_content(content: Column) -> Column:
