@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_OVERLAP, CHUNK_WORDS
-from ..functions.text import WS_CHARS, normalize_whitespace, tokens
+from ..functions.text import NOT_WS, WS_CHARS, normalize_whitespace, tokens
 
 WORDED = rf"[^{WS_CHARS}\x00]"
 NO_TEXT = "[No extractable text found in this PDF.]"  # fixed value
@@ -31,17 +31,17 @@ def text_chunks(docs: DataFrame, key: str = "document_id", text: str = "text", s
     return cut.select(key, "chunk_index", F.array_join("w", " ").alias("text"), F.size("w").alias("token_count"))
 
 
-def page_pieces(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def page_pieces(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, drop: str = "\x00") -> DataFrame:
     """document_id, chunk_index, page_number, piece, n_words, start_offset, end_offset: what each chunk holds of each page.
 
     A document's words in page order are one stream; a page's place in it is the sum of the words before it. Offsets count code
     points of the chunk's text, with one space between words. Pages come together by document once, as texts of words with one
     space between them; nothing holds a document as a whole. Whether a page has words is asked of its first one, so that no page
-    is cut into words twice.
+    is cut into words twice. ``drop`` (NUL) is no part of a word; "" keeps it.
     """
     step = size - overlap
-    words = normalize_whitespace(F.replace("extracted_text", F.lit("\x00"), F.lit("")))
-    page = pages.where(F.col("extracted_text").rlike(WORDED)).select("document_id", "page_number", words.alias("t"))
+    words = normalize_whitespace(F.replace("extracted_text", F.lit(drop), F.lit("")) if drop else F.col("extracted_text"))
+    page = pages.where(F.col("extracted_text").rlike(WORDED if drop else NOT_WS)).select("document_id", "page_number", words.alias("t"))
     page = page.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     whole = Window.partitionBy("document_id")
     upto = whole.orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
