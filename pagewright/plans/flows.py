@@ -17,10 +17,13 @@ from ..operators import browse, grounding, lifecycle, retrieval, store
 from ..operators.chunking import page_chunks
 from ..operators.pages import extract_pages, with_summaries
 from ..storage.ledger import Ledger
+from ..storage.log import release
 from ..storage.postings import Index
 from ..storage.snapshots import Table
 from ..storage.vectors import VectorIndex
 
+SENT = 1 << 21  # documents whose ids go to all tasks, so that no text is dealt to leave out other documents'
+
 
 def query_terms(query: str) -> list[str]:
     """keyword_terms of a parameter."""
@@ -50,20 +53,26 @@ def ingested(shards: DataFrame, expected: DataFrame, publish_to: str, models: Mo
 
     Every step reads what the step before has committed, so shards are read once, and providers are asked through a ledger
     (summaries in batches of ten, vectors in batches of 64): neither another output nor another attempt asks for a text
-    again. Blank pages aren't sent to a provider. A vector count or width that doesn't fit is an error.
+    again. Blank pages aren't sent to a provider. A vector count or width that doesn't fit is an error. Shuffles of a step go
+    before the next one begins.
     """
     spark = shards.sparkSession
     ledger = Ledger(spark, f"{publish_to}/ledger")
     tables = {n: Table(spark, f"{publish_to}/{n}") for n in ("extracted", "pages", "chunks")}
-    mine = lambda name: tables[name].read().join(documents, "document_id", "left_semi")
+    own = documents.select("document_id").distinct()
+    own = F.broadcast(own) if own.count() <= SENT else own
+    mine = lambda name: tables[name].read().join(own, "document_id", "left_semi")
     tables["extracted"].publish(extract_pages(shards, expected), documents=documents)
+    release(spark)
     text = F.when(~is_blank(F.col("extracted_text")), F.col("extracted_text"))
     said = ledger.answered(mine("extracted"), text, models.summary_model, models.summarise, batch=SUMMARY_BATCH, to="summary")
     summary = F.when(text.isNull(), F.lit(EMPTY_PAGE_SUMMARY)).otherwise(normalize_summary(F.col("summary"), EMPTY_PAGE_SUMMARY))
     tables["pages"].publish(said.withColumn("summary", summary), documents=documents)
+    release(spark)
     chunks = page_chunks(mine("pages"))
     widths = ledger.answered(chunks, embedding_input(F.col("text"), F.col("chunk_index")), models.embedding_model, models.embed, "array<double>", EMBEDDING_BATCH, "embedding")
     tables["chunks"].publish(widths, documents=documents)
+    release(spark)
     return {"pages": mine("pages"), "chunks": mine("chunks"), "documents": document_summaries(mine("pages"))}
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .log import Files
+from .log import Files, release
 from .snapshots import Table
 
 
@@ -66,6 +66,7 @@ class Ledger:
                     yield pd.DataFrame({"digest": some["digest"], "answer": pd.Series(answers, index=some.index, dtype=object), "error": error})
 
         missing.mapInPandas(ask, f"digest string, answer {kind}, error string").write.parquet(self.files.full(calls))
+        release(self.spark)
         try:
             said = self.spark.read.schema(f"digest string, answer {kind}, error string").parquet(self.files.full(calls))
             good = said.where("error is null").select("digest", "answer")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import store
-from .log import Files, Log
+from .log import Files, Log, release
 
 BROADCAST = 1 << 16  # buckets
 SPLIT_BITS = 12  # by which a bucket is split at once, at most
@@ -139,6 +139,7 @@ class Table:
         r = new.agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("a"), F.max(h).alias("z")).first()
         if r.n <= self.bucket_rows or r.a == r.z:
             return [Bucket(0, 0)]
+        release(self.spark)  # what was dealt to count is dealt again to write
         bits = min(SPLIT_BITS, math.ceil(math.log2(1.25 * r.n / self.bucket_rows)))  # no two are equally full
         return [Bucket(bits, k) for k in range(1 << bits)]
 
@@ -167,7 +168,7 @@ class Table:
         """Write rows by _b; (rows, whether they have more than one key) for each, and the folder."""
         folder = f"data/{uuid.uuid4().hex}"
         to = self.files.full(folder)
-        placed.hint("rebalance", "_b").write.partitionBy("_b").parquet(to)
+        placed.hint("rebalance", "_b").write.partitionBy("_b").option("compression", "zstd").parquet(to)
         plain = placed.schema
         back = self.spark.read.schema(plain).parquet(to)
         h = F.xxhash64(self.key)
